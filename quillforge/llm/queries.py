@@ -5,8 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, private, quality, toxicity
 from .common import table
+from .labels import fold, sample
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = sample(table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0, toxicity.SAMPLE)
+    found, name = toxicity.score_toxicity(docs, toxicity.fit(docs, picked), keep=["doc_id"], restored=False)
+    score = F.col(name)["score"]
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(table(spark, sf_dir, "documents"), keep=["doc_id"], masked=False)
+    return found.select("doc_id", *[F.col("private")[f].alias(f) for f in private.FIELDS[:-1]])
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = sample(table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1, quality.SAMPLE)
+    found, name = quality.classify(docs, quality.fit(docs, picked), keep=["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +53,9 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
+    "op7_private": op7_private,
+    "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
