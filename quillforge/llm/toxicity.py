@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -126,16 +127,16 @@ def code(c: str) -> int:
 def options(token: str) -> list[list[tuple[str, float]]]:
     """For each character the letters ("" for none) it may be, with their costs."""
     out = []
-    last = None
-    for c in token:
+    for c, run in groupby(token):
+        n = len(list(run))
         if c.isalpha():
-            out.append([(c, COST_KEEP_REPEAT), ("", COST_DROP_REPEAT)] if c == last else [(c, 0.0)])
-            last = c
+            again = [(c, COST_KEEP_REPEAT), ("", COST_DROP_REPEAT)] if n > 2 else [(c, 0.0), ("", COST_STANDS)]
+            out += [[(c, 0.0)], *[again] * (n - 1)]
             continue
         some = [(x, COST_STANDS if len(STANDS_FOR[c]) <= 2 else COST_ANY) for x in STANDS_FOR.get(c, "")]
         if c in SIGNS or not some:
             some.append(("", 0.0 if c == " " else COST_DROP_SIGN))
-        out.append(some)
+        out += [some] * n
     return out
 
 
@@ -255,18 +256,21 @@ def telling(rows: DataFrame, chars: CharModel) -> tuple[list[str], int, int]:
     return [r["f"] for r in best.orderBy(F.desc("r"), "f").limit(FEATURES).select("f").collect()], n0, n1
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float = 0.2, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Weights and bias on sets of features, by Nesterov's method on the ridge-penalised loss."""
     who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     what = np.array([x for r in rows for x in r], np.int64)
-    scale = np.sqrt(np.maximum(np.bincount(who, minlength=len(rows)), 1))  # long texts weigh no more than short ones
-    value = 1 / scale[who]
+    top = np.ones(size)  # the step follows from the largest eigenvalue
+    for _ in range(20):
+        top = np.bincount(what, np.bincount(who, top[what], len(rows))[who], size)
+        largest = float(np.linalg.norm(top))
+        top /= max(largest, 1e-9)
     w, b = np.zeros(size), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    v, vb, step = w.copy(), b, 4.0 / (2 * len(y))
+    v, vb, step = w.copy(), b, 4.0 / (1.2 * largest + len(y) + ridge)
     for k in range(rounds):
-        z = np.bincount(who, v[what] * value, len(rows)) + vb
+        z = np.bincount(who, v[what], len(rows)) + vb
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        nw = v - step * (np.bincount(what, g[who] * value, size) + ridge * v)
+        nw = v - step * (np.bincount(what, g[who], size) + ridge * v)
         nb = vb - step * g.sum()
         v, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
         w, b = nw, nb
@@ -310,7 +314,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
             for x in batch.column(n):
                 x = x.as_py()
                 f = sorted(read(x))
-                z = bias + (float(weights[f].sum()) / np.sqrt(len(f)) if f else 0.0)
+                z = bias + float(weights[f].sum())
                 made.append({"score": float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), "restored": restore_text(x, chars) if restored else None})
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, pa.struct([("score", pa.float64()), ("restored", pa.string())]))], names=schema.names)
 
