@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -88,9 +88,16 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[48:58] = WORD_BYTE[97:123] = WORD_BYTE[128:] = True
 
 
-@lru_cache(maxsize=2)
+def process_cache() -> dict:
+    """A dictionary of this process. Functions travel by value, so a global one would travel along."""
+    return sys.__dict__.setdefault("_quillforge_cache", {})
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
+    cache = process_cache()
+    if (known := cache.get("powers")) and len(known[0]) >= n:
+        return known
     base = 0x5851F42D4C957F2D
     inverse = pow(base, -1, 1 << 64)
     out = []
@@ -98,6 +105,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p = np.full(n, x, U64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=U64))
+    if n <= 4 * STEP_BYTES:
+        cache["powers"] = (out[0], out[1])
     return out[0], out[1]
 
 

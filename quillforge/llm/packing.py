@@ -13,6 +13,7 @@ row by row; null ids are kept; an empty table gives no rows; columns other than
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, process_cache
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,50 +34,56 @@ END_ID = 2
 GROUP = 8_192
 #: Least filled sequences that a partition gives up for exchange.
 RELEASED = 48
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 600_000
 
 # ---- tokens ------------------------------------------------------------------------------------------
 
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
-#: How the byte-level tokenizer splits text, for characters up to U+024F.
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Characters up to U+024F, whose classes all libraries agree on.
 _OTHER = re.compile("[^\x00-ɏ]")
-_SPECIAL = "<|endoftext|>"
+_LONG_BLANK = re.compile(r"\s{4000}")
+#: How byte-level BPE splits a text before it merges.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_letters() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit integers.
+    """Token ids of texts as the tokenizer file at `path` has them.
 
-    Byte-level BPE never merges across the pieces of its split, so ids of each piece are remembered. Texts with
-    characters beyond those whose classes are listed here, or with special tokens, go to the tokenizer whole.
+    A byte-level BPE file whose ids follow its merges can be run as a table of ranks by a quicker library, with the
+    same ids. Other files, and texts with special tokens, characters beyond U+024F or huge blanks, go to the
+    tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
+        self.tokenizer, self.ranks = Tokenizer.from_file(path), None
+        file = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in file["added_tokens"]]
+        model, split = file["model"], file["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file["normalizer"] and not model.get("ignore_merges")
+        if model["type"] == "BPE" and plain:
+            letters, vocab = byte_letters(), model["vocab"]
+            merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            single = [t for t in vocab if len(t) == 1 and t in letters]
+            ids = [vocab.get(a + b) for a, b in merges]
+            if len(single) == 256 and None not in ids and ids == sorted(ids) and max(vocab[t] for t in single) < ids[0]:
+                table = {bytes(letters[c] for c in t): vocab[t] for t in [*single, *(a + b for a, b in merges)]}
+                self.ranks = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=table, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
         if not text:
-            return b""
-        if (not text.isascii() and _OTHER.search(text)) or _SPECIAL in text:
-            return self.whole(text)
-        seen, parts = self.seen, _SPLIT.findall(text)
-        try:
-            return b"".join([seen[p] for p in parts])
-        except KeyError:
-            pass
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in seen]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            seen[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([seen[p] for p in parts])
+            return np.zeros(0, "<u4")
+        odd = (not text.isascii() and _OTHER.search(text)) or any(t in text for t in self.special) or _LONG_BLANK.search(text)
+        if self.ranks is None or odd:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 def default_tokenizer() -> str:
@@ -85,6 +92,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _encoder(path: str) -> Encoder:
+    cache = process_cache()
+    if ("encoder", path) not in cache:
+        cache["encoder", path] = Encoder(path)
+    return cache["encoder", path]
+
+
 def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
     path = tokenizer or default_tokenizer()
@@ -96,11 +110,11 @@ def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", toke
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = _encoder(path)
         for batch in batches:
             owner, rows, ids = [], [], []
             for k, text in enumerate(batch.column(1)):
-                raw = encode(text.as_py() or "") + end
+                raw = encode(text.as_py() or "").tobytes() + end
                 n = len(raw) // 4
                 at, size, piece = 0, n % CAPACITY or CAPACITY, 0
                 while at < n:
