@@ -7,10 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
@@ -34,27 +30,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from shared import SF, TABLES
 
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
-
-
-def plain(v):
-    if isinstance(v, float):
-        return round(v, 9)
-    if isinstance(v, (list, tuple)):
-        return [plain(x) for x in v]
-    return str(v)
-
-
-def assert_same(df, con, sql):
-    names = sorted(df.columns)
-    found = con.execute(sql)
-    order = [d[0] for d in found.description]
-    assert sorted(order) == names
-    place = [order.index(n) for n in names]
-    left = sorted(str([plain(v) for v in r]) for r in df.select(*[f"`{n}`" for n in names]).collect())
-    right = sorted(str([plain(r[k]) for k in place]) for r in found.fetchall())
-    assert left == right
