@@ -112,8 +112,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, terms added in order."""
-    d = np.ascontiguousarray((x - q).T)
-    return np.sqrt(np.add.reduce(d * d, axis=0))
+    d = (x - q).T
+    return np.sqrt(np.cumsum(d * d, axis=0)[-1])  # a plain sum would add in an order that depends on the number of rows
 
 
 def nearest(q: Tile, c: Tile, k: int, heaps: list[list[tuple[float, int]]]) -> None:

@@ -119,6 +119,9 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
         else:
             _after_cue(text, start, at + 1, found)
     if len(found) > 1:
+        ibans = [s for s in found if s[2] == "iban"]
+        if ibans:  # more than an account
+            found = [s for s in found if s[2] != "account" or not any(s[0] < b and a < s[1] for a, b, _ in ibans)]
         found = sorted(set(found), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return found
 

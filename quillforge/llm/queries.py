@@ -69,7 +69,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private.find_private(table(spark, sf_dir, "documents"), keep=["doc_id"], masked=False)
-    return found.select("doc_id", *[F.col("private")[f].alias(f) for f in private.FIELDS[:-1]])
+    return found.select("doc_id", *[F.col(found.columns[-1])[f].alias(f) for f in private.FIELDS[:-1]])
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), clean=False, keep=["doc_id"])
-    d = F.col("decontamination")
+    d = F.col(found.columns[-1])
     return found.select("doc_id", d["n_words"].alias("n_words"), d["n_hit"].alias("n_hit"), F.size(d["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", d["items"]), 256).alias("items_sha256"), (d["n_hit"] > 0).alias("contaminated"))
 
 
