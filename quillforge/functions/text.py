@@ -49,13 +49,13 @@ def bucket(w: str) -> Column:
 HASHES = ((5381, 33), (0, 65599))
 
 
-def word_hash(w: str, start: int, factor: int) -> Column:
-    """32-bit multiplicative hash with an avalanche at the end, in BIGINT arithmetic."""
+def word_hash(w: str, start: int, factor: int) -> str:
+    """SQL of a 32-bit multiplicative hash with an avalanche at the end, signed, in BIGINT arithmetic."""
     mask = 4294967295
     h = f"aggregate(transform(sequence(1, length({w})), i -> ascii(substr({w}, i, 1))), {start}L, (h, b) -> (h * {factor} + b) & {mask}L)"
     a = f"transform(array({h}), h -> (h + (h << 3)) & {mask}L)"
     b = f"transform({a}, h -> h ^ shiftrightunsigned(h, 11))"
-    return F.expr(f"transform({b}, h -> (h + (h << 15)) & {mask}L)[0]")
+    return f"transform({b}, h -> shiftright(shiftleft(h + (h << 15), 32), 32))[0]"
 
 
 @F.pandas_udf(StringType())

@@ -13,15 +13,12 @@ from ..functions.text import HASHES, bucket, word_hash
 BITS, PROBES = 12, 8
 
 
-def _signed(h):
-    return F.when(h >= 2147483648, h - 4294967296).otherwise(h)
-
-
 def probes(words: DataFrame, w: str = "typo", bits: str = "bits") -> DataFrame:
     """`words` with `probes`: the positions of each word in a filter of so many bits."""
-    (a, fa), (b, fb) = HASHES
-    df = words.withColumns({"h1": _signed(word_hash(w, a, fa)), "h2": _signed(word_hash(w, b, fb))})
-    return df.withColumn("probes", F.expr(f"transform(sequence(0, {PROBES - 1}), k -> (pmod(h1, {bits}) + k * pmod(h2, {bits})) % {bits})")).drop("h1", "h2")
+    first, step = (f"pmod({word_hash(w, a, f)}, {bits})" for a, f in HASHES)
+    # the struct is bound once; columns of their own would be evaluated again for every probe
+    each = f"transform(sequence(0, {PROBES - 1}), k -> (s.first + k * s.step) % {bits})"
+    return words.withColumn("probes", F.expr(f"transform(array(struct({first} AS first, {step} AS step)), s -> {each})[0]"))
 
 
 def build(catalog: DataFrame) -> DataFrame:
@@ -32,10 +29,11 @@ def build(catalog: DataFrame) -> DataFrame:
     keyed = catalog.withColumn("bucket", bucket("typo"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("entries")).withColumn("bits", F.greatest(F.lit(1), F.ceil(F.col("entries") * BITS / 8)) * 8)
     places = probes(keyed.join(sizes, "bucket")).select("bucket", "entries", "bits", F.explode("probes").alias("p")).distinct()
-    byte = places.groupBy("bucket", "entries", "bits", F.floor(F.col("p") / 8).alias("at")).agg(F.sum(F.expr("CAST(1 << CAST(p % 8 AS INT) AS BIGINT)")).alias("v"))
-    maps = byte.groupBy("bucket", "entries", "bits").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
-    text = F.expr("array_join(transform(sequence(0L, bits div 8 - 1), i -> lpad(hex(coalesce(m[i], 0L)), 2, '0')), '')")
-    return maps.select("bucket", "entries", "bits", F.unhex(text).alias("bytes")).withColumn("checksum", F.substring(F.sha2("bytes", 256), 1, 16))
+    byte = places.groupBy("bucket", F.floor(F.col("p") / 8).alias("at")).agg(F.sum(F.expr("CAST(1 << CAST(p % 8 AS INT) AS BIGINT)")).alias("v"))
+    every = sizes.select("bucket", "entries", "bits", F.explode(F.expr("sequence(0L, bits div 8 - 1)")).alias("at"))
+    digits = F.lpad(F.hex(F.coalesce("v", F.lit(0))), 2, "0")
+    rows = every.join(byte, ["bucket", "at"], "left").groupBy("bucket", "entries", "bits").agg(F.sort_array(F.collect_list(F.struct("at", digits.alias("d")))).alias("all"))
+    return rows.select("bucket", "entries", "bits", F.unhex(F.array_join("all.d", "")).alias("bytes")).withColumn("checksum", F.substring(F.sha2("bytes", 256), 1, 16))
 
 
 def contains(words: DataFrame, filters: DataFrame, w: str = "typo") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +40,13 @@ class Corpus:
     def frequent(self) -> DataFrame:
         return self.known.where(F.col("n") * 10_000 >= self.total)
 
-    @property
+    @cached_property
     def catalog(self) -> DataFrame:
         """Letters two and three exchanged in words of six letters or more, where that makes no vocabulary word."""
         made = self.vocab.where(F.length("w") >= 6).select(swapped("w").alias("typo"), F.col("w").alias("correction")).where("typo <> correction")
-        return made.join(self.vocab.select(F.col("w").alias("typo")), "typo", "left_anti").select("typo", "correction", (bucket("typo") % 4 == 0).alias("capitalized_ok"))
+        return made.join(self.vocab.select(F.col("w").alias("typo")), "typo", "left_anti").select("typo", "correction", (bucket("typo") % 4 == 0).alias("capitalized_ok")).cache()
 
-    @property
+    @cached_property
     def entries(self) -> DataFrame:
         """A catalogue for audits, with entries that pass and others that fail: exchanges in known words, last letters
         left out of frequent six-letter words, and two words run together."""
@@ -55,7 +57,7 @@ class Corpus:
         common = pairs.where(is_lower("a") & is_lower("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PHRASE)
         joined = common.groupBy(F.concat("a", "b").alias("typo")).agg(F.min(F.concat_ws(" ", "a", "b")).alias("correction")).where(F.length("typo") >= 3)
         first = swaps.union(cuts.join(swaps, "typo", "left_anti"))
-        return first.union(joined.join(first, "typo", "left_anti"))
+        return first.union(joined.join(first, "typo", "left_anti")).cache()
 
     def evidence(self, entries: DataFrame) -> Evidence:
         """Every fourth bucket is documented, every sixteenth reviewed; known words are protected and real."""

@@ -68,3 +68,32 @@ def test_column_rules_agree_with_the_scanner(spark):
     for r in df.withColumn("got", correct.technical(F.element_at(F.split("t", " "), -1))).collect():
         assert r["got"] == r["want"], r["t"]
         assert correct._prose(r["t"], r["t"].index("hte"), r["t"].index("hte") + 3) is not r["want"]
+
+
+def test_filters(spark):
+    """Probe positions by plain arithmetic, no false negative, few false positives."""
+    from quillforge.operators import bloom
+
+    def signed(x):
+        return (x + 2**31) % 2**32 - 2**31
+
+    def place(w, start, factor):
+        h = start
+        for c in w.encode():
+            h = (h * factor + c) % 2**32
+        h = (h + (h << 3)) % 2**32
+        h ^= h >> 11
+        return signed(h + (h << 15))
+
+    ws = [f"{a}{b}{c}" for a in "abcdefgh" for b in "qrstu" for c in "xyz"]
+    bits = 624
+    for r in bloom.probes(spark.createDataFrame([(w, bits) for w in ws], "typo string, bits long")).collect():
+        first, step = place(r["typo"], 5381, 33) % bits, place(r["typo"], 0, 65599) % bits
+        assert list(r["probes"]) == [(first + k * step) % bits for k in range(8)]
+    entries = words(spark, *ws).withColumnRenamed("w", "typo")
+    filters = bloom.build(entries).cache()
+    for r in filters.collect():
+        assert len(r["bytes"]) == max(1, -(-r["entries"] * 12 // 8)) and r["bits"] == 8 * len(r["bytes"])
+    assert bloom.contains(entries, filters).where("NOT maybe").count() == 0
+    others = spark.range(2000).select(F.concat(F.lit("zz"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("typo"))
+    assert bloom.contains(others, filters).where("maybe").count() < 100
