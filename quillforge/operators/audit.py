@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,12 @@ def report(e: Evidence, expected: int | None = None) -> dict:
     return {**found, "failure_counts": counts, "failure_examples": examples, "passed": not counts}
 
 
+def report_json(e: Evidence, expected: int | None = None) -> tuple[str, int]:
+    """The report as text with sorted keys, and the exit status: 1 if anything failed."""
+    found = report(e, expected)
+    return json.dumps(found, indent=2, sort_keys=True) + "\n", int(not found["passed"])
+
+
 def capitalised(entries: DataFrame, documented: DataFrame) -> DataFrame:
     """Entries that may correct capitalised words: six letters or more, one word, documented exactly."""
     return entries.where((F.length("typo") >= 6) & ~F.col("correction").contains(" ")).join(documented.select("typo", "correction"), ["typo", "correction"], "left_semi").select("typo", "correction")

@@ -12,8 +12,9 @@ rejection (the first that holds).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edits import adjacent_swaps, keyboard_typos, omissions, short_word_typos, splits
@@ -168,11 +169,25 @@ def rejections(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def report(verdicts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(metric, key, value): what an expansion added and rejected, with the lengths of the additions."""
+    new = verdicts.where("verdict = 'added'")
+    count = F.count(F.lit(1)).cast("bigint").alias("value")
+    none = F.lit("").alias("key")
+    parts = [
+        new.agg(count).select(F.lit("added").alias("metric"), none, "value"),
+        new.agg(F.count_distinct("correction").alias("value")).select(F.lit("destinations_added_to"), none, "value"),
+        merged(entries, verdicts).agg(count).select(F.lit("entries"), none, "value"),
+        new.groupBy(F.length("typo").cast("string").alias("key")).agg(count).select(F.lit("additions_by_typo_length"), "key", "value"),
+        new.groupBy(F.length("correction").cast("string").alias("key")).agg(count).select(F.lit("additions_by_destination_length"), "key", "value"),
+        verdicts.where("verdict NOT IN ('added', 'existing')").groupBy(F.col("verdict").alias("key")).agg(count).select(F.lit("rejected_candidate_pairs"), "key", "value"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def select_batch(candidates: DataFrame, per_destination: int, most: int) -> DataFrame:
     """A batch of (typo, correction, edits, n, sources): few edits first, frequent destinations, many sources, then
     alphabetical; at most so many of a destination and altogether."""
-    from pyspark.sql import Window
-
     order = [F.asc("edits"), F.desc("n"), F.desc("sources"), F.asc("typo"), F.asc("correction")]
     rank = F.row_number().over(Window.partitionBy("correction").orderBy(*order))
     return candidates.withColumn("rank", rank).where(F.col("rank") <= per_destination).orderBy(*order).limit(most).drop("rank")

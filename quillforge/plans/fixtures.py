@@ -56,6 +56,17 @@ CONTEXTS = [
     ("gitcommit", _PATHS, _PATHS.removesuffix("definately") + "definitely"),
 ]
 
+#: (comment, whether its end is protected)
+COMMENTS = [
+    ("-- prose definately", False),
+    ("-- `definately", True),
+    ("-- `code` definately", False),
+    ("// ```\n// definately", True),
+    ("// ```\n// code\n// ```\n// definately", False),
+    ("/* ~~~\n * definately", True),
+    ("# > ```\n# > definately", True),
+]
+
 #: (name, source, flat mapping or None if it must be rejected)
 CATALOGS = [
     ("empty catalog", "{}", {}),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import edits, text
+from ..functions.scanner import comment_protected
 from ..operators import audit, bloom, correct, expand, neighbours, policy
 from ..sources import catalog as catalogs
 from ..sources import publish
@@ -395,6 +396,30 @@ def categories(c: Corpus) -> DataFrame:
     return _common(c).where("verdict = 'added'").groupBy("category").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+SHORT_VERDICTS = f"v AS ({EXPAND_SHORT})"
+SHORT_REPORT = """
+SELECT 'added' AS metric, '' AS key, count(*) AS value FROM v WHERE verdict = 'added'
+UNION ALL SELECT 'destinations_added_to', '', count(DISTINCT correction) FROM v WHERE verdict = 'added'
+UNION ALL SELECT 'entries', '', count(*) FROM (SELECT typo FROM entries UNION SELECT typo FROM v WHERE verdict = 'added')
+UNION ALL SELECT 'additions_by_typo_length', length(typo)::VARCHAR, count(*) FROM v WHERE verdict = 'added' GROUP BY 2
+UNION ALL SELECT 'additions_by_destination_length', length(correction)::VARCHAR, count(*) FROM v WHERE verdict = 'added' GROUP BY 2
+UNION ALL SELECT 'rejected_candidate_pairs', verdict, count(*) FROM v WHERE verdict NOT IN ('added', 'existing') GROUP BY 2"""
+SHORT_CTES = (B, CATALOG_ENTRIES, SHORT, *PROPOSED_RULES, SHORT_VERDICTS)
+
+
+@query(SHORT_REPORT, *SHORT_CTES)
+def expansion_report(c: Corpus) -> DataFrame:
+    e = _empty_catalog_evidence(c)
+    return expand.report(expand.expand_short_words(e, c.known.select("word")), e.entries)
+
+
+@query("SELECT typo, correction FROM entries UNION ALL SELECT typo, correction FROM v WHERE verdict = 'added' AND typo NOT IN (SELECT typo FROM entries)", *SHORT_CTES)
+def catalog_merge(c: Corpus) -> DataFrame:
+    """Existing entries win over additions."""
+    e = _empty_catalog_evidence(c)
+    return expand.merged(e.entries, expand.expand_short_words(e, c.known.select("word")))
+
+
 @query("SELECT length(typo) AS typo_length, length(correction) AS correction_length, count(*) AS n FROM entries GROUP BY 1, 2", B, sql.ENTRIES)
 def lengths_histogram(c: Corpus) -> DataFrame:
     return c.entries.groupBy(F.length("typo").alias("typo_length"), F.length("correction").alias("correction_length")).agg(F.count(F.lit(1)).alias("n"))
@@ -489,6 +514,11 @@ def bloom_false_negative_check(c: Corpus) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("maybe")).alias("missed"))
 
 
+@query(f"SELECT {sql.bucket('typo')} AS bucket, count(*) AS entries, greatest(1, ceil(count(*) * 12 / 8))::BIGINT AS size, 16 AS checksum_digits FROM entries GROUP BY 1", B, sql.ENTRIES)
+def bloom_sizes(c: Corpus) -> DataFrame:
+    return bloom.build(c.entries).select("bucket", "entries", F.length("bytes").cast("bigint").alias("size"), F.length("checksum").alias("checksum_digits"))
+
+
 # ---- context -----------------------------------------------------------------------------------------
 
 
@@ -519,6 +549,13 @@ def context_corrections(spark: SparkSession) -> DataFrame:
     return correct.correct_in_context(docs, fixtures.pairs(spark), filetypes=("markdown", "gitcommit", "text"))
 
 
+@fixed("SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(p).lower()})" for k, (_, p) in enumerate(fixtures.COMMENTS)) + ") v(id, protected)")
+def comment_protection(spark: SparkSession) -> DataFrame:
+    """Whether the end of a comment is in a fence or code span of its own."""
+    ends = F.udf(comment_protected, "boolean")
+    return spark.createDataFrame(list(enumerate(t.split("\n") for t, _ in fixtures.COMMENTS)), "id bigint, lines array<string>").select("id", ends("lines").alias("protected"))
+
+
 @query()
 def html_tags(c: Corpus) -> DataFrame:
     """Words of raw pages that stand outside tags, taken as markup: nothing in a tag is corrected."""

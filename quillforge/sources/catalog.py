@@ -7,9 +7,11 @@ empty, a typo differs from its correction and has only one.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,8 +99,6 @@ def _unique(pairs):
 
 def _evidence(text: str, extra: tuple[str, ...]) -> dict[str, dict]:
     """A small nested evidence file, checked on the driver: exactly the named fields, all filled, sources on https."""
-    from urllib.parse import urlsplit
-
     try:
         data = json.loads(text, object_pairs_hook=_unique)
     except ValueError as e:
@@ -158,9 +158,10 @@ def documented_lines(lines: DataFrame, reviewed: DataFrame | None = None, value_
 
 def word_lists(spark: SparkSession, folder: str) -> DataFrame:
     """(word, level, list) from a folder of Latin-1 lists whose file suffix is the level."""
-    df = spark.read.option("encoding", "ISO-8859-1").text(folder)
-    name = F.col("_metadata.file_name")
-    return df.select(F.col("value").alias("word"), F.regexp_extract(name, r"\.([0-9]+)$", 1).cast("int").alias("level"), name.alias("list"))
+    files = spark.read.format("binaryFile").load(folder)  # the text reader knows UTF-8 only
+    name = F.element_at(F.split("path", "/"), -1)
+    lines = F.split(F.regexp_replace(F.decode("content", "ISO-8859-1"), r"\r?\n\z", ""), r"\r?\n")
+    return files.select(F.explode(lines).alias("word"), F.regexp_extract(name, r"\.([0-9]+)\z", 1).cast("int").alias("level"), name.alias("list"))
 
 
 def frequency_table(words: DataFrame, w: str = "w") -> DataFrame:
@@ -173,3 +174,24 @@ def lexicon(**lists: DataFrame) -> DataFrame:
     names = list(lists)
     rows = reduce(DataFrame.union, [d.toDF("word").select("word", *[F.lit(k == name).alias(k) for k in names]) for name, d in lists.items()])
     return rows.groupBy("word").agg(*[F.bool_or(k).alias(k) for k in names])
+
+
+def corpus_hash(spark: SparkSession, folder: str) -> str:
+    """SHA-256 over the names and bytes of a folder's files in order of names, file by file.
+
+    Only one file's bytes are held at a time; word lists are small.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    names = sorted(r["path"] for r in files.select("path").collect())
+    total = hashlib.sha256()
+    for path in names:
+        data = files.where(F.col("path") == path).select("content").first()["content"]
+        total.update(path.rsplit("/", 1)[-1].encode() + b"\0" + bytes(data))
+    return total.hexdigest()
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """SHA-256 of the paths, lengths and modification times of the inputs; no content is read."""
+    meta = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
+    each = F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string"))
+    return meta.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(each)), ","), 256).alias("h")).first()["h"]

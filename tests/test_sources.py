@@ -101,3 +101,44 @@ def test_audit_report(spark):
     good = Evidence(pairs([("abotu", "about"), ("seperate", "separate"), ("eachother", "each other")]), lexicon, freq, F.lit(10_000_000), documented, pairs([]))
     assert audit.report(good)["passed"]
     assert audit.report(good, expected=4)["failure_counts"] == {"entry_count": 2}
+
+
+def test_corpus_hash_and_fingerprint(spark, tmp_path):
+    import hashlib
+
+    for name in ("b.10", "a.20"):
+        (tmp_path / name).write_bytes(name.encode() * 3)
+    want = hashlib.sha256(b"".join(n.encode() + b"\0" + n.encode() * 3 for n in ("a.20", "b.10"))).hexdigest()
+    assert catalog.corpus_hash(spark, str(tmp_path)) == want
+    one = catalog.fingerprint(spark, str(tmp_path / "a.20"), str(tmp_path / "b.10"))
+    assert one == catalog.fingerprint(spark, str(tmp_path / "b.10"), str(tmp_path / "a.20"))
+    (tmp_path / "a.20").write_bytes(b"longer than before")
+    assert one != catalog.fingerprint(spark, str(tmp_path / "a.20"), str(tmp_path / "b.10"))
+
+
+def test_rebuilds_are_coalesced():
+    import threading
+
+    from quillforge.streaming.maintenance import Rebuilder
+
+    gate, runs, version = threading.Event(), [], ["1"]
+
+    def build():
+        runs.append(version[0])
+        gate.wait(10)
+
+    r = Rebuilder(build, lambda: version[0])
+    r.request()
+    while not runs:
+        pass
+    version[0] = "2"
+    for _ in range(5):
+        r.request()
+    gate.set()
+    assert r.wait(10) and runs == ["1", "2"] and r.built == "2"
+    r.request()
+    assert r.wait(10) and runs == ["1", "2"]  # nothing has changed
+    version[0] = "3"
+    r.build = lambda: 1 / 0
+    r.request()
+    assert r.wait(10) and isinstance(r.error, ZeroDivisionError) and r.built == "2"
