@@ -9,8 +9,12 @@ from .common import cut
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the least of u and all its v. Sums are made before rows meet them."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """(u, v, m): each pair with the least of u and all its v.
+
+    The least values are summed up first and cut, so that the join has two plain exchanges and adaptive execution can
+    split the hub of a large component.
+    """
+    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")))
     return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 

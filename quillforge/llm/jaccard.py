@@ -207,7 +207,8 @@ def sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def candidates(sets: DataFrame) -> DataFrame:
     """(digest, root): components of sets (digest, sketch) that meet in a band; others are left out."""
     keys = sets.select("digest", F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])).alias("band", "key")).drop("band")
-    buckets = keys.groupBy("key").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # cut, so that adaptive execution can split a large bucket in the join
+    buckets = cut(keys.groupBy("key").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     links = keys.join(buckets, "key").where("digest <> least").select(F.col("digest").alias("u"), F.col("least").alias("v"))
     return components(links).select(F.col("node").alias("digest"), "root")
 
@@ -276,7 +277,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thr
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     sets = cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(own).alias("own"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     found = cut(candidates(sets))
-    size = found.join(sets.select("digest", "n"), "digest").groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / CELL_GRAMS), F.ceil(F.count(F.lit(1)) / CELL_SETS)).cast("bigint").alias("blocks"))
+    size = cut(found.join(sets.select("digest", "n"), "digest").groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / CELL_GRAMS), F.ceil(F.count(F.lit(1)) / CELL_SETS)).cast("bigint").alias("blocks")))
     wanted = found.join(size, "root").join(sets, "digest").select("digest", "root", "blocks", "sketch", "own")
     grams = _grams(docs, text_col, id_col, wanted.select("own.doc_id", "own.text_key"))
     links = cut(_cells(wanted.drop("own").join(grams, "digest"), threshold))
@@ -284,7 +285,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thr
     total = links.groupBy("digest").agg(F.sum("links").alias("n_links"))
     named = sets.select("digest", "own").join(roots, "digest", "left").join(total, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
     least = named.groupBy("class").agg(F.min("own").alias("first"))
-    named = named.join(least, "class").select("digest", F.col("first.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first").alias("keep"))
+    named = cut(named.join(least, "class").select("digest", F.col("first.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first").alias("keep")))
     out = rows.select("doc_id", "text_key", "digest").join(named, "digest", "left")
     alone = F.col("digest").isNull()
     return out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), (alone | (F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_key") == F.col("text_key")))).alias("first"), alone.alias("alone"))
