@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillforge.llm import decontaminate, jaccard, packing, private, quality
 from quillforge.llm.common import fresh, table
-from quillforge.llm.labels import sample
+from quillforge.llm.labels import fold, sample
 
 
 def _with_text(docs: DataFrame, text) -> DataFrame:
@@ -30,8 +30,8 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from all labels that are in the documents."""
-    picked = sample(table(spark, sf_dir, "labels"), "quality", F.lit(True), quality.SAMPLE)
+    """Documents that the classifier accepts; labels of one fold in three are never learnt from, as in its query."""
+    picked = sample(table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1, quality.SAMPLE)
     scored, name = quality.classify(docs, quality.fit(docs, picked))
     return scored.where(F.col(name) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -57,7 +57,7 @@ def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences and places."""
-    return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(packing.pieces(docs)).select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [

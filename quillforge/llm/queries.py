@@ -56,7 +56,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return found.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
