@@ -57,8 +57,8 @@ def _with_fixes(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[s
     id_col = keep[0]
     words = docs.select(F.col(id_col), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("w"))
     fixes = lookup(words, catalog, "w", correct_capitalized).select(id_col, "w", "correction").distinct()
-    lists = fixes.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "correction"))).alias("fixes"))
-    return docs.select(*keep, F.col(text_col).alias("t")).join(lists, id_col, how).select(*keep, "t", "fixes")
+    lists = fixes.groupBy(F.col(id_col).alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("w", "correction"))).alias("fixes"))
+    return docs.select(*keep, F.col(text_col).alias("t")).join(lists, F.col(id_col).eqNullSafe(F.col("__id")), how).select(*keep, "t", "fixes")
 
 
 def correct_text(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", correct_capitalized: bool = False) -> DataFrame:
@@ -149,18 +149,21 @@ def _prose(line: str, start: int, stop: int) -> bool:
     return link < 0 or ")" in line[link + 2 : stop]
 
 
+def _in_context(docs: DataFrame, catalog: DataFrame, text_col: str, id_col: str, correct_capitalized: bool, overrides: DataFrame | None, how: str) -> DataFrame:
+    if overrides is not None:
+        catalog = catalog.join(overrides.select("typo"), "typo", "left_anti")
+    return _with_fixes(docs, catalog, text_col, [id_col, "filetype"], correct_capitalized, how)
+
+
 def corrections_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", filetypes: tuple[str, ...] = FILETYPES, correct_capitalized: bool = False, overrides: DataFrame | None = None) -> DataFrame:
     """(id, row, start, stop, w, correction) of the words to correct in (id, filetype, text).
 
-    The selective join comes first, then the lexical rules, and only documents with words left meet the line
-    scanner. `overrides` (typo, correction) are the user's own and win over the catalogue. Words in fences, code
-    spans, tags, metadata and link destinations stay; comments in other files need a language parser, so files of
-    other types are left as they are.
+    The selective join comes first; only documents with words left meet the lexical rules and the line scanner.
+    `overrides` (typo, correction) are the user's own and win over the catalogue. Words in fences, code spans, tags,
+    metadata and link destinations stay; comments in other files need a language parser, so files of other types are
+    left as they are.
     """
-    if overrides is not None:
-        catalog = catalog.join(overrides.select("typo"), "typo", "left_anti")
-    wanted = docs.where(F.col("filetype").isin(*filetypes))
-    both = _with_fixes(wanted, catalog, text_col, [id_col, "filetype"], correct_capitalized, "inner")
+    both = _in_context(docs.where(F.col("filetype").isin(*filetypes)), catalog, text_col, id_col, correct_capitalized, overrides, "inner")
     schema = T.StructType([both.schema[id_col], *T.StructType.fromDDL("row int, start int, stop int, w string, correction string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +180,21 @@ def corrections_in_context(docs: DataFrame, catalog: DataFrame, text_col: str =
     return both.mapInArrow(run, schema)
 
 
-def correct_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """(id, corrected): texts with what `corrections_in_context` finds put in."""
-    found = corrections_in_context(docs, catalog, text_col, id_col, **options)
-    per_row = found.groupBy(id_col, "row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "correction"))).alias("fixes"))
-    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("row", "line"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    built = F.aggregate("fixes", start, lambda a, f: F.struct(F.concat(a["out"], F.substr(F.col("line"), a["at"] + 1, f["start"] - a["at"]), f["correction"]).alias("out"), f["stop"].alias("at")), lambda a: F.concat(a["out"], F.substr(F.col("line"), a["at"] + 1)))
-    fixed = lines.join(per_row, [id_col, "row"], "left").select(id_col, "row", F.when(F.col("fixes").isNull(), F.col("line")).otherwise(built).alias("line"))
-    return fixed.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("corrected"))
+def correct_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", filetypes: tuple[str, ...] = FILETYPES, correct_capitalized: bool = False, overrides: DataFrame | None = None) -> DataFrame:
+    """(id, corrected): texts with what `corrections_in_context` finds put in, in the same single pass."""
+    both = _in_context(docs, catalog, text_col, id_col, correct_capitalized, overrides, "left")
+    schema = T.StructType([both.schema[id_col], T.StructField("corrected", T.StringType())])
+
+    def fixed(kind: str, text: str, fixes: dict[str, str]) -> str:
+        lines = text.split("\n")
+        for row, start, stop, _, correction in reversed(list(_places(text, kind, fixes))):
+            lines[row] = lines[row][:start] + correction + lines[row][stop:]
+        return "\n".join(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            texts = [fixed(kind, text, dict(fixes)) if fixes and text and kind in filetypes else text for kind, text, fixes in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
+
+    return both.mapInArrow(run, schema)

@@ -47,9 +47,9 @@ def test_normalised_words(spark):
 
 def test_correction_is_one_pass_of_whole_words(spark):
     catalog = spark.createDataFrame([("hte", "the", False), ("the", "teh", False), ("definately", "definitely", True)], "typo string, correction string, capitalized_ok boolean")
-    docs = spark.createDataFrame([(1, "hte htex foo_hte éhte HTE Hte. Definately"), (2, None), (3, ""), (4, "nothing here")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "hte htex foo_hte éhte HTE Hte. Definately"), (2, None), (3, ""), (4, "nothing here"), (None, "a hte")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_fixed"], r["corrected"]) for r in correct.correct_text(docs, catalog).collect()}
-    assert got == {1: (1, "the htex foo_hte éhte HTE Hte. Definately"), 2: (0, None), 3: (0, ""), 4: (0, "nothing here")}
+    assert got == {1: (1, "the htex foo_hte éhte HTE Hte. Definately"), 2: (0, None), 3: (0, ""), 4: (0, "nothing here"), None: (1, "a the")}
     got = {r["doc_id"]: r["corrected"] for r in correct.correct_text(docs, catalog, correct_capitalized=True).collect()}
     assert got[1] == "the htex foo_hte éhte HTE Hte. Definitely"
 
