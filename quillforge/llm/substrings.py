@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, mix, steps, utf8
+from .common import U64, _powers, cut, mix, steps, utf8
 
 LEAST, MOST = 20, 256
 #: A cut where these bits of the rolling hash are zero: once in 32 bytes.
@@ -107,7 +107,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, row, places): the chunks that repeat an earlier one, document by document."""
     table = chunk_table(docs)
     own = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "row", "place")
-    first = table.groupBy("d1", "d2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # cut, so that the join has two plain exchanges and adaptive execution can split a common chunk
+    first = cut(table.groupBy("d1", "d2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     again = table.join(first, ["d1", "d2"]).where(own > F.col("first"))
     return again.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
 
@@ -137,9 +138,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     n_removed counts removed bytes; `removed` has their spans, as byte offsets of the original text.
     """
-    found = repeated(docs).select(F.col("doc_id").alias("i"), F.col("row").alias("r"), "places")
+    again = repeated(docs).select(F.col("doc_id").alias("i"), F.col("row").alias("r"), "places")
     texts = docs.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    both = texts.join(found, texts["doc_id"].eqNullSafe(found["i"]) & (texts["row"] == found["r"]), "left").select("doc_id", "text", "places")
+    both = texts.join(again, texts["doc_id"].eqNullSafe(again["i"]) & (texts["row"] == again["r"]), "left").select("doc_id", "text", "places")
     schema = docs.select("doc_id", "text").schema.add("n_chunks", "long").add("n_removed", "long")
     schema = schema.add("removed", docs.sparkSession.range(0).select(F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint>>)").alias("x")).schema["x"].dataType)
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -149,17 +150,17 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             texts, sizes, gone, spans = [], [], [], []
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                cut, n = cut_runs(raw, places or [])
-                if cut:
+                found, n = cut_runs(raw, places or [])
+                if found:
                     parts, last = [], 0
-                    for a, b in cut:
+                    for a, b in found:
                         parts.append(raw[last:a])
                         last = b
                     text = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
                 texts.append(text)
                 sizes.append(n)
-                gone.append(sum(b - a for a, b in cut))
-                spans.append([{"start": a, "stop": b} for a, b in cut])
+                gone.append(sum(b - a for a, b in found))
+                spans.append([{"start": a, "stop": b} for a, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, spans_kind)], names=schema.names)
 
     return both.mapInArrow(run, schema)
