@@ -37,6 +37,8 @@ LEAST_RATIO = 15.0
 #: Tokens whose features a worker remembers.
 REMEMBERED = 400_000
 BEAM = 48
+#: Characters decoded together.
+PIECE = 64
 
 # ---- the character model ---------------------------------------------------------------------------
 
@@ -117,7 +119,8 @@ SIGNS = ".-_*'~ "
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|+(<€£*#%._'~-]+[^\W\d_]|^[0-9@$!|+(<€£]+[^\W\d_]|[^\W\d_][0-9@$|+]+$")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _STRIP = ".,;:!?\"'()[]{}<>*#%&$|~=/\\-_+"
-SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}\S){3,}(?!\S)")
+#: Single characters set apart; they and what is between them are disjoint, so no text makes the search branch.
+SPACED = re.compile(r"(?<!\S)[^\s.\-_*](?:[ .\-_*]{1,2}[^\s.\-_*]){3,}(?![^\s.,!?;:])")
 
 
 def code(c: str) -> int:
@@ -141,7 +144,9 @@ def options(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest letters of a disguised token in lower case."""
+    """The likeliest letters of a disguised token in lower case; a long one is decoded piece by piece."""
+    if len(token) > PIECE:
+        return "".join(decode(token[k : k + PIECE], model) for k in range(0, len(token), PIECE))
     log = model.log
     beam = {(0, 0, 0): (0.0, "")}
     for some in options(token):

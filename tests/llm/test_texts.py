@@ -129,7 +129,8 @@ def test_disguised_words_are_restored(spark):
     model = toxicity.CharModel(toxicity.count_grams(*utf8(pa.array(texts))))
     for word, want in {"1d10t": "idiot", "i d i o t": "idiot", "m-o-r-o-n": "moron", "stuuuupid": "stupid", "p4th3t1c": "pathetic", "cl*wn": "clown", "l0s3r": "loser"}.items():
         assert toxicity.decode(word, model) == want
-    assert toxicity.restore_text("An 1D10T, plain words stay.", model) == "an idiot plain words stay." or "idiot" in toxicity.restore_text("An 1D10T, plain words stay.", model)
+    assert toxicity.restore_text("An 1D10T, plain words stay.", model) == "an idiot plain words stay."
+    assert "idiot" in toxicity.restore_text("what an i d i o t!", model)
     assert toxicity.restore_text(None, model) is None
 
 
@@ -244,3 +245,12 @@ def test_sequences_round_trip(spark, monkeypatch):
     made = packing.sequences(packed)
     assert made.count() == len(by_seq) and made.agg(F.max(F.size("ids"))).first()[0] <= 1024
     packed.unpersist()
+
+
+def test_long_rules_and_runs_take_no_time():
+    for text in ("-" * 5000 + "aa", "*" * 5000 + "bold " * 3, "a-" * 50_000 + "zz", "a " * 50_000 + "word", "." * 9000, "1" * 50_000, "a@" * 20_000, "http://" * 9000, "iban " * 9000, "+1" * 9000):
+        toxicity.tokens_of(text)
+        private.report(text, private.automaton(), True)
+        quality.features(text)
+    model = toxicity.CharModel(np.zeros(toxicity.SIZE**4))
+    assert toxicity.decode("a1" * 20_000, model)
