@@ -1,7 +1,5 @@
 """Text functions as column expressions: tokens, case guards, hashes of words, re-capitalisation."""
 
-from __future__ import annotations
-
 import unicodedata
 
 import pandas as pd
@@ -58,13 +56,16 @@ def word_hash(w: str, start: int, factor: int) -> str:
     return f"transform({b}, h -> shiftright(shiftleft(h + (h << 15), 32), 32))[0]"
 
 
-@F.pandas_udf(StringType())
-def normalized(words: pd.Series) -> pd.Series:
-    """Compatibility decomposition, ASCII letters only, lower case. Spark has no built-in for it."""
+def _normalized(words: pd.Series) -> pd.Series:
     keep = frozenset("abcdefghijklmnopqrstuvwxyz")
     return words.map(lambda w: None if w is None else "".join(c for c in unicodedata.normalize("NFKD", w).lower() if c in keep))
 
 
+def normalized(w) -> Column:
+    """Compatibility decomposition, ASCII letters only, lower case. Spark has no built-in for it."""
+    return F.pandas_udf(_normalized, StringType())(w)
+
+
 def mapping_hash(key: str, value: str) -> Column:
     """Aggregate: SHA-256 of the rows as a compact JSON object with sorted keys."""
     pairs = F.sort_array(F.collect_list(F.struct(F.col(key), F.concat(F.lit('"'), F.col(key), F.lit('":"'), F.col(value), F.lit('"')).alias("j"))))

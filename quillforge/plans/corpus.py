@@ -29,8 +29,14 @@ class Corpus:
         self.spark, self.sf_dir = spark, sf_dir
         self.docs = table(spark, sf_dir, "documents")
         self.words = word_table(self.docs)
-        self.vocab = self.words.where(is_lower("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).cache()
-        self.total = F.lit(self.vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return self.words.where(is_lower("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).cache()
+
+    @cached_property
+    def total(self):
+        return F.lit(self.vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     @property
     def known(self) -> DataFrame:
