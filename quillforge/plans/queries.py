@@ -111,12 +111,12 @@ def catalog_duplicates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, source string").select("name", F.size(keys).alias("keys"), F.size(F.array_distinct(keys)).alias("names"))
 
 
-@query("SELECT correction, to_json(list(typo ORDER BY typo)) AS typos FROM entries GROUP BY correction", B, sql.ENTRIES)
+@query("SELECT correction, to_json(list(typo ORDER BY typo))::VARCHAR AS typos FROM entries GROUP BY correction", B, sql.ENTRIES)
 def catalog_group(c: Corpus) -> DataFrame:
     return publish.grouped(c.entries).select("correction", F.to_json("typos").alias("typos"))
 
 
-@query("SELECT count(*) AS entries, max(length(typo)) AS max_length, count(DISTINCT correction) AS destinations FROM entries", B, sql.ENTRIES)
+@query("SELECT count(*) AS entries, max(length(typo))::INTEGER AS max_length, count(DISTINCT correction) AS destinations FROM entries", B, sql.ENTRIES)
 def catalog_stats(c: Corpus) -> DataFrame:
     return publish.statistics(c.entries)
 
@@ -126,7 +126,7 @@ def mapping_hash(c: Corpus) -> DataFrame:
     return c.entries.agg(text.mapping_hash("typo", "correction").alias("mapping_sha256"))
 
 
-@query("SELECT * FROM (VALUES ('invalid_correction', 0), ('invalid_typo', 0), ('identity', 0), ('short_typo', 0), ('conflict', 0)) v(rule, rows)")
+@query("SELECT rule, rows::BIGINT AS rows FROM (VALUES ('invalid_correction', 0), ('invalid_typo', 0), ('identity', 0), ('short_typo', 0), ('conflict', 0)) v(rule, rows)")
 def catalog_rules(c: Corpus) -> DataFrame:
     return catalogs.validate_flat(c.entries)
 
@@ -216,7 +216,7 @@ def known_pairs(spark: SparkSession) -> DataFrame:
 # ---- edits -------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT w, len({sql.one_edit('w')}) AS edits FROM frequent", B)
+@query(f"SELECT w, len({sql.one_edit('w')})::INTEGER AS edits FROM frequent", B)
 def one_edit_candidates(c: Corpus) -> DataFrame:
     return c.frequent.select(F.col("word").alias("w"), F.size(edits.one_edit("word")).alias("edits"))
 
@@ -420,7 +420,7 @@ def catalog_merge(c: Corpus) -> DataFrame:
     return expand.merged(e.entries, expand.expand_short_words(e, c.known.select("word")))
 
 
-@query("SELECT length(typo) AS typo_length, length(correction) AS correction_length, count(*) AS n FROM entries GROUP BY 1, 2", B, sql.ENTRIES)
+@query("SELECT length(typo)::INTEGER AS typo_length, length(correction)::INTEGER AS correction_length, count(*) AS n FROM entries GROUP BY 1, 2", B, sql.ENTRIES)
 def lengths_histogram(c: Corpus) -> DataFrame:
     return c.entries.groupBy(F.length("typo").alias("typo_length"), F.length("correction").alias("correction_length")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -470,7 +470,7 @@ def audit_failures(c: Corpus) -> DataFrame:
     return audit.failures(audit.audited(c.evidence(c.entries)))
 
 
-@query("SELECT * FROM (SELECT kind, typo, correction, row_number() OVER (PARTITION BY kind ORDER BY typo, correction) AS rank FROM fails) WHERE rank <= 20", *AUDIT_CTES)
+@query("SELECT * FROM (SELECT kind, typo, correction, (row_number() OVER (PARTITION BY kind ORDER BY typo, correction))::INTEGER AS rank FROM fails) WHERE rank <= 20", *AUDIT_CTES)
 def audit_examples20(c: Corpus) -> DataFrame:
     """The first twenty examples of each kind; the limit is the feature."""
     return audit.failure_examples(audit.audited(c.evidence(c.entries)))
@@ -482,7 +482,7 @@ def capitalized_subset(c: Corpus) -> DataFrame:
     return audit.capitalised(e.entries, e.documented)
 
 
-@query("SELECT 0 AS inconsistent")
+@query("SELECT 0::BIGINT AS inconsistent")
 def capitalized_consistency(c: Corpus) -> DataFrame:
     """Entries of the capitalised subset that the catalogue lacks: none."""
     e = c.evidence(c.entries)
@@ -508,7 +508,7 @@ def catalog_protected_intersect(c: Corpus) -> DataFrame:
     return c.entries.select("typo").intersect(c.known.select("word"))
 
 
-@query("SELECT count(*) AS entries, 0 AS missed FROM entries", B, sql.ENTRIES)
+@query("SELECT count(*) AS entries, 0::BIGINT AS missed FROM entries", B, sql.ENTRIES)
 def bloom_false_negative_check(c: Corpus) -> DataFrame:
     hits = bloom.contains(c.entries.select("typo"), bloom.build(c.entries))
     return hits.agg(F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("maybe")).alias("missed"))
@@ -538,7 +538,7 @@ def line_context(c: Corpus) -> DataFrame:
 
 def _values(rows) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({n}, {q(after)})" for n, after in rows) + ") v(doc_id, corrected)"
+    return "SELECT doc_id::BIGINT AS doc_id, corrected FROM (VALUES " + ", ".join(f"({n}, {q(after)})" for n, after in rows) + ") v(doc_id, corrected)"
 
 
 @fixed(_values([(k, after) for k, (_, _, after) in enumerate(fixtures.CONTEXTS)]))
@@ -549,7 +549,7 @@ def context_corrections(spark: SparkSession) -> DataFrame:
     return correct.correct_in_context(docs, fixtures.pairs(spark), filetypes=("markdown", "gitcommit", "text"))
 
 
-@fixed("SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(p).lower()})" for k, (_, p) in enumerate(fixtures.COMMENTS)) + ") v(id, protected)")
+@fixed("SELECT id::BIGINT AS id, protected FROM (VALUES " + ", ".join(f"({k}, {str(p).lower()})" for k, (_, p) in enumerate(fixtures.COMMENTS)) + ") v(id, protected)")
 def comment_protection(spark: SparkSession) -> DataFrame:
     """Whether the end of a comment is in a fence or code span of its own."""
     ends = F.udf(comment_protected, "boolean")

@@ -14,7 +14,7 @@ frequent AS (SELECT w, n FROM known, tot WHERE n * 10000 >= total)"""
 
 
 def bucket(w: str) -> str:
-    return f"(list_reduce(list_transform(range(1, length({w}) + 1), lambda i: ascii(substr({w}, i, 1))), lambda h, b: (h * 33 + b) % 256, 0) + 1)"
+    return f"(list_reduce(list_transform(range(1, length({w}) + 1), lambda i: ascii(substr({w}, i, 1))), lambda h, b: (h * 33 + b) % 256, 0) + 1)::BIGINT"
 
 
 def swap23(w: str) -> str:
