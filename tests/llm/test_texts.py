@@ -180,6 +180,9 @@ def test_repeated_passages_go_once(spark):
     got = {r["doc_id"]: r for r in substrings.drop_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert got[0]["text"] == docs[0] and got[2]["text"] == docs[2]
     assert got[1]["n_removed"] > 0.5 * len(passage) and got[3]["n_removed"] > 0.5 * len(passage)
+    odd = spark.createDataFrame([(5, docs[0]), (None, docs[3]), (5, docs[2] + docs[3]), (5, docs[0])], "doc_id long, text string")
+    left = [(r["doc_id"], r["n_removed"] > 0) for r in substrings.drop_repeats(odd).collect()]
+    assert sorted(left, key=str) == [(5, True), (5, True), (5, True), (None, False)]  # the null id comes first
     for k, text in enumerate(docs):  # exact round trip: what is left and what went make the text
         raw, last, parts = text.encode(), 0, []
         for s in got[k]["removed"]:
