@@ -206,11 +206,13 @@ def sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def candidates(sets: DataFrame) -> DataFrame:
     """(digest, root): components of sets (digest, sketch) that meet in a band; others are left out."""
-    keys = sets.select("digest", F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])).alias("band", "key")).drop("band")
+    # 64-bit names are enough here: two sets of one name only make a component larger than need be
+    name = F.xxhash64("digest").alias("node")
+    keys = sets.select(name, F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])).alias("key"))
     # cut, so that adaptive execution can split a large bucket in the join
-    buckets = cut(keys.groupBy("key").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    links = keys.join(buckets, "key").where("digest <> least").select(F.col("digest").alias("u"), F.col("least").alias("v"))
-    return components(links).select(F.col("node").alias("digest"), "root")
+    buckets = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    links = keys.join(buckets, "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return sets.select("digest", name).join(components(links), "node").select("digest", "root")
 
 
 def _grams(docs: DataFrame, text_col: str, id_col: str, wanted: DataFrame) -> DataFrame:
