@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -61,8 +62,10 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def tiles(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Tiles of (id, vector) rows; each task packs its rows, dimension by dimension."""
+    """Tiles of the distinct (id, vector) rows; each task packs its rows, dimension by dimension."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").alias("v"))
+    # before the tiles, as the k-th upper bound of `nearest` must be that of k different rows
+    rows = rows.where("id IS NOT NULL AND v IS NOT NULL").distinct()
 
     def tile(ids: np.ndarray, x: np.ndarray) -> dict:
         codes, *rest = quantise(x)
@@ -134,19 +137,8 @@ def nearest(q: Tile, c: Tile, k: int, heaps: list[list[tuple[float, int]]]) -> N
         if not len(live):
             continue
         d, ids = distances(c.x[live], q.x[i]), c.ids[live]
-        best = np.lexsort((ids, d))
-        if len(best) > k:
-            # of repeated rows one counts
-            new = np.concatenate([[True], (np.diff(d[best]) != 0) | (np.diff(ids[best]) != 0)])
-            best = best[new][:k]
-        merged, last = [], None
-        for x in heapq.merge(heap, zip(d[best].tolist(), ids[best].tolist(), strict=True)):
-            if x != last:
-                merged.append(x)
-                last = x
-            if len(merged) == k:
-                break
-        heaps[i] = merged
+        best = np.lexsort((ids, d))[:k]
+        heaps[i] = list(islice(heapq.merge(heap, zip(d[best].tolist(), ids[best].tolist(), strict=True)), k))
 
 
 FOUND = "query_id bigint, query_key bigint, part bigint, found array<struct<score:double,vec_id:bigint>>"
@@ -180,7 +172,7 @@ def nearest_neighbours(queries: DataFrame, candidates: DataFrame, k: int = 10, i
     while True:
         nc = math.ceil(nc / FAN_IN)
         parts = found.groupBy("query_id", "query_key", F.floor(F.col("part") / FAN_IN).alias("part"))
-        merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
+        merged = F.array_sort(F.flatten(F.collect_list("found")))
         found = parts.agg(F.slice(merged, 1, k).alias("found"))
         if nc == 1:
             break

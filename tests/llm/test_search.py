@@ -27,6 +27,15 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, n, dim):
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_push_no_neighbour_out(spark, parts):
+    """More than k rows equal in id and vector, and one id with two vectors at one distance, which are two rows."""
+    rows = [(0, [10.0, 0.0])] + [(1, [11.0, 0.0])] * 12 + [(k, [12.0, 0.0]) for k in range(3, 13)] * 2 + [(2, [12.0, 0.0]), (2, [8.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+    got = {r["rank"]: (r["vec_id"], r["score"]) for r in neighbours.nearest_neighbours(df.where("vec_id = 0"), df, 10).collect()}
+    assert got == dict(enumerate([(1, 1.0), (2, 2.0), (2, 2.0), *((k, 2.0) for k in range(3, 10))], 1))
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 1500)), rng.normal(size=(60, 1500)) * rng.uniform(0.01, 9, (60, 1))
