@@ -77,8 +77,8 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 
 def _row(doc_id, text):
-    """Tells texts of one id apart; 32 bits suffice for that, and every chunk carries them."""
-    return F.hash(doc_id, F.coalesce(text, F.lit("")))
+    """Tells texts of one id apart: many rows may share an id, or have none, so 32 bits don't suffice."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:

@@ -191,6 +191,13 @@ def test_repeated_passages_go_once(spark):
         assert b"".join([*parts, raw[last:]]).decode() == got[k]["text"]
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """300,000 texts without an id: some ten pairs would share a key of 32 bits."""
+    n = 300_000
+    texts = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert texts.select(substrings._row(F.col("doc_id"), F.col("text")).alias("row")).distinct().count() == n
+
+
 # ---- packing -----------------------------------------------------------------------------------------
 
 
