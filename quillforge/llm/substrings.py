@@ -1,17 +1,22 @@
-"""Substring deduplication by content-defined chunking.
+"""Substring deduplication by content-defined anchors and exact extension.
 
-A gear rolling hash over the last 16 bytes cuts each text where its top bits are zero, so that an insertion shifts
-only the chunks around it. Chunks (between `LEAST` and `MOST` bytes) are compared by 96-bit digests over the whole
-corpus; of equal chunks the first by (id, place) stays. Runs of repeated chunks with at least `RUN_WORDS` words are
-removed from the texts.
+Anchors are pieces of `ANCHOR` bytes whose hash is the least of `WINDOW` places (winnowing), so that equal stretches
+of `ANCHOR + WINDOW - 1` bytes have one in common whatever stands around them. Anchors are compared by 64-bit digests
+over the whole corpus; of equal ones the first by (id, place) stays. Around an anchor that repeats an earlier one the
+bytes are compared with those of the first occurrence, and the stretches that are equal are joined. Those with at
+least `RUN_WORDS` words are removed from the texts; in scripts without blanks each letter counts as a word.
 
-Edge cases: null and empty texts have no chunks and come back as they are; a text repeated whole comes back empty but
+A gear rolling hash over the last 16 bytes cuts each text where its top bits are zero; `n_chunks` counts the chunks
+(between `LEAST` and `MOST` bytes).
+
+Edge cases: null and empty texts have no anchors and come back as they are; a text repeated whole comes back empty but
 for its first document; rows repeated with id and text are treated as one document and all come back; null ids come
 first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, cut, mix, steps, utf8
+from .common import _ODD, U64, _powers, cut, mix, steps, utf8
 
 LEAST, MOST = 20, 256
 #: A cut where these bits of the rolling hash are zero: once in 32 bytes.
 CUT_BITS = 5
 RUN_WORDS = 20
+#: Bytes of an anchor, and places of which one at least is an anchor.
+ANCHOR, WINDOW = 32, 96
+#: Bytes compared on either side of anchors: an equal stretch that reached farther would have another anchor.
+REACH = ANCHOR + WINDOW
+#: Letters of scripts written without blanks.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _GEAR = np.random.default_rng(1_918_273).integers(0, 1 << 16, 256, np.uint16)
+_NONE = np.int32((1 << 31) - 1)
 _TOP = np.uint16(((1 << CUT_BITS) - 1) << (16 - CUT_BITS))
 
 
@@ -64,16 +76,63 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array(ends, np.int64), counts
 
 
-def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit and a 32-bit hash of each chunk."""
-    powers, inverse = _powers(1 << max(12, int(len(data) + 1).bit_length()))
-    out = []
-    for spice in (1, 0x9E3779B97F4A7C15):
-        values = mix((np.arange(256).astype(U64) + U64(1)) * U64(spice))
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(values[data] * powers[: len(data)], out=sums[1:])
-        out.append(mix((sums[ends] - sums[starts]) * inverse[starts]))
-    return out[0].astype(np.int64), (out[1] >> U64(32)).astype(np.uint32).astype(np.int32)
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, digest) of the anchors of the joined texts: `ANCHOR` bytes with the least hash of `WINDOW` places.
+
+    Equal stretches of `ANCHOR + WINDOW - 1` bytes have an anchor in common, wherever they stand.
+    """
+    n, sizes = len(data), np.diff(offsets)
+    places = n - ANCHOR + 1
+    if places < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    powers, inverse = _powers(1 << max(12, int(n + 1).bit_length()))
+    values = mix((np.arange(256).astype(U64) + U64(1)) * U64(_ODD))
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(values[data] * powers[:n], out=sums[1:])
+    digest = mix((sums[ANCHOR:] - sums[:places]) * inverse[:places])
+    rank = (digest >> U64(34)).astype(np.int32) + np.int32(1)  # 0 is no window
+    which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[:places]
+    room = offsets[1:][which] - np.arange(places)
+    # least of the `WINDOW` places from each on, then the greatest of the windows that hold a place
+    least = np.full(places + WINDOW, _NONE, np.int32)
+    least[:places] = np.where(room >= ANCHOR, rank, _NONE)
+    rank = least[:places].copy()
+    _spread(np.minimum, least, WINDOW)
+    least[:places][room < ANCHOR + WINDOW - 1] = 0
+    least[places:] = 0
+    most = least[:places][::-1].copy()
+    _spread(np.maximum, most, WINDOW)
+    picked = most[::-1] == rank
+    for t in np.flatnonzero((sizes >= ANCHOR) & (sizes < ANCHOR + WINDOW - 1)).tolist():  # one window
+        own = rank[offsets[t] : offsets[t + 1] - ANCHOR + 1]
+        picked[offsets[t] : offsets[t + 1] - ANCHOR + 1] = own == own.min()
+    at = np.flatnonzero(picked)
+    return which[at], at - offsets[:-1][which[at]], digest[at].astype(np.int64)
+
+
+def _spread(of, x: np.ndarray, width: int) -> None:
+    """In place: `of` of the `width` values from each on."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        of(x[:-step], x[step:], out=x[:-step]) if len(x) > step else None
+        done += step
+
+
+def thin(which: np.ndarray, at: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Anchors to keep: of equal ones in a row (periodic text) the farthest within `WINDOW` of the one before."""
+    same = (np.diff(digest, prepend=0) == 0) & (np.diff(which, prepend=-1) == 0) & (np.diff(at, prepend=0) <= WINDOW)
+    keep = np.ones(len(at), bool)
+    last = -1
+    for k in np.flatnonzero(same[:-1] & same[1:]).tolist():  # with an equal one on both sides
+        if k - 1 != last:
+            kept = at[k - 1]
+        if at[k + 1] - kept <= WINDOW:
+            keep[k] = False
+        else:
+            kept = at[k]
+        last = k
+    return keep
 
 
 def _row(doc_id, text):
@@ -81,57 +140,100 @@ def _row(doc_id, text):
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, place, d1, d2): the chunks of the texts of (doc_id, text)."""
+def anchor_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, place, digest): the anchors of the texts of (doc_id, text); places count bytes."""
     texts = docs.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    schema = texts.select("doc_id", "row").schema.add("place", "integer").add("d1", "long").add("d2", "integer")
+    schema = texts.select("doc_id", "row").schema.add("place", "integer").add("digest", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for a, b in steps(offsets):
-                own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                ends, counts = chunks(own, at)
-                if not len(ends):
+                which, at, digest = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(at):
                     continue
-                starts = np.concatenate([[0], ends[:-1]])
-                which = np.repeat(np.arange(b - a), counts)
-                place = np.arange(len(ends)) - np.repeat(np.cumsum(counts) - counts, counts)
-                d1, d2 = digests(own, starts, ends)
-                take = pa.array(which + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(d1), pa.array(d2)], names=schema.names)
+                keep = thin(which, at, digest)
+                take = pa.array(which[keep] + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at[keep].astype(np.int32)), pa.array(digest[keep])], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, places): the chunks that repeat an earlier one, document by document."""
-    table = chunk_table(docs)
+def wanted(matches: list[dict]) -> list[tuple]:
+    """(first document, byte to start at, bytes, place here) of the stretches to compare with a document's own bytes.
+
+    Anchors that are equally far from their first occurrences share a stretch; it reaches `REACH` bytes beyond them.
+    """
+    groups: dict[tuple, list[int]] = {}
+    for m in matches:
+        groups.setdefault((m["s_id"], m["s_row"], m["place"] - m["s_place"]), []).append(m["place"])
+    out = []
+    for (s_id, s_row, shift), places in groups.items():
+        places.sort()
+        first = last = places[0]
+        for p in [*places[1:], None]:
+            if p is None or p - last > 2 * REACH:
+                start = max(0, first - REACH, shift)
+                out.append((s_id, s_row, start - shift, last + ANCHOR + REACH - start, start))
+                first = p
+            last = p
+    return out
+
+
+def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(i, r, parts): for each document the stretches of first occurrences to compare it with, and where."""
+    table = anchor_table(docs)
     own = F.struct("doc_id", "row", "place")  # nulls come first in the order of structs
-    # cut, so that the join has two plain exchanges and adaptive execution can split a common chunk
-    first = cut(table.groupBy("d1", "d2").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    again = table.join(first, ["d1", "d2"]).where(own > F.col("first"))
-    return again.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+    # cut, so that the join has two plain exchanges and adaptive execution can split a common anchor
+    first = cut(table.groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    again = table.join(first, "digest").where(own > F.col("first"))
+    match = F.struct("place", F.col("first.doc_id").alias("s_id"), F.col("first.row").alias("s_row"), F.col("first.place").alias("s_place"))
+    found = again.select("doc_id", "row", match.alias("match")).groupBy("doc_id", "row").agg(F.collect_set("match").alias("matches"))
+    kind = docs.schema["doc_id"].dataType
+    schema = found.select("doc_id", "row").schema.add("s_id", kind).add("s_row", "long").add("s_at", "integer").add("size", "integer").add("at", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                asked = wanted(batch.column(2)[k].as_py())
+                own = pa.array(np.full(len(asked), k))
+                columns = zip(*asked, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]], names=schema.names)
+
+    asked = found.mapInArrow(run, schema).withColumnsRenamed({"doc_id": "i", "row": "r"})
+    there = texts.join(asked, texts["doc_id"].eqNullSafe(asked["s_id"]) & (texts["row"] == asked["s_row"]), "inner")
+    part = F.struct("at", F.expr("substring(CAST(text AS binary), s_at + 1, size)").alias("bytes"))
+    return there.select("i", "r", part.alias("part")).groupBy("i", "r").agg(F.collect_set("part").alias("parts"))
+
+
+def units(raw: bytes) -> int:
+    """Words between blanks; in scripts without blanks (Han, kana, Thai, Lao, Khmer, Burmese) each letter is one."""
+    return len(UNSPACED.sub(" x ", raw.decode("utf-8", "replace")).split())
 
 
-def cut_runs(raw: bytes, places: list[int]) -> tuple[list[tuple[int, int]], int]:
-    """Byte spans of the runs of repeated chunks long enough to remove, and the text's number of chunks."""
+def cut_runs(raw: bytes, parts: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+    """Byte spans that are equal to a part at its place, as far as they reach, and long enough to remove."""
     data = np.frombuffer(raw, np.uint8)
-    ends, _ = chunks(data, np.array([0, len(data)]))
-    starts = np.concatenate([[0], ends[:-1]])
-    again = np.zeros(len(ends) + 2, np.int8)
-    again[np.array(places, np.int64) + 1] = 1
-    edge = np.diff(again)
+    edge = np.zeros(len(raw) + 1, np.int64)
+    for at, other in parts:
+        n = min(len(other), len(raw) - at)
+        same = np.zeros(n + 2, np.int8)
+        same[1:-1] = data[at : at + n] == np.frombuffer(other, np.uint8)[:n]
+        turn = np.flatnonzero(np.diff(same))
+        opens, closes = turn[::2], turn[1::2]
+        long = closes - opens >= ANCHOR
+        np.add.at(edge, at + opens[long], 1)
+        np.add.at(edge, at + closes[long], -1)
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edge) > 0, [0]]).astype(np.int8)))
     spans = []
-    for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        a, b = int(starts[x]), int(ends[y - 1])
+    for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
         while a < b and 128 <= raw[a] < 192:  # whole characters only
             a += 1
-        while b < len(raw) and 128 <= raw[b] < 192:
-            b += 1
-        if len(raw[a:b].split()) >= RUN_WORDS:
+        while b > a and b < len(raw) and 128 <= raw[b] < 192:
+            b -= 1
+        if units(raw[a:b]) >= RUN_WORDS:
             spans.append((a, b))
-    return spans, len(ends)
+    return spans
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -139,9 +241,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     n_removed counts removed bytes; `removed` has their spans, as byte offsets of the original text.
     """
-    again = repeated(docs).select(F.col("doc_id").alias("i"), F.col("row").alias("r"), "places")
     texts = docs.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    both = texts.join(again, texts["doc_id"].eqNullSafe(again["i"]) & (texts["row"] == again["r"]), "left").select("doc_id", "text", "places")
+    again = repeated(docs, texts)
+    both = texts.join(again, texts["doc_id"].eqNullSafe(again["i"]) & (texts["row"] == again["r"]), "left").select("doc_id", "text", "parts")
     schema = docs.select("doc_id", "text").schema.add("n_chunks", "long").add("n_removed", "long")
     schema = schema.add("removed", docs.sparkSession.range(0).select(F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint>>)").alias("x")).schema["x"].dataType)
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -149,9 +251,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, gone, spans = [], [], [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                found, n = cut_runs(raw, places or [])
+                n = len(chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+                found = cut_runs(raw, [(p["at"], p["bytes"]) for p in own or []])
                 if found:
                     parts, last = [], 0
                     for a, b in found:

@@ -191,6 +191,46 @@ def test_repeated_passages_go_once(spark):
         assert b"".join([*parts, raw[last:]]).decode() == got[k]["text"]
 
 
+def test_passages_of_51_short_words_go_whole(spark):
+    """Passages of 51 words (some 200 bytes), and of 60 letters in a script without blanks, to their exact ends."""
+    rng = np.random.default_rng(7)
+    make = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(1, 6))) for _ in range(n))
+    han = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA0, n)))
+    docs, passages = [], []
+    for k in range(120):
+        some, passage = (make, make(51)) if k % 4 else (han, han(60))
+        passages += [passage, passage]
+        docs += [f"{some(int(rng.integers(0, 90)))}|{k} {passage} {k}|{some(40)}", f"{some(int(rng.integers(0, 90)))}:{k}a {passage} b{k}:{some(40)}"]
+    docs += [docs[1].replace(passages[0], passages[0][:90] + "##" + passages[0][92:])]  # equal on both sides of a change
+    for r in substrings.drop_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)).collect():
+        k = r["doc_id"]
+        if k == 240:
+            assert "##" in r["text"] and r["n_removed"] > len(docs[k]) / 2
+        elif k % 2:
+            assert r["text"] in (docs[k].replace(f" {passages[k]} ", ""), docs[k].replace(passages[k], ""))
+        else:
+            assert r["text"] == docs[k]
+
+
+def test_anchors_are_in_every_window_and_ignore_neighbours():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 97 + kinds, size).astype(np.uint8) for kinds in (1, 2, 26) for size in (0, 20, 31, 32, 33, 126, 127, 128, 900)]
+    data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+
+    def found(data, offsets):
+        which, at, digest = substrings.anchors(data, offsets)
+        keep = substrings.thin(which, at, digest)
+        return which[keep], at[keep], digest[keep]
+
+    which, at, digest = found(data, offsets)
+    for t, x in enumerate(texts):
+        _, alone, same = found(x, np.array([0, len(x)]))
+        assert at[which == t].tolist() == alone.tolist() and digest[which == t].tolist() == same.tolist()
+        last = len(x) - substrings.ANCHOR + 1
+        assert len(alone) if last > 0 else not len(alone)
+        assert last < substrings.WINDOW or np.diff([-1, *alone, last]).max() <= substrings.WINDOW
+
+
 def test_texts_of_one_id_are_told_apart(spark):
     """300,000 texts without an id: some ten pairs would share a key of 32 bits."""
     n = 300_000
