@@ -2,8 +2,9 @@
 
 A character 4-gram model is counted over all documents. Tokens that look disguised (digits or signs among
 letters, letters repeated three times or more, single letters set apart by blanks, dots, hyphens or stars) become
-lattices: each character may be itself, a letter it often stands for, or nothing. Viterbi decoding under the
-character model picks the likeliest letters, and a linear model scores the restored words and their beginnings.
+lattices: each character may be itself, a letter it often stands for, or nothing, and a separator may end a word.
+Viterbi decoding under the character model picks the likeliest words, and a linear model scores the restored words
+and their beginnings.
 
 The linear model learns from at most `SAMPLE` labelled rows: word features are counted by label on the
 executors, the `FEATURES` most telling ones (by likelihood ratio) are kept and weighted by logistic regression.
@@ -37,8 +38,6 @@ LEAST_RATIO = 15.0
 #: Tokens whose features a worker remembers.
 REMEMBERED = 400_000
 BEAM = 48
-#: Characters decoded together.
-PIECE = 64
 
 # ---- the character model ---------------------------------------------------------------------------
 
@@ -115,12 +114,14 @@ COST_DROP_SIGN = 1.0
 COST_DROP_REPEAT = 0.2
 COST_KEEP_REPEAT = 1.2
 SIGNS = ".-_*'~ "
+#: Signs that may also end a word.
+ENDS = " .-_*"
 
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|+(<€£*#%._'~-]+[^\W\d_]|^[0-9@$!|+(<€£]+[^\W\d_]|[^\W\d_][0-9@$|+]+$")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _STRIP = ".,;:!?\"'()[]{}<>*#%&$|~=/\\-_+"
 #: Single characters set apart; they and what is between them are disjoint, so no text makes the search branch.
-SPACED = re.compile(r"(?<!\S)[^\s.\-_*](?:[ .\-_*]{1,2}[^\s.\-_*]){3,}(?![^\s.,!?;:])")
+SPACED = re.compile(r"(?<![^\s(\[{<\"'“‘„«])[^\s.\-_*](?:[ .\-_*]{1,2}[^\s.\-_*]){3,}(?![^\s.,!?;:)\]}>\"'”’“»])")
 
 
 def code(c: str) -> int:
@@ -128,7 +129,7 @@ def code(c: str) -> int:
 
 
 def options(token: str) -> list[list[tuple[str, float]]]:
-    """For each character the letters ("" for none) it may be, with their costs."""
+    """For each character the letters ("" for none, " " for a word's end) it may be, with their costs."""
     out = []
     for c, run in groupby(token):
         n = len(list(run))
@@ -139,32 +140,39 @@ def options(token: str) -> list[list[tuple[str, float]]]:
         some = [(x, COST_STANDS if len(STANDS_FOR[c]) <= 2 else COST_ANY) for x in STANDS_FOR.get(c, "")]
         if c in SIGNS or not some:
             some.append(("", 0.0 if c == " " else COST_DROP_SIGN))
+        if c in ENDS:
+            some.append((" ", 1.0 if c == " " else COST_DROP_SIGN + 1.0))  # as much as nothing
         out += [some] * n
     return out
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest letters of a disguised token in lower case; a long one is decoded piece by piece."""
-    if len(token) > PIECE:
-        return "".join(decode(token[k : k + PIECE], model) for k in range(0, len(token), PIECE))
+    """The likeliest words of a disguised token in lower case, with blanks between them."""
     log = model.log
-    beam = {(0, 0, 0): (0.0, "")}
+    beam: dict[tuple, tuple] = {(0, 0, 0): (0.0, None)}  # the letters as a chain, so that long tokens take no copies
     for some in options(token):
         grown: dict[tuple, tuple] = {}
-        for (a, b, c), (cost, text) in beam.items():
+        for (a, b, c), (cost, chain) in beam.items():
             for letter, extra in some:
-                if letter:
-                    d = code(letter)
-                    state, total = (b, c, d), cost + extra - float(log[a, b, c, d])
-                    out = text + letter
+                if letter == "":
+                    state, total, out = (a, b, c), cost + extra + 1.0, chain
+                elif letter == " " and not c:
+                    continue  # one end between words
                 else:
-                    state, total, out = (a, b, c), cost + extra + 1.0, text
+                    d = 0 if letter == " " else code(letter)
+                    # the history starts anew in each word, as it is counted
+                    state, total, out = (b if c else 0, c, d), cost + extra - float(log[a, b, c, d]), (chain, letter)
                 if state not in grown or total < grown[state][0]:
                     grown[state] = (total, out)
         if len(grown) > BEAM:
             grown = dict(sorted(grown.items(), key=lambda x: x[1][0])[:BEAM])
         beam = grown
-    return min(((cost - float(log[a, b, c, 0]), text) for (a, b, c), (cost, text) in beam.items()), default=(0, ""))[1]
+    ends = ((cost - (float(log[a, b, c, 0]) if c else 0.0), chain) for (a, b, c), (cost, chain) in beam.items())
+    chain, letters = min(ends, key=lambda x: x[0], default=(0, None))[1], []
+    while chain:
+        chain, letter = chain
+        letters.append(letter)
+    return "".join(reversed(letters)).strip()
 
 
 def disguised(token: str) -> bool:
@@ -221,7 +229,7 @@ class Reader:
                 if len(self.seen) >= REMEMBERED:
                     self.seen.clear()
                 word = decode(t, self.model) if " " in t else restore(t, self.model)
-                f = word_features(word)
+                f = [x for w in word.split() for x in word_features(w)]
                 if self.places is not None:
                     f = [self.places[x] for x in f if x in self.places]
                 self.seen[t] = f

@@ -134,6 +134,17 @@ def test_disguised_words_are_restored(spark):
     assert toxicity.restore_text(None, model) is None
 
 
+def test_spaced_words_are_told_from_their_neighbours():
+    texts = ["you are a stupid idiot and a loser", "the moron said you are stupid", "i am such a pathetic clown", "stupid disgusting scum", "a worthless thing"] * 20
+    model = toxicity.CharModel(toxicity.count_grams(*utf8(pa.array(texts))))
+    read = toxicity.Reader(model)
+    for text in ("a s t u p i d", "y o u a r e s t u p i d", "(s t u p i d)", 'he said "s t u p i d".', "y-o-u a-r-e s-t-u-p-i-d", "y o u a r e " * 12 + "s t u p i d"):
+        assert "stupid" in read(text) and "stupid" in re.findall("[a-z]+", toxicity.restore_text(text, model)), text
+    assert toxicity.decode("y o u a r e a s t u p i d", model) == "you are a stupid"
+    for k in range(60):  # wherever a long token was cut
+        assert "stupid" in toxicity.decode("a " * k + "s t u p i d", model).split()
+
+
 def test_char_counts_cover_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = docs.transform(lambda d: toxicity.char_counts(d)).agg(F.sum("n")).first()[0]
