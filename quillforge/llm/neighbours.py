@@ -8,8 +8,8 @@ a sorted heap of k per query, and the heaps of a query are merged in bounded ste
 
 Edge cases: rows with a null id and vectors that are null, empty, zero or hold null or non-finite components take
 no part; a query meets only vectors of its own dimension and never a row with its own id; rows repeated with id and
-vector count once; ties go to the smaller id; a query without candidates has no rows; with an empty table there are
-none. Other columns are ignored.
+vector count once; ties go to the smaller id; distances whose squares leave the range of doubles are infinite, or zero,
+and tie; a query without candidates has no rows; with an empty table there are none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,11 +42,18 @@ TILE = "tile bigint, dim int, n int, ids binary, vecs binary, codes binary, scal
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, norms and upper bounds of the error's norm, row by row."""
-    scale = np.abs(x).max(1) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    error = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(1)) * (1 + 1e-9)
-    return codes, scale, np.sqrt((x * x).sum(1)), error
+    """int8 codes, scales, norms and upper bounds of the error's norm, row by row.
+
+    Rows are brought to a largest component between 1/2 and 1 by a power of two, so that no square leaves the range.
+    """
+    x = x.astype(np.float64, copy=False)
+    power = np.frexp(np.abs(x).max(1))[1]
+    y = np.ldexp(x, -power[:, None])
+    scale = np.abs(y).max(1) / 127
+    codes = np.rint(y / scale[:, None]).astype(np.int8)
+    error = np.sqrt(((y - codes * scale[:, None]) ** 2).sum(1)) * (1 + 1e-9)
+    back = lambda v: np.ldexp(v, power)
+    return codes, back(scale), back(np.sqrt((y * y).sum(1))), back(error)
 
 
 def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -56,7 +63,8 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     for dim in np.unique(sizes[sizes > 0]).tolist():
         own = pa.array(sizes == dim)
-        x = lists.filter(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        x = lists.filter(own).flatten().to_numpy(zero_copy_only=False)
+        x = (x if x.dtype == np.float32 else x.astype(np.float64)).reshape(-1, dim)
         good = np.isfinite(x).all(1) & (x != 0).any(1)
         yield ids.filter(own).to_numpy(zero_copy_only=False).astype(np.int64)[good], x[good]
 
@@ -100,7 +108,8 @@ class Tile:
     def __init__(self, row):
         self.dim, n = int(row.dim), int(row.n)
         self.ids = np.frombuffer(row.ids, np.int64)
-        self.x = np.frombuffer(row.vecs, np.float64).reshape(n, self.dim)
+        # single precision travels as it is and is widened here
+        self.x = np.frombuffer(row.vecs, np.float32 if len(row.vecs) == 4 * n * self.dim else np.float64).reshape(n, self.dim).astype(np.float64, copy=False)
         self.codes = np.frombuffer(row.codes, np.int8).reshape(n, self.dim)
         self.scale, self.norm, self.error = (np.frombuffer(b, np.float64) for b in (row.scale, row.norm, row.error))
 
@@ -115,24 +124,28 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, terms added in order."""
-    d = (x - q).T
-    return np.sqrt(np.cumsum(d * d, axis=0)[-1])  # a plain sum would add in an order that depends on the number of rows
+    with np.errstate(over="ignore", under="ignore"):  # beyond the range a distance is infinite
+        d = (x - q).T
+        return np.sqrt(np.cumsum(d * d, axis=0)[-1])  # a plain sum would add in an order that depends on the number of rows
 
 
 def nearest(q: Tile, c: Tile, k: int, heaps: list[list[tuple[float, int]]]) -> None:
     """Merge the candidates of tile `c` into the sorted heaps of the queries of tile `q`."""
-    dot = products(q.codes, c.codes) * (q.scale[:, None] * c.scale[None, :])
-    slack = q.norm[:, None] * c.error[None, :] + q.error[:, None] * (c.norm + c.error)[None, :]
-    square = (q.norm**2)[:, None] + (c.norm**2)[None, :]
-    slack = 2 * slack + 1e-9 * square
-    mid = square - 2 * dot
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        dot = products(q.codes, c.codes) * q.scale[:, None] * c.scale[None, :]
+        slack = q.norm[:, None] * c.error[None, :] + q.error[:, None] * (c.norm + c.error)[None, :]
+        square = (q.norm**2)[:, None] + (c.norm**2)[None, :]
+        slack = 2 * slack + 1e-9 * square + 1e-300  # squares that underflow lose less than that
+        mid = square - 2 * dot
+        upper, lower = mid + slack, mid - slack
+    wild = ~(np.isfinite(upper) & np.isfinite(lower))  # no bound: such pairs are recomputed
     own = q.ids[:, None] == c.ids[None, :]
-    upper = np.where(own, np.inf, mid + slack)
-    lower = np.where(own, np.inf, mid - slack)
+    upper[own | wild] = np.inf
+    lower[wild] = -np.inf
     bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(upper), np.inf)
     for i in range(len(q.ids)):
         heap = heaps[i]
-        most = min(bound[i], heap[-1][0] ** 2 * (1 + 1e-12) if len(heap) == k else np.inf)
+        most = min(bound[i], heap[-1][0] * heap[-1][0] * (1 + 1e-12) + 1e-300 if len(heap) == k else np.inf)
         live = np.flatnonzero((lower[i] <= most) & ~own[i])
         if not len(live):
             continue

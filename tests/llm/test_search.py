@@ -36,6 +36,26 @@ def test_repeated_rows_push_no_neighbour_out(spark, parts):
     assert got == dict(enumerate([(1, 1.0), (2, 2.0), (2, 2.0), *((k, 2.0) for k in range(3, 10))], 1))
 
 
+@pytest.mark.parametrize(("parts", "tile"), [(1, 2048), (4, 32)])
+def test_repeated_rows_and_wild_values(spark, monkeypatch, parts, tile):
+    """Rows repeated 1 to 30 times, in one tile and across tiles, with components from 1e-320 to 1e200."""
+    monkeypatch.setattr(neighbours, "TILE_ROWS", tile)
+    monkeypatch.setattr(neighbours, "CELL_CANDIDATES", 4 * tile)
+    rng = np.random.default_rng(11)
+    distinct = [(k, (rng.normal(size=4) * 10.0 ** float(rng.choice([-320, -300, -160, -3, 0, 0, 0, 5, 150, 200]))).tolist()) for k in range(90)]
+    distinct = [(k, v) for k, v in distinct if any(v)]
+    rows = [r for r in distinct for _ in range(int(rng.integers(1, 31)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+    got = {}
+    for r in neighbours.nearest_neighbours(df.where("vec_id % 9 = 0"), df, 10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    for q, x in distinct:
+        if q % 9 == 0:
+            with np.errstate(over="ignore"):
+                d = [(float(np.sqrt(reduce(lambda a, t: a + t * t, (np.array(v) - np.array(x)), np.float64(0)))), k) for k, v in distinct if k != q]
+            assert got[q] == dict(enumerate(sorted(d)[:10], 1))
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 1500)), rng.normal(size=(60, 1500)) * rng.uniform(0.01, 9, (60, 1))
