@@ -35,11 +35,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
-OP3_SQL = """
+OP3_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM t),
-c AS (SELECT conv_id, count(*) AS n, list(coalesce(role, '') || chr(1) || (text IS NULL)::VARCHAR || coalesce(text, '') || chr(2) ORDER BY pos) AS l,
-             string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY pos) AS rendered FROM o GROUP BY conv_id),
+c AS (SELECT conv_id, count(*) AS n, list((role IS NULL)::VARCHAR || coalesce(role, '') || chr(1) || (text IS NULL)::VARCHAR || coalesce(text, '') || chr(2) ORDER BY pos) AS l,
+             string_agg('<|' || regexp_replace(coalesce(role, 'unknown'), '<(\\*)\|', '<\1\\|', 'g') || '|>' || chr(10) || regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') || chr(10), '' ORDER BY pos) AS rendered FROM o GROUP BY conv_id),
 p AS (SELECT DISTINCT k, sha256(array_to_string(l[1:k], '')) AS h FROM (SELECT l, unnest(range(1, n)) AS k FROM c)),
 f AS (SELECT *, sha256(array_to_string(l, '')) AS h FROM c),
 m AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = f.n AND p.h = f.h)),
