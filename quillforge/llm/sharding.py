@@ -1,6 +1,7 @@
 """Uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix. Native: SQL functions only.
 
-1. Rows are dealt round robin over source blocks and permuted locally (sorted by a hash of seed and content).
+1. Rows are dealt round robin over source blocks and permuted locally (ordered by content, then sorted by a hash of seed
+   and place, so that copies of a row are permuted like other rows).
 2. One row of SQL draws the matrix of exact counts: block by block, each shard's share is a hypergeometric draw from
    what the shards have left (inversion for narrow supports, a ratio-of-uniforms rejection otherwise), so that the
    matrix has the law of a uniform permutation's.
@@ -10,8 +11,8 @@
 
 Shard sizes differ by at most one row. Slots run without gaps from 0 in each shard.
 
-Edge cases: nulls anywhere are values like others; repeated rows are dealt one by one and are interchangeable; an
-empty table gives no rows; with fewer rows than shards, the first shards get one each; columns named like the
+Edge cases: nulls anywhere are values like others; repeated rows are dealt one by one and part like other rows; a draw
+whose attempts all fail (a probability under 2**-64) is the mode of its law; an empty table gives no rows; with fewer rows than shards, the first shards get one each; columns named like the
 operator's own (`shard`, `slot`) are kept, and the operator's get underscores before their names.
 """
 
@@ -108,7 +109,9 @@ def shuffle_into_shards(df: DataFrame, shards: int = 24, seed: int = 2024, as_sh
     hashed = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
     body = df.select(F.struct(*own).alias("r"), F.xxhash64(F.lit(seed), *hashed).alias("k1"))
     blocks = min(MAX_BLOCKS, shuffle_parts(df.sparkSession))
-    placed = cut(body.repartition(blocks).sortWithinPartitions("k1").select("r", F.monotonically_increasing_id().alias("id")))
+    # the order by content is one that a lost block comes back in; the permutation is by places in it, so that copies part
+    ordered = body.repartition(blocks).sortWithinPartitions("k1").select("r", F.monotonically_increasing_id().alias("at"))
+    placed = cut(ordered.sortWithinPartitions(F.xxhash64(F.lit(seed), "at")).select("r", F.monotonically_increasing_id().alias("id")))
     block, rank = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
     placed = placed.withColumns({"block": block, "rank": rank})
     sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))

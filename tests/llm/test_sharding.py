@@ -57,6 +57,18 @@ def test_shuffle_is_uniform(spark):
     assert abs(together / (47 * runs) - 11 / 47) < 0.03
 
 
+def test_copies_of_a_row_part(spark):
+    """Six copies of each of eight rows, in few blocks: two copies share a shard as often as chance has it."""
+    df = spark.range(48).select((F.col("id") % 8).alias("doc_id")).coalesce(1)
+    together = pairs = 0
+    for seed in range(25):
+        out, shard, _ = sharding.shuffle_into_shards(df, 4, seed)
+        for n in Counter((r["doc_id"], r[shard]) for r in out.collect()).values():
+            together += comb(n, 2)
+        pairs += 8 * comb(6, 2)
+    assert abs(together / pairs - 11 / 47) < 0.05
+
+
 def test_main_path_is_native(spark):
     plan = sharding.shuffle_into_shards(spark.range(10).toDF("doc_id"), 3)[0]._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
