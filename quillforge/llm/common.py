@@ -120,6 +120,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# ---- Bloom filters ---------------------------------------------------------------------------------
+
+#: Bits of a filter: 16 a key, but never more than this (16 MB); a fuller one lets more keys pass, and none is lost.
+BLOOM_BITS = 1 << 27
+
+
+class Bloom:
+    """A set of 64-bit keys that may also say yes to others. Its words are few enough to broadcast."""
+
+    def __init__(self, bits: int, words: np.ndarray | None = None):
+        self.bits, self.words = bits, np.zeros(bits // 64, U64) if words is None else words
+
+    def _places(self, keys: np.ndarray):
+        h = mix(keys.astype(np.int64).view(U64) + U64(_ODD))
+        for _ in range(3):
+            yield h & U64(self.bits - 1)
+            h = mix(h + U64(_ODD))
+
+    def marks(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, bits) that the keys set, each word once."""
+        at = np.sort(np.concatenate(list(self._places(keys))))
+        word = (at >> U64(6)).astype(np.int64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        return word[first], np.bitwise_or.reduceat(U64(1) << (at & U64(63)), first) if len(at) else np.zeros(0, U64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in self._places(keys):
+            out &= (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
+        return out
+
+
+def bloom(keys: DataFrame) -> Bloom:
+    """A filter of the bigint keys in the one column of `keys`; built on the executors, at most `BLOOM_BITS` come back."""
+    import pyarrow as pa
+
+    n = keys.count()
+    empty = Bloom(max(1 << 13, min(BLOOM_BITS, 1 << (16 * n).bit_length())))
+    bits = empty.bits
+
+    def run(batches):
+        shape = Bloom.__new__(Bloom)
+        shape.bits = bits
+        for batch in batches:
+            word, marks = shape.marks(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(marks.view(np.int64))], names=["word", "marks"])
+
+    found = keys.mapInArrow(run, "word bigint, marks bigint").groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
+    empty.words[found.column("word").to_numpy()] = found.column("marks").to_numpy().view(U64)
+    return empty
+
+
+def sift(df: DataFrame, key: str, wanted: Bloom, inside: bool = True) -> DataFrame:
+    """The rows of `df` whose bigint `key` the filter has (or, if not `inside`, hasn't)."""
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
+    at = df.columns.index(key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column(at).to_numpy(zero_copy_only=False)) == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Words:
     """Words of several texts: places in the joined bytes, 64-bit hashes, first word of each text."""
 

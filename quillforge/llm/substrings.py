@@ -1,17 +1,19 @@
-"""Substring deduplication by content-defined anchors and exact extension.
-
-Anchors are pieces of `ANCHOR` bytes whose hash is the least of `WINDOW` places (winnowing), so that equal stretches
-of `ANCHOR + WINDOW - 1` bytes have one in common whatever stands around them. Anchors are compared by 64-bit digests
-over the whole corpus; of equal ones the first by (id, place) stays. Around an anchor that repeats an earlier one the
-bytes are compared with those of the first occurrence, and the stretches that are equal are joined. Those with at
-least `RUN_WORDS` words are removed from the texts; in scripts without blanks each letter counts as a word.
-
-A gear rolling hash over the last 16 bytes cuts each text where its top bits are zero; `n_chunks` counts the chunks
-(between `LEAST` and `MOST` bytes).
-
-Edge cases: null and empty texts have no anchors and come back as they are; a text repeated whole comes back empty but
-for its first document; rows repeated with id and text are treated as one document and all come back; null ids come
-first; an empty table gives no rows; other columns are ignored.
+"""Substring deduplication by content-defined chunking.
+
+A gear rolling hash over the last 16 bytes cuts each text where it is the least of `WINDOW` places in a row. Cuts
+depend on the bytes around them alone, so that insertions shift nothing, and an equal stretch of `SURE` bytes holds a
+whole chunk in common wherever it stands. Variable chunks are deduplicated by a 64-bit digest over the whole corpus:
+of equal ones the first by (id, place) stays. Around a chunk that repeats an earlier one the bytes are compared with
+those of the first occurrence, and the stretches that are equal are joined. Those of at least `RUN_UNITS` units are
+removed from the texts. A unit is a word between blanks; a word of more than 16 bytes counts as several, and in scripts
+without blanks each letter is one.
+
+Texts are chunked twice: once for the digests that occur again, once for the places of those alone. Only texts that
+repeat something, or that others repeat, are shuffled.
+
+Edge cases: null and empty texts have no chunks and come back as they are; a text of `RUN_UNITS` units or more that is
+repeated whole comes back empty but for its first document, a shorter one stays; rows repeated with id and text are
+treated as one document and all come back; null ids come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,26 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, U64, _powers, cut, mix, steps, utf8
-
-LEAST, MOST = 20, 256
-#: A cut where these bits of the rolling hash are zero: once in 32 bytes.
-CUT_BITS = 5
-RUN_WORDS = 20
-#: Bytes of an anchor, and places of which one at least is an anchor.
-ANCHOR, WINDOW = 32, 96
-#: Bytes compared on either side of anchors: an equal stretch that reached farther would have another anchor.
-REACH = ANCHOR + WINDOW
+from .common import _ODD, U64, _powers, bloom, cut, mix, sift, steps, utf8
+
+#: Places of which one at least is a cut; a chunk has at most so many bytes, but for the first of a text.
+WINDOW = 80
+#: Bytes that the rolling hash looks back on.
+SPAN = 16
+#: Fewest bytes that a digest covers: of a shorter chunk, the bytes behind it too.
+LEAST = 32
+#: Equal stretches of so many bytes have a chunk in common.
+SURE = SPAN - 1 + 2 * WINDOW
+RUN_UNITS = 20
+UNIT_BYTES = 16
 #: Letters of scripts written without blanks.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _GEAR = np.random.default_rng(1_918_273).integers(0, 1 << 16, 256, np.uint16)
-_NONE = np.int32((1 << 31) - 1)
-_TOP = np.uint16(((1 << CUT_BITS) - 1) << (16 - CUT_BITS))
+_NONE = np.uint16((1 << 16) - 1)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte, of the last 16 bytes."""
+    """The rolling hash after each byte, of the last `SPAN` bytes."""
     h = _GEAR[data]
     for k in (1, 2, 4, 8):
         more = np.zeros_like(h)
@@ -52,62 +55,55 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of all chunks of the joined texts, and how many chunks each text has."""
-    ends: list[int] = []
-    counts = np.zeros(len(offsets) - 1, np.int64)
-    marks = np.flatnonzero((gear(data) & _TOP) == 0) + 1
-    first = np.searchsorted(marks, offsets)
-    for t in range(len(offsets) - 1):
-        last, stop, n = int(offsets[t]), int(offsets[t + 1]), len(ends)
-        for m in marks[first[t] : first[t + 1]].tolist():
-            while m - last > MOST:
-                last += MOST
-                ends.append(last)
-            if m - last >= LEAST and stop - m >= LEAST:
-                ends.append(m)
-                last = m
-        while stop - last > MOST + LEAST:
-            last += MOST
-            ends.append(last)
-        if stop > last:
-            ends.append(stop)
-        counts[t] = len(ends) - n
-    return np.array(ends, np.int64), counts
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, digest) of the anchors of the joined texts: `ANCHOR` bytes with the least hash of `WINDOW` places.
-
-    Equal stretches of `ANCHOR + WINDOW - 1` bytes have an anchor in common, wherever they stand.
-    """
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the joined texts are cut, apart from their ends: behind bytes with the least hash of `WINDOW` in a row."""
     n, sizes = len(data), np.diff(offsets)
-    places = n - ANCHOR + 1
-    if places < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    rank = np.minimum(gear(data), _NONE - np.uint16(1)) + np.uint16(1)  # 0 is no window
+    # places of one text whose hash covers nothing of the text before
+    fit = np.ones(n, bool)
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, offsets[:-1], 1)
+    np.add.at(edge, np.minimum(offsets[:-1] + SPAN - 1, offsets[1:]), -1)
+    fit &= np.cumsum(edge[:-1]) == 0
+    least = np.full(n + WINDOW, _NONE, np.uint16)
+    least[:n] = np.where(fit, rank, _NONE)
+    _spread(np.minimum, least, WINDOW)
+    # no window begins before the first such place, or so late that it leaves the text
+    edge[:] = 0
+    np.add.at(edge, np.maximum(offsets[1:] - WINDOW + 1, offsets[:-1]), 1)
+    np.add.at(edge, offsets[1:], -1)
+    least[:n][(np.cumsum(edge[:-1]) > 0) | ~fit] = 0
+    least[n:] = 0
+    most = least[:n][::-1].copy()
+    _spread(np.maximum, most, WINDOW)
+    picked = (most[::-1] == rank) & fit
+    for t in np.flatnonzero((sizes >= SPAN) & (sizes < SPAN - 1 + WINDOW)).tolist():  # one window
+        a, b = offsets[t] + SPAN - 1, offsets[t + 1]
+        picked[a:b] = rank[a:b] == rank[a:b].min()
+    ends = offsets[1:][sizes > 0] - 1
+    picked[ends] = False
+    return np.flatnonzero(picked) + 1
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, digest) of the chunks of the joined texts, without the last ones of under `LEAST` bytes."""
+    n = len(data)
+    starts = np.sort(np.concatenate([cuts(data, offsets), offsets[:-1][np.diff(offsets) > 0]])).astype(np.int64)
+    if not len(starts):
+        return starts, starts, starts
+    which = np.searchsorted(offsets, starts, side="right") - 1
+    stop = np.minimum(np.concatenate([starts[1:], [n]]), offsets[1:][which])
+    stop = np.maximum(stop, starts + LEAST)
+    keep = stop <= offsets[1:][which]
+    starts, which, stop = starts[keep], which[keep], stop[keep]
     powers, inverse = _powers(1 << max(12, int(n + 1).bit_length()))
     values = mix((np.arange(256).astype(U64) + U64(1)) * U64(_ODD))
     sums = np.zeros(n + 1, U64)
     np.cumsum(values[data] * powers[:n], out=sums[1:])
-    digest = mix((sums[ANCHOR:] - sums[:places]) * inverse[:places])
-    rank = (digest >> U64(34)).astype(np.int32) + np.int32(1)  # 0 is no window
-    which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[:places]
-    room = offsets[1:][which] - np.arange(places)
-    # least of the `WINDOW` places from each on, then the greatest of the windows that hold a place
-    least = np.full(places + WINDOW, _NONE, np.int32)
-    least[:places] = np.where(room >= ANCHOR, rank, _NONE)
-    rank = least[:places].copy()
-    _spread(np.minimum, least, WINDOW)
-    least[:places][room < ANCHOR + WINDOW - 1] = 0
-    least[places:] = 0
-    most = least[:places][::-1].copy()
-    _spread(np.maximum, most, WINDOW)
-    picked = most[::-1] == rank
-    for t in np.flatnonzero((sizes >= ANCHOR) & (sizes < ANCHOR + WINDOW - 1)).tolist():  # one window
-        own = rank[offsets[t] : offsets[t + 1] - ANCHOR + 1]
-        picked[offsets[t] : offsets[t + 1] - ANCHOR + 1] = own == own.min()
-    at = np.flatnonzero(picked)
-    return which[at], at - offsets[:-1][which[at]], digest[at].astype(np.int64)
+    digest = mix((sums[stop] - sums[starts]) * inverse[starts] + (stop - starts).astype(U64))
+    return which, starts - offsets[:-1][which], digest.view(np.int64)
 
 
 def _spread(of, x: np.ndarray, width: int) -> None:
@@ -120,9 +116,11 @@ def _spread(of, x: np.ndarray, width: int) -> None:
 
 
 def thin(which: np.ndarray, at: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    """Anchors to keep: of equal ones in a row (periodic text) the farthest within `WINDOW` of the one before."""
+    """Chunks to keep: of equal ones in a row (periodic text) the farthest within `WINDOW` of the one before."""
     same = (np.diff(digest, prepend=0) == 0) & (np.diff(which, prepend=-1) == 0) & (np.diff(at, prepend=0) <= WINDOW)
     keep = np.ones(len(at), bool)
+    if not len(at):
+        return keep
     last = -1
     for k in np.flatnonzero(same[:-1] & same[1:]).tolist():  # with an equal one on both sides
         if k - 1 != last:
@@ -140,21 +138,35 @@ def _row(doc_id, text):
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, place, digest): the anchors of the texts of (doc_id, text); places count bytes."""
+def digests(docs: DataFrame) -> DataFrame:
+    """(digest): those of all chunks of the texts of (text), each at least once."""
+    texts = docs.select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for a, b in steps(offsets):
+                found = chunks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([pa.array(found[2][thin(*found)])], names=["digest"])
+
+    return texts.mapInArrow(run, "digest bigint")
+
+
+def chunk_table(docs: DataFrame, again) -> DataFrame:
+    """(doc_id, row, place, digest): the chunks of the texts of (doc_id, text) that the filter `again` has; places count bytes."""
     texts = docs.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), "text")
     schema = texts.select("doc_id", "row").schema.add("place", "integer").add("digest", "long")
+    shared = docs.sparkSession.sparkContext.broadcast(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for a, b in steps(offsets):
-                which, at, digest = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(at):
-                    continue
-                keep = thin(which, at, digest)
-                take = pa.array(which[keep] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at[keep].astype(np.int32)), pa.array(digest[keep])], names=schema.names)
+                found = chunks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                keep = thin(*found) & shared.value.has(found[2])
+                which, at, digest = (x[keep] for x in found)
+                take = pa.array(which + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(digest)], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -162,7 +174,7 @@ def anchor_table(docs: DataFrame) -> DataFrame:
 def wanted(matches: list[dict]) -> list[tuple]:
     """(first document, byte to start at, bytes, place here) of the stretches to compare with a document's own bytes.
 
-    Anchors that are equally far from their first occurrences share a stretch; it reaches `REACH` bytes beyond them.
+    Chunks that are equally far from their first occurrences share a stretch; it reaches `SURE` bytes beyond them.
     """
     groups: dict[tuple, list[int]] = {}
     for m in matches:
@@ -172,19 +184,20 @@ def wanted(matches: list[dict]) -> list[tuple]:
         places.sort()
         first = last = places[0]
         for p in [*places[1:], None]:
-            if p is None or p - last > 2 * REACH:
-                start = max(0, first - REACH, shift)
-                out.append((s_id, s_row, start - shift, last + ANCHOR + REACH - start, start))
+            if p is None or p - last > 2 * SURE:
+                start = max(0, first - SURE, shift)
+                out.append((s_id, s_row, start - shift, last + WINDOW + SPAN + SURE - start, start))
                 first = p
             last = p
     return out
 
 
-def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(i, r, parts): for each document the stretches of first occurrences to compare it with, and where."""
-    table = anchor_table(docs)
+def repeated(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(i, r, parts), the stretches of first occurrences to compare each document with, and where; and (r), those documents."""
+    twice = cut(digests(docs).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    table = chunk_table(docs, bloom(twice))
     own = F.struct("doc_id", "row", "place")  # nulls come first in the order of structs
-    # cut, so that the join has two plain exchanges and adaptive execution can split a common anchor
+    # cut, so that the join has two plain exchanges and adaptive execution can split a common chunk
     first = cut(table.groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     again = table.join(first, "digest").where(own > F.col("first"))
     match = F.struct("place", F.col("first.doc_id").alias("s_id"), F.col("first.row").alias("s_row"), F.col("first.place").alias("s_place"))
@@ -200,15 +213,18 @@ def repeated(docs: DataFrame, texts: DataFrame) -> DataFrame:
                 columns = zip(*asked, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]], names=schema.names)
 
-    asked = found.mapInArrow(run, schema).withColumnsRenamed({"doc_id": "i", "row": "r"})
-    there = texts.join(asked, texts["doc_id"].eqNullSafe(asked["s_id"]) & (texts["row"] == asked["s_row"]), "inner")
+    asked = cut(found.mapInArrow(run, schema).withColumnsRenamed({"doc_id": "i", "row": "r"}))
+    sources = sift(texts, "row", bloom(asked.select("s_row").distinct()))
+    # rows equal in id and text would answer each question again; cut, so that the join can split a hot source
+    sources = cut(sources.groupBy("doc_id", "row").agg(F.first("text").alias("text")))
+    there = sources.join(asked, sources["doc_id"].eqNullSafe(asked["s_id"]) & (sources["row"] == asked["s_row"]), "inner")
     part = F.struct("at", F.expr("substring(CAST(text AS binary), s_at + 1, size)").alias("bytes"))
-    return there.select("i", "r", part.alias("part")).groupBy("i", "r").agg(F.collect_set("part").alias("parts"))
+    return there.select("i", "r", part.alias("part")).groupBy("i", "r").agg(F.collect_set("part").alias("parts")), asked.select("r").distinct()
 
 
 def units(raw: bytes) -> int:
-    """Words between blanks; in scripts without blanks (Han, kana, Thai, Lao, Khmer, Burmese) each letter is one."""
-    return len(UNSPACED.sub(" x ", raw.decode("utf-8", "replace")).split())
+    """Words between blanks, longer ones once for every `UNIT_BYTES`; in scripts without blanks each letter is one."""
+    return sum(1 + (len(w) - 1) // UNIT_BYTES for w in UNSPACED.sub(" x ", raw.decode("utf-8", "replace")).split())
 
 
 def cut_runs(raw: bytes, parts: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
@@ -221,7 +237,7 @@ def cut_runs(raw: bytes, parts: list[tuple[int, bytes]]) -> list[tuple[int, int]
         same[1:-1] = data[at : at + n] == np.frombuffer(other, np.uint8)[:n]
         turn = np.flatnonzero(np.diff(same))
         opens, closes = turn[::2], turn[1::2]
-        long = closes - opens >= ANCHOR
+        long = closes - opens >= LEAST
         np.add.at(edge, at + opens[long], 1)
         np.add.at(edge, at + closes[long], -1)
     turn = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edge) > 0, [0]]).astype(np.int8)))
@@ -231,29 +247,31 @@ def cut_runs(raw: bytes, parts: list[tuple[int, bytes]]) -> list[tuple[int, int]
             a += 1
         while b > a and b < len(raw) and 128 <= raw[b] < 192:
             b -= 1
-        if units(raw[a:b]) >= RUN_WORDS:
+        if units(raw[a:b]) >= RUN_UNITS:
             spans.append((a, b))
     return spans
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_chunks, n_removed, removed): the texts of (doc_id, text) without repeated runs.
+    """(doc_id, text, n_removed, removed): the texts of (doc_id, text) without repeated runs.
 
     n_removed counts removed bytes; `removed` has their spans, as byte offsets of the original text.
     """
     texts = docs.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    again = repeated(docs, texts)
-    both = texts.join(again, texts["doc_id"].eqNullSafe(again["i"]) & (texts["row"] == again["r"]), "left").select("doc_id", "text", "parts")
-    schema = docs.select("doc_id", "text").schema.add("n_chunks", "long").add("n_removed", "long")
-    schema = schema.add("removed", docs.sparkSession.range(0).select(F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint>>)").alias("x")).schema["x"].dataType)
+    again, touched = repeated(docs, texts)
+    wanted = bloom(touched)
+    spans_type = docs.sparkSession.range(0).select(F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint>>)").alias("x")).schema["x"].dataType
+    rest = sift(texts, "row", wanted, inside=False).select("doc_id", "text", F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans_type).alias("removed"))
+    some = sift(texts, "row", wanted)
+    both = some.join(again, some["doc_id"].eqNullSafe(again["i"]) & (some["row"] == again["r"]), "left").select("doc_id", "text", "parts")
+    schema = docs.select("doc_id", "text").schema.add("n_removed", "long").add("removed", spans_type)
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, gone, spans = [], [], [], []
+            texts, gone, spans = [], [], []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                n = len(chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
                 found = cut_runs(raw, [(p["at"], p["bytes"]) for p in own or []])
                 if found:
                     parts, last = [], 0
@@ -262,9 +280,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                         last = b
                     text = b"".join([*parts, raw[last:]]).decode("utf-8", "replace")
                 texts.append(text)
-                sizes.append(n)
                 gone.append(sum(b - a for a, b in found))
                 spans.append([{"start": a, "stop": b} for a, b in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, spans_kind)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(spans, spans_kind)], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return rest.unionByName(both.mapInArrow(run, schema))

@@ -166,20 +166,40 @@ def test_pairwise_ranking_separates():
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.binary(max_size=3000), min_size=1, max_size=5))
-def test_chunks_partition_the_texts(texts):
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.cumsum([0, *map(len, texts)])
-    ends, counts = substrings.chunks(data, offsets)
-    at = 0
+@given(st.lists(st.binary(max_size=1500), min_size=1, max_size=5), st.integers(1, 26))
+def test_cuts_ignore_neighbours_and_come_often(texts, kinds):
+    texts = [bytes(97 + c % kinds for c in t) for t in texts]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found = substrings.cuts(data, offsets)
     for t, raw in enumerate(texts):
-        own = ends[at : at + counts[t]] - offsets[t]
-        at += counts[t]
-        assert (len(raw) == 0 and not len(own)) or own[-1] == len(raw)
-        alone, _ = substrings.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        assert own.tolist() == alone.tolist()  # neighbours don't matter
-        sizes = np.diff([0, *own])
-        assert (sizes <= substrings.MOST + substrings.LEAST).all()
+        own = found[(found > offsets[t]) & (found < offsets[t + 1])] - offsets[t]
+        assert own.tolist() == substrings.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist()
+        ranks = substrings.gear(np.frombuffer(raw, np.uint8))[substrings.SPAN - 1 :]
+        w = min(substrings.WINDOW, len(ranks))
+        want = {p + substrings.SPAN for k in range(len(ranks) - w + 1) for p in range(k, k + w) if ranks[p] == ranks[k : k + w].min()} if w else set()
+        assert set(own.tolist()) == want - {len(raw)}
+
+
+def test_equal_stretches_have_a_chunk_in_common():
+    rng = np.random.default_rng(3)
+    for kinds in (3, 26):
+        for _ in range(300):
+            shared = rng.integers(97, 97 + kinds, substrings.SURE)
+            texts = [np.concatenate([rng.integers(97, 97 + kinds, rng.integers(0, 300)), shared, rng.integers(97, 97 + kinds, rng.integers(0, 300))]).astype(np.uint8) for _ in range(2)]
+            found = [substrings.chunks(x, np.array([0, len(x)])) for x in texts]
+            assert set(found[0][2].tolist()) & set(found[1][2].tolist())
+
+
+def test_filters_lose_nothing(spark):
+    from quillforge.llm.common import bloom, sift
+
+    keys = spark.range(0, 30_000, 3).select((F.col("id") - 9000).alias("k"))
+    found = bloom(keys)
+    assert found.has(np.arange(-9000, 21_000, 3)).all()
+    assert found.has(np.arange(1_000_000, 1_100_000)).mean() < 0.02
+    assert not bloom(keys.limit(0)).has(np.arange(100)).any()
+    inside, outside = (sift(spark.range(-20_000, 30_000).toDF("k"), "k", found, x).count() for x in (True, False))
+    assert inside >= 10_000 and inside + outside == 50_000
 
 
 def test_repeated_passages_go_once(spark):
@@ -223,23 +243,36 @@ def test_passages_of_51_short_words_go_whole(spark):
             assert r["text"] == docs[k]
 
 
-def test_anchors_are_in_every_window_and_ignore_neighbours():
-    rng = np.random.default_rng(3)
-    texts = [rng.integers(97, 97 + kinds, size).astype(np.uint8) for kinds in (1, 2, 26) for size in (0, 20, 31, 32, 33, 126, 127, 128, 900)]
-    data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
-
-    def found(data, offsets):
-        which, at, digest = substrings.anchors(data, offsets)
-        keep = substrings.thin(which, at, digest)
-        return which[keep], at[keep], digest[keep]
-
-    which, at, digest = found(data, offsets)
-    for t, x in enumerate(texts):
-        _, alone, same = found(x, np.array([0, len(x)]))
-        assert at[which == t].tolist() == alone.tolist() and digest[which == t].tolist() == same.tolist()
-        last = len(x) - substrings.ANCHOR + 1
-        assert len(alone) if last > 0 else not len(alone)
-        assert last < substrings.WINDOW or np.diff([-1, *alone, last]).max() <= substrings.WINDOW
+def test_runs_without_blanks_and_copies_of_odd_rows(spark):
+    """Han letters, base64 and addresses repeat without a blank; a short text that is repeated whole stays."""
+    rng = np.random.default_rng(9)
+    han = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 800)))
+    code = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 900))
+    short = "only a few words that are not enough to go"
+    texts = [han, han, code, "x" + code, f"https://host/{code}", short, short, None, None, "", ""]
+    got = {r["doc_id"]: r for r in substrings.drop_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k]["text"] for k in range(len(texts))] == [han, "", code, "x", "https://host/", short, short, None, None, "", ""]
+
+
+def test_repeats_by_brute_force(spark):
+    """What goes stands earlier (in order of ids and places); of stretches of `SURE` bytes that do, what goes is all but
+    the bytes at an end that only another than the first occurrence has too."""
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(3000)]
+    passages = [" ".join(rng.choice(vocab, 60)) for _ in range(6)]
+    docs = [" ".join(x for _ in range(3) for x in (" ".join(rng.choice(vocab, 40)), passages[int(rng.integers(6))])) for _ in range(60)]
+    got = {r["doc_id"]: r for r in substrings.drop_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()}
+    n, seen = substrings.SURE, set()
+    for k, text in enumerate(docs):
+        spans = [(s["start"], s["stop"]) for s in got[k]["removed"]]
+        for p in range(len(text) - n + 1):
+            if text[p : p + n] in seen:
+                assert any(a <= p + 12 and p + n - 12 <= b for a, b in spans), (k, p)
+            seen.add(text[p : p + n])
+        for a, b in spans:
+            assert substrings.units(text[a:b].encode()) >= substrings.RUN_UNITS
+            whole = [text[a + x : a + x + 32] in docs[j] for x in range(0, b - a - 31) for j in range(k + 1)]
+            assert any(whole)
 
 
 def test_texts_of_one_id_are_told_apart(spark):
