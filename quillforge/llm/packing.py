@@ -2,10 +2,10 @@
 
 Documents are tokenised; longer ones are cut into pieces of `CAPACITY` tokens of which the first may be shorter.
 Full pieces are sequences of their own. The others are dealt into partitions, each packed by best-fit decreasing;
-dual feasible functions give a lower bound that certifies a partition's count of sequences. As long as all
-partitions together have more sequences than the bound over the whole histogram of lengths allows, they exchange
-the documents of their least filled sequences: these are dealt into fewer partitions and packed again, until the
-bound is met or one partition was left.
+dual feasible functions give a lower bound that certifies a partition's count of sequences. A partition that meets its
+bound is settled and never touched again. Those with gaps keep their full sequences, put the documents of the others
+together, and these are dealt into fewer partitions and packed again. A round that saves no sequence is undone and ends
+the exchange, as does a round of one partition, or one without a gap.
 
 Edge cases: a null text is an empty one, and an empty text is the end token alone; repeated rows and ids are packed
 row by row; null ids are kept; an empty table gives no rows; columns other than the id are not returned.
@@ -18,6 +18,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,14 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, process_cache
+from .common import cut, fresh, process_cache
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces in a partition, about.
-GROUP = 8_192
-#: Least filled sequences that a partition gives up for exchange.
-RELEASED = 48
+GROUP = 65_536
 
 # ---- tokens ------------------------------------------------------------------------------------------
 
@@ -145,16 +144,15 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
     s = np.flatnonzero(counts)
     if not len(s):
         return 0
-    c, best = counts[s].astype(object), -(-int((s * counts[s]).sum()) // capacity)
     counts_s = counts[s].astype(np.int64)
-    for e in range(0, capacity // 2 + 1, 1 if len(s) < 64 else 4):
+    best = -(-int((s * counts_s).sum()) // capacity)
+    for e in range(0, capacity // 2 + 1):
         x = np.where(s > capacity - e, capacity, np.where(s < e, 0, s)).astype(np.int64)
         best = max(best, -(-int((x * counts_s).sum()) // capacity))
         for k in (1, 2, 3, 4, 5, 7, 9):
             up = (k + 1) * x
             f = np.where(up % capacity == 0, x * k, up // capacity * capacity)  # k * capacity is a full sequence
             best = max(best, -(-int((f * counts_s).sum()) // (k * capacity)))
-    del c
     return best
 
 
@@ -184,24 +182,22 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(fill, np.int64)
 
 
-_PACKED = "group bigint, bin bigint, offset bigint, kept boolean, bins bigint, bound bigint"
+_PACKED = "group bigint, bin bigint, offset bigint, full boolean, bins bigint, bound bigint"
 
 
-def _pack_groups(items: DataFrame, groups: int, release: int) -> DataFrame:
-    """Items with their partition, bin, offset, whether they stay, and the partition's count and bound."""
-    own = [f.name for f in items.schema.fields]
+def _pack_groups(items: DataFrame, groups: int) -> DataFrame:
+    """Items with their partition, bin, offset, whether the bin is full, and the partition's count and bound."""
     schema = T.StructType([*items.schema.fields, *T.StructType.fromDDL(_PACKED).fields])
+    own = [f.name for f in items.schema.fields]
     dealt = items.withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", kind="stable", ignore_index=True)
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths)
-        bound = lower_bound(np.bincount(lengths, minlength=CAPACITY + 1))
-        gone = np.argsort(fill, kind="stable")[:release]
         out = pdf[own].copy()
-        out["group"], out["bin"], out["offset"] = pdf["group"], bins, offsets
-        out["kept"], out["bins"], out["bound"] = ~np.isin(bins, gone), len(fill), bound
+        out["group"], out["bin"], out["offset"], out["full"] = pdf["group"], bins, offsets, fill[bins] == CAPACITY
+        out["bins"], out["bound"] = len(fill), lower_bound(np.bincount(lengths, minlength=CAPACITY + 1))
         return out
 
     return dealt.groupBy("group").applyInPandas(run, schema)
@@ -210,27 +206,33 @@ def _pack_groups(items: DataFrame, groups: int, release: int) -> DataFrame:
 def pack(items: DataFrame) -> DataFrame:
     """The pieces (any columns, with `length` from 1 to `CAPACITY`) with `sequence_id` and `offset`."""
     own = list(items.columns)
-    items = cut(items.withColumn("uid", F.monotonically_increasing_id()))
-    full = items.where(F.col("length") == CAPACITY).select(*own, (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    rest = items.where(F.col("length") < CAPACITY)
-    lengths = rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # CAPACITY rows at most
-    counts = np.zeros(CAPACITY + 1, np.int64)
-    for r in lengths:
-        counts[r["length"]] = r["n"]
-    bound, left, round_, out, settled = lower_bound(counts), int(counts.sum()), 0, full, 0
+    # only a piece's number and length go through the rounds; the other columns meet the result once
+    items = cut(items.withColumn(uid := fresh(items, "uid"), F.monotonically_increasing_id()))
+    full = F.col("length") == CAPACITY
+    rest = items.where(~full).select(F.col(uid).alias("uid"), F.col("length").cast("long").alias("length"))
+    left, round_, settled, earlier = rest.count(), 0, [], None
     while left:
         groups = max(1, math.ceil(left / GROUP))
-        packed = cut(_pack_groups(rest, groups, 0 if groups == 1 else RELEASED))
-        sums = packed.agg(F.count_if(~F.col("kept")).alias("released")).first()
-        each = packed.groupBy("group").agg(F.max("bins").alias("bins")).agg(F.sum("bins").alias("bins")).first()
-        sequence = (F.lit(round_) * F.lit(1 << 56) + F.col("group") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id")
-        done = settled + each["bins"] <= bound or not sums["released"]
-        stays = packed if done else packed.where("kept")
-        out = out.unionByName(stays.select(*own, sequence, "offset"))
-        if done:
+        packed = cut(_pack_groups(rest, groups).withColumn("round", F.lit(round_)))
+        bins = packed.groupBy("group").agg(F.max("bins").alias("bins")).agg(F.sum("bins").alias("n")).first()["n"]
+        if earlier is not None and bins >= earlier[1]:
+            settled.append(earlier[0])  # nothing saved: the sequences that were given up stay
+            break
+        certified = F.col("bins") <= F.col("bound")
+        gives = ~certified & ~F.col("full")
+        given = packed.where(gives)
+        left, count = given.count(), given.select("group", "bin").distinct().count()
+        if groups == 1 or not left:
+            settled.append(packed)
             break
-        settled += stays.select("group", "bin").distinct().count()
-        rest, left, round_ = packed.where("NOT kept").select(*own, "uid"), int(sums["released"]), round_ + 1
+        settled.append(packed.where(~gives))
+        rest, earlier, round_ = given.select("uid", "length"), (given, count), round_ + 1
+    sequence = (F.col("round") * F.lit(1 << 56) + F.col("group") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id")
+    out = items.where(full).select(*[F.col(f"`{c}`") for c in own], (-F.col(uid) - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    if settled:
+        places = reduce(DataFrame.union, [x.select(F.col("uid").alias("placed"), sequence, "offset") for x in settled])
+        met = items.where(~full).join(places, items[uid] == places["placed"])
+        out = out.union(met.select(*[F.col(f"`{c}`") for c in own], "sequence_id", "offset"))
     return out
 
 
