@@ -3,13 +3,14 @@
 A character 4-gram model is counted over all documents. Tokens that look disguised (digits or signs among
 letters, letters repeated three times or more, single letters set apart by blanks, dots, hyphens or stars) become
 lattices: each character may be itself, a letter it often stands for, or nothing, and a separator may end a word.
-Viterbi decoding under the character model picks the likeliest words, and a linear model scores the restored words
-and their beginnings.
+Viterbi decoding under the character model, over all states, picks the likeliest words, and a linear model scores the
+set of restored words of a text and of their beginnings (the words that `restore_text` puts into the text).
 
-The linear model learns from at most `SAMPLE` labelled rows: word features are counted by label on the
-executors, the `FEATURES` most telling ones (by likelihood ratio) are kept and weighted by logistic regression.
+The linear model learns from at most `SAMPLE` labelled rows, one a document id: word features are counted by label on
+the executors, and those that tell something (likelihood ratio of `LEAST_RATIO`, `LEAST_DOCS` documents) are weighted by
+logistic regression. There is no limit on their number but that of the sample's words.
 
-Edge cases: null and empty texts have no words and get the score of the bias alone; without labels of both
+Edge cases: long runs of letters and digits that look like digests or keys are taken as they are; null and empty texts have no words and get the score of the bias alone; without labels of both
 kinds every score is the share of toxic labels (0 if none); repeated rows are scored alike; other columns pass
 through under their names.
 """
@@ -17,6 +18,7 @@ through under their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -30,14 +32,14 @@ from .common import LOWER, fresh, steps, utf8
 from .labels import labelled
 
 SAMPLE = 20_000
-FEATURES = 4_096
 #: Documents that must have a feature before it is considered.
 LEAST_DOCS = 8
 #: Log-likelihood ratio below which a feature tells nothing.
 LEAST_RATIO = 15.0
 #: Tokens whose features a worker remembers.
 REMEMBERED = 400_000
-BEAM = 48
+#: Characters from which a token is decoded by arrays of states; the result is the same.
+LONG = 64
 
 # ---- the character model ---------------------------------------------------------------------------
 
@@ -148,14 +150,18 @@ def options(token: str) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, model: CharModel) -> str:
     """The likeliest words of a disguised token in lower case, with blanks between them."""
+    return (decode_long if len(token) >= LONG else decode_short)(token, model)
+
+
+def decode_short(token: str, model: CharModel) -> str:
     log = model.log
-    beam: dict[tuple, tuple] = {(0, 0, 0): (0.0, None)}  # the letters as a chain, so that long tokens take no copies
+    states: dict[tuple, tuple] = {(0, 0, 0): (0.0, None)}  # at most SIZE**3; the letters as a chain
     for some in options(token):
         grown: dict[tuple, tuple] = {}
-        for (a, b, c), (cost, chain) in beam.items():
+        for (a, b, c), (cost, chain) in states.items():
             for letter, extra in some:
                 if letter == "":
-                    state, total, out = (a, b, c), cost + extra + 1.0, chain
+                    state, total, out = (a, b, c), cost + (extra + 1.0), chain
                 elif letter == " " and not c:
                     continue  # one end between words
                 else:
@@ -164,10 +170,8 @@ def decode(token: str, model: CharModel) -> str:
                     state, total, out = (b if c else 0, c, d), cost + extra - float(log[a, b, c, d]), (chain, letter)
                 if state not in grown or total < grown[state][0]:
                     grown[state] = (total, out)
-        if len(grown) > BEAM:
-            grown = dict(sorted(grown.items(), key=lambda x: x[1][0])[:BEAM])
-        beam = grown
-    ends = ((cost - (float(log[a, b, c, 0]) if c else 0.0), chain) for (a, b, c), (cost, chain) in beam.items())
+        states = grown
+    ends = ((cost - (float(log[a, b, c, 0]) if c else 0.0), chain) for (a, b, c), (cost, chain) in states.items())
     chain, letters = min(ends, key=lambda x: x[0], default=(0, None))[1], []
     while chain:
         chain, letter = chain
@@ -175,8 +179,52 @@ def decode(token: str, model: CharModel) -> str:
     return "".join(reversed(letters)).strip()
 
 
+def decode_long(token: str, model: CharModel) -> str:
+    """`decode_short` with the states of a character in arrays, and what led to each kept for the way back."""
+    flat = model.log.reshape(-1).astype(np.float64)
+    state, cost = np.zeros(1, np.int64), np.zeros(1)  # a, b, c in base SIZE
+    back = []
+    for some in options(token):
+        c, to, total, origin, which = state % SIZE, [], [], [], []
+        for k, (letter, extra) in enumerate(some):
+            if letter == "":
+                use, new, sum_ = np.arange(len(state)), state, cost + (extra + 1.0)
+            else:
+                d = 0 if letter == " " else code(letter)
+                use = np.flatnonzero(c) if letter == " " else np.arange(len(state))
+                history = np.where(c[use] > 0, state[use] % SIZE**2, 0) * SIZE  # b and c, or nothing
+                new, sum_ = history + d, cost[use] + extra - flat[state[use] * SIZE + d]
+            to.append(new)
+            total.append(sum_)
+            origin.append(use)
+            which.append(np.full(len(use), k, np.int8))
+        to, total, origin, which = (np.concatenate(x) for x in (to, total, origin, which))
+        order = np.lexsort((which, origin, total, to))
+        first = order[np.flatnonzero(np.diff(to[order], prepend=-1))]
+        state, cost = to[first], total[first]
+        back.append((origin[first].astype(np.int16 if len(c) < 1 << 15 else np.int32), which[first], some))
+    if not len(state):
+        return ""
+    at = int(np.argmin(cost - np.where(state % SIZE > 0, flat[state * SIZE], 0.0)))
+    letters = []
+    for origin, which, some in reversed(back):
+        letters.append(some[which[at]][0])
+        at = int(origin[at])
+    return "".join(reversed(letters)).strip()
+
+
+#: Hexadecimal digests, and long tokens of which most are digits.
+_DIGEST = re.compile(r"\A(?=.{0,64}[0-9])[0-9a-f]{16,}\Z")
+
+
 def disguised(token: str) -> bool:
-    return bool(_MIXED.search(token) or _REPEATED.search(token))
+    """Whether a token looks disguised: two letters at least, no digest, no number with a few letters."""
+    if not (_MIXED.search(token) or _REPEATED.search(token)):
+        return False
+    letters = sum(map(str.isalpha, token))
+    if letters < 2 or _DIGEST.match(token):
+        return False
+    return len(token) < 24 or sum(map(str.isdigit, token)) <= letters
 
 
 def restore(token: str, model: CharModel) -> str:
@@ -244,17 +292,20 @@ class Model:
 
 
 def telling(rows: DataFrame, chars: CharModel) -> tuple[list[str], int, int]:
-    """The most telling features of (_label, _text), and how many rows have either label."""
+    """The telling features of (_label, _text), a bounded sample, and how many rows have either label."""
     shared = rows.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(shared.value)
         for batch in batches:
+            seen: tuple[Counter, Counter] = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                f = sorted(read(text.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(["", *f]), pa.array(np.full(len(f) + 1, label, np.int32))], names=["f", "y"])
+                seen[label][""] += 1
+                seen[label].update(read(text.as_py()))
+            for label, found in enumerate(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([label * n for n in found.values()], pa.int64()), pa.array(found.values(), pa.int64())], names=["f", "n1", "n"])
 
-    counts = rows.select("_label", "_text").mapInArrow(run, "f string, y int").groupBy("f").agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n"))
+    counts = rows.select((F.col("_label") != 0).cast("int"), "_text").mapInArrow(run, "f string, n1 bigint, n bigint").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     total = counts.where("f = ''").first()
     if total is None:
         return [], 0, 0
@@ -266,7 +317,7 @@ def telling(rows: DataFrame, chars: CharModel) -> tuple[list[str], int, int]:
     part = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
     ratio = 2 * (part(a, n * share) + part(n - a, n * (1 - share)) + part(n1 - a, (n0 + n1 - n) * share) + part(n0 - n + a, (n0 + n1 - n) * (1 - share)))
     best = counts.where((F.col("f") != "") & (F.col("n") >= LEAST_DOCS) & (F.col("n") < n0 + n1)).withColumn("r", ratio).where(F.col("r") >= LEAST_RATIO)
-    return [r["f"] for r in best.orderBy(F.desc("r"), "f").limit(FEATURES).select("f").collect()], n0, n1
+    return [r["f"] for r in best.orderBy("f").select("f").collect()], n0, n1
 
 
 def logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float = 0.2, rounds: int = 600) -> tuple[np.ndarray, float]:
