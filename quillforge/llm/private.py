@@ -1,15 +1,17 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick automaton finds anchors in the whole text: at-signs, plus signs, digits, schemes and identifier
-cues ("iban", "ssn", "account no" and the like). Each anchor is expanded by a deterministic local parser that
-looks only at the run of characters around it and validates what it found:
+One Aho-Corasick automaton finds anchors in the whole text, in any case of ASCII letters: at-signs, plus signs, digits,
+schemes and identifier cues ("iban", "ssn", "account no", "token" and the like). Each anchor is expanded by a
+deterministic local parser that looks only at the run of characters around it and validates what it found; no run is
+read again from each anchor in it, so that the time is proportional to the text:
 
 * base kinds, exactly the leftmost non-overlapping matches of fixed patterns over the text: `email`, `ip` (parts at
   most 255), `card` (12 to 19 digits, Luhn), `phone` (9 to 15 digits); a match that fails validation is dropped
   without a retry;
 * kinds that the anchors add: `url` (a scheme's address that carries user information, or a `mailto:`),
   `iban` (after its cue or not, checksum modulo 97), `account` (6 to 20 digits, letters or separators with at
-  least 6 digits after a cue).
+  least 6 digits after a cue), `secret` (what is assigned to a cue such as "token" or "api_key": 8 characters or more,
+  letters as well as digits, or 20 or more).
 
 Spans are code-point offsets, end exclusive, ordered by start and then by kind in the order of `KINDS`.
 
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from .common import fresh
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "iban", "account")
+KINDS = (*BASE_KINDS, "url", "iban", "account", "secret")
 
 LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -43,12 +45,16 @@ NUMERIC_RUN = re.compile(r"[0-9][0-9.\x20-]*")
 
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:")
 CUES = ("iban", "ssn", "social security", "passport", "account", "acct", "konto", "cuenta", "compte")
-URL_WITH_USER = re.compile(r"(?:https?|s?ftp|ssh)://[^\s/@\"'<>]+@[^\s\"'<>]+|mailto:[^\s@\"'<>]+@[^\s\"'<>]+", re.IGNORECASE)
+SECRETS = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "api key", "access key", "access_key", "private key", "private_key", "bearer")
+URL_WITH_USER = re.compile(r"(?:https?|s?ftp|ssh)://[^\s/@\"'<>]+@[^\s\"'<>]+", re.IGNORECASE)
+MAIL_RUN = re.compile(r"[^\s@\"'<>]*")
+MAIL_REST = re.compile(r"@[^\s\"'<>]+")
+ASSIGNED = re.compile(r"[\"']?\s{0,2}(?::=|=>|[:=])\s{0,2}[\"']?([A-Za-z0-9_./+-]+={0,2})")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b")
-ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|num|number|id|#))?\.?[\x20:#=]{0,3}([A-Z0-9](?:[\x20-]?[A-Z0-9]){5,19})(?![A-Za-z0-9])", re.IGNORECASE)
+ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|num|number|id|#))?\.?[\x20:#=]{0,3}([A-Z0-9](?:[\x20-]?[A-Z0-9]){5,19})(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 
-DETAIL = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string,masked:string>"
-FIELDS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked")
+DETAIL = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string,n_spans:bigint,masked:string>"
+FIELDS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "masked")
 _WORDISH = re.compile(r"[A-Za-z0-9_]")
 
 
@@ -68,7 +74,7 @@ def iban_valid(text: str) -> bool:
 
 
 def automaton():
-    """Anchors: ("at" | "plus" | "digit" | "scheme" | "cue", length)."""
+    """Anchors of lower-cased texts: ("at" | "plus" | "digit" | "scheme" | "cue" | "secret", length)."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -76,19 +82,27 @@ def automaton():
     a.add_word("+", ("plus", 1))
     for d in "0123456789":
         a.add_word(d, ("digit", 1))
-    for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
+    for kind, words in (("scheme", SCHEMES), ("cue", CUES), ("secret", SECRETS)):
         for w in words:
-            for form in {w, w.upper(), w.title(), w.capitalize()}:
-                a.add_word(form, (kind, len(w)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
 
+_LOWER = {k: k + 32 for k in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """`text` in lower case, letter by letter at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text, ordered."""
     found: list[tuple[int, int, str]] = []
-    email_end = phone_end = run_end = url_end = 0
-    for at, (what, size) in anchors.iter(text):
+    email_end = phone_end = run_end = url_end = mail_end = 0
+    for at, (what, size) in anchors.iter(lowered(text)):
         start = at - size + 1
         if what == "digit":
             if at < run_end:
@@ -112,10 +126,19 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     found.append((at, m.end(), "phone"))
         elif what == "scheme":
-            m = URL_WITH_USER.match(text, start) if start >= url_end else None
+            if start < url_end:
+                continue
+            if size == 7:  # mailto: all such anchors in a run share its end
+                if at >= mail_end:
+                    mail_end = MAIL_RUN.match(text, at + 1).end()
+                m = MAIL_REST.match(text, mail_end) if mail_end > at + 1 else None
+            else:
+                m = URL_WITH_USER.match(text, start)
             if m:
                 url_end = m.end()
                 found.append((start, url_end, "url"))
+        elif what == "secret":
+            _assigned(text, start, at + 1, found)
         else:
             _after_cue(text, start, at + 1, found)
     if len(found) > 1:
@@ -168,6 +191,14 @@ def _after_cue(text: str, a: int, b: int, found: list) -> None:
         found.append((m.start(1), m.end(1), "account"))
 
 
+def _assigned(text: str, a: int, b: int, found: list) -> None:
+    if a and text[a - 1].isalnum():
+        return
+    m = ASSIGNED.match(text, b)
+    if m and len(m[1]) >= 8 and (len(m[1]) >= 20 or (any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]))):
+        found.append((m.start(1), m.end(1), "secret"))
+
+
 def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -190,10 +221,10 @@ _NONE = hashlib.sha256(b"").hexdigest()
 def report(text: str | None, anchors, masked: bool) -> tuple:
     spans = spans_of(text, anchors) if text else []
     if not spans:
-        return 0, 0, 0, 0, _NONE, "", None
+        return 0, 0, 0, 0, _NONE, "", 0, None
     base = [s for s in spans if s[2] in BASE_KINDS]
     count = [sum(s[2] == k for s in base) for k in BASE_KINDS]
-    return (*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), mask(text, spans) if masked else None)
+    return (*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), mask(text, spans) if masked else None)
 
 
 def find_private(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, masked: bool = True) -> DataFrame:
@@ -205,7 +236,7 @@ def find_private(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     keep = list(docs.columns) if keep is None else keep
     whole = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
     schema = T.StructType(whole.schema.fields[:-1]).add(name, T.StructType.fromDDL(f"x {DETAIL}")["x"].dataType)
-    kinds = pa.struct([(f, pa.int64()) for f in FIELDS[:4]] + [(f, pa.string()) for f in FIELDS[4:]])
+    kinds = pa.struct([(f, pa.int64() if f.startswith("n_") else pa.string()) for f in FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
