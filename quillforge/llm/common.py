@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run `df` once and keep its rows in the shared checkpoint folder, without lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    The folder is `spark.checkpoint.dir`; only where it is unset (tests) a temporary one is taken.
+    Only where it is unset and everything runs in one process (tests) a temporary one is taken; a cluster must name one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Run `df` once and keep its rows in the shared checkpoint folder, without lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """Tables in the shared folder, for rounds of work: each is read with its true size, and all go at the end.
+
+    A checkpoint keeps the estimates of the plan that it cuts. Over rounds of joins they multiply, until planning takes
+    longer than the work; and a small table is never seen to be small.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+        self.names, self.made = [], 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.names.append(f"{self.top}/{self.made}")
+        self.made += 1
+        df.write.parquet(self.names[-1])
+        return self.spark.read.schema(df.schema).parquet(self.names[-1])
+
+    def drop(self, keep: int = 0) -> None:
+        """Remove all tables but the last `keep`; only call it when nothing reads them any more."""
+        for path in [self.names.pop(0) for _ in range(len(self.names) - keep)]:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -187,12 +221,15 @@ def sift(df: DataFrame, key: str, wanted: Bloom, inside: bool = True) -> DataFra
 
 
 class Words:
-    """Words of several texts: places in the joined bytes, 64-bit hashes, first word of each text."""
+    """Words of several texts: places in the joined bytes, 64-bit hashes, first word of each text.
+
+    `table` tells the bytes of words; `like` is another split of the same texts, whose sums are used again.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.low = low = LOWER[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE, like: Words | None = None):
+        self.low = low = LOWER[data] if like is None else like.low
         n = len(low)
-        inside = WORD_BYTE[low]
+        inside = table[low]
         opens, closes = inside.copy(), inside.copy()
         if n:
             opens[1:] &= ~inside[:-1]
@@ -205,11 +242,14 @@ class Words:
         self.starts = np.flatnonzero(opens)
         self.ends = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)  # n + 1 entries
-        size = 1 << max(12, int(n + 1).bit_length())
-        powers, inverse = _powers(size)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((low.astype(U64) + U64(1)) * powers[:n], out=sums[1:])
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        if like is None:
+            size = 1 << max(12, int(n + 1).bit_length())
+            powers, self.inverse = _powers(size)
+            self.sums = np.zeros(n + 1, U64)
+            np.cumsum((low.astype(U64) + U64(1)) * powers[:n], out=self.sums[1:])
+        else:
+            self.sums, self.inverse = like.sums, like.inverse
+        self.hash = mix((self.sums[self.ends] - self.sums[self.starts]) * self.inverse[self.starts])
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the `width` words from each word on, and whether all of them are of one text."""

@@ -4,19 +4,22 @@ Texts become sets of hashed word 5-grams (words as in the other operators: digit
 ASCII, lower-cased; a text of one to four words is one gram). Equal sets are one class member from the start.
 
 1. One pass computes set digests and MinHash sketches (`HASHES` values of 16 bits); texts leave the plan.
-2. Band keys of the distinct sets meet; each bucket links its members to its least member only (no pairs), and the
-   components of these links hold every candidate pair.
-3. Components are dealt into cells of bounded size, block against block. In a cell, pairs are compared sketch value by
+2. Band keys are counted first; a Bloom filter of those that occur twice picks the (key, set) rows that go further.
+3. Each bucket links its members to its least member only (no pairs); the components of these links hold every
+   candidate pair. The pairs to look at are those within a component or, where that is less work (chains through
+   shared passages), those within its buckets, each pair in the first band it shares.
+4. Groups are dealt into cells of bounded size, block against block. In a cell, pairs are compared sketch value by
    sketch value, `STEP` at a time; a pair goes when the posterior probability (uniform prior) of reaching the threshold
-   falls below `TOLERANCE`. Survivors are verified exactly on their gram sets. A cell returns per member its number
-   of links and one link towards a root of the cell, never pairs.
-4. Components of these verified links are the near-duplicate classes; links are summed per member.
+   falls below `TOLERANCE`. Survivors are verified exactly on their gram sets, which are read again for members of
+   groups alone. A cell returns per member its number of links and one link towards a root of the cell, never pairs.
+5. Components of these verified links are the near-duplicate classes; links are summed per member.
 
 At the threshold of 0.8 the bands miss a pair with a probability of 3e-6, the pruning with one below 1e-5.
 
-Edge cases: texts without words (null and empty ones too) are linked to nothing and are classes of their own; equal
-gram sets share a class and one sketch; null ids stay null; a class whose ids are all null has a null id; repeated
-rows are members like others; an empty table gives no rows; other columns are ignored or pass through.
+Edge cases: null texts are linked to nothing and are classes of their own; texts without words (empty ones too) share
+a class if they are equal; equal gram sets share a class and one sketch, and n_copies counts them; null ids stay null;
+a class whose ids are all null has a null id; repeated rows are members like others; an empty table gives no rows;
+other columns are ignored or pass through.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, fresh, steps, utf8
+from .common import Bloom, Words, bloom, cut, fresh, mix, sift, steps, utf8
 from .graph import components
 
 WIDTH = 5
@@ -77,8 +80,18 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return out.astype(np.uint16)
 
 
-def digest(grams: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+def digest(grams: np.ndarray, raw: bytes = b"") -> bytes:
+    """Of the grams, or for a text without words of its bytes."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else hashlib.blake2b(raw, digest_size=16, person=b"no words").digest()
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """64-bit keys of the bands, one row for each sketch; the band is part of its key."""
+    out = np.zeros((len(sketches), BANDS), np.uint64)
+    parts = sketches.reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
+    for r in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r] + np.uint64(1))
+    return mix(out + np.arange(1, BANDS + 1, dtype=np.uint64)[None, :])
 
 
 def least_matches(threshold: float, hashes: int, tolerance: float) -> int:
@@ -149,10 +162,21 @@ def shared_grams(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.
     return total[xa, xb].astype(np.int64)
 
 
-def cell_links(a: list, b: list | None, threshold: float) -> list[tuple[bytes, int, bytes]]:
+def first_shared(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Whether pairs (i of a, j of b) of sketches share no band before `band`."""
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        p = slice(k, k + (1 << 14))
+        same = a[i[p], : ROWS * band] == b[j[p], : ROWS * band]
+        out[p] = ~same.reshape(-1, band, ROWS).all(2).any(1)
+    return out
+
+
+def cell_links(a: list, b: list | None, threshold: float, band: int = -1) -> list[tuple[bytes, int, bytes]]:
     """(digest, links in the cell, least digest of its component in the cell) of the linked members.
 
-    `a` and `b` hold (digest, sketch, grams); without `b` the pairs are those of `a`.
+    `a` and `b` hold (digest, sketch, grams); without `b` the pairs are those of `a`. In a cell of one band's bucket,
+    pairs that share an earlier band are left to that one.
     """
     same = b is None
     b = a if same else b
@@ -162,6 +186,9 @@ def cell_links(a: list, b: list | None, threshold: float) -> list[tuple[bytes, i
     ga, gb = ([np.frombuffer(r[2], np.uint64) for r in x] for x in (a, b))
     na, nb = np.array([len(g) for g in ga]), np.array([len(g) for g in gb])
     i, j = surviving(sk(a), sk(b), na, nb, same, threshold)
+    if band > 0 and len(i):
+        keep = first_shared(sk(a), sk(b), i, j, band)
+        i, j = i[keep], j[keep]
     if not len(i):
         return []
     both = shared_grams(ga, gb, i, j)
@@ -184,19 +211,24 @@ def cell_links(a: list, b: list | None, threshold: float) -> list[tuple[bytes, i
 
 
 def _text_key(text):
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")))
+
+
+def _id_key(c):
+    return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, text_key, digest, n, sketch): one pass over the texts. Texts without words have a null digest."""
+    """(doc_id, text_key, digest, n, sketch): one pass over the texts. Null texts have a null digest."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("t"))
     schema = texts.select("doc_id", "text_key").schema.add("digest", "binary").add("n", "integer").add("sketch", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ds, ns, ss = [], [], []
-            for g in gram_sets(*utf8(batch.column(2))):
-                ds.append(digest(g))
+            data, offsets = utf8(batch.column(2))
+            for t, (g, valid) in enumerate(zip(gram_sets(data, offsets), batch.column(2).is_valid().to_pylist(), strict=True)):
+                ds.append(digest(g, b"" if len(g) else data[offsets[t] : offsets[t + 1]].tobytes()) if valid else None)
                 ns.append(len(g))
                 ss.append(sketch(g).tobytes() if len(g) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ds, pa.binary()), pa.array(ns, pa.int32()), pa.array(ss, pa.binary())], names=schema.names)
@@ -204,62 +236,101 @@ def sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(digest, root): components of sets (digest, sketch) that meet in a band; others are left out."""
-    # 64-bit names are enough here: two sets of one name only make a component larger than need be
-    name = F.xxhash64("digest").alias("node")
-    keys = sets.select(name, F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])).alias("key"))
+def _band_rows(sets: DataFrame, among: Bloom | None) -> DataFrame:
+    """(key) of all bands of `sets`, or (key, band, node) of the keys that the filter has."""
+    shared = sets.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                made = [np.frombuffer(x.as_py(), np.uint16) for x in part.column(1)]
+                keys = band_keys(np.stack(made)).view(np.int64)
+                if shared.value is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["key"])
+                    continue
+                who, band = np.nonzero(shared.value.has(keys.ravel()).reshape(keys.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[who, band]), pa.array(band.astype(np.int32)), part.column(0).take(pa.array(who))], names=["key", "band", "node"])
+
+    return sets.where("sketch IS NOT NULL").select("node", "sketch").mapInArrow(run, "key bigint" if among is None else "key bigint, band int, node bigint")
+
+
+def groups(sets: DataFrame) -> DataFrame:
+    """(node, cell, band, blocks): the groups in which the members of `sets` (node, n, sketch) are compared.
+
+    The group is a component of the links by buckets (band -1), or a bucket of one too large for a cell if its buckets
+    have fewer pairs than it has.
+    """
+    twice = cut(_band_rows(sets, None).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    keys = cut(_band_rows(sets, bloom(twice)))
     # cut, so that adaptive execution can split a large bucket in the join
-    buckets = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    links = keys.join(buckets, "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    return sets.select("digest", name).join(components(links), "node").select("digest", "root")
+    buckets = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    links = cut(keys.join(buckets, "key"))
+    found = cut(components(links.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))))
+    blocks = lambda grams, count: F.greatest(F.lit(1), F.ceil(grams / CELL_GRAMS), F.ceil(count / CELL_SETS)).cast("bigint")
+    count, grams = F.count(F.lit(1)), F.sum("n")
+    whole = cut(found.join(sets.select("node", "n"), "node").groupBy("root").agg(count.alias("m"), blocks(grams, count).alias("blocks")))
+    large = found.join(whole.where("blocks > 1"), "root").select("node", "root", "m")
+    inner = cut(links.join(large, "node").select("key", "band", "node", "size", "root", "m"))
+    split = cut(inner.groupBy("root").agg((F.sum(F.col("size").cast("double")) < F.max(F.col("m").cast("double") * F.col("m"))).alias("split")).where("split").select("root"))
+    own = inner.join(split, "root", "left_semi")
+    dealt = own.join(sets.select("node", "n"), "node").groupBy("key").agg(blocks(grams, count).alias("blocks"))
+    by_bucket = own.join(dealt, "key").select("node", F.col("key").alias("cell"), "band", "blocks")
+    by_root = found.join(whole.join(split, "root", "left_anti"), "root").select("node", F.col("root").alias("cell"), F.lit(-1).alias("band"), "blocks")
+    return by_root.unionByName(by_bucket)
 
 
 def _grams(docs: DataFrame, text_col: str, id_col: str, wanted: DataFrame) -> DataFrame:
-    """(digest, grams) of the texts of `wanted` (doc_id, text_key)."""
-    id_key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    texts = docs.select(id_key(F.col(f"`{id_col}`")).alias("i"), _text_key(F.col(f"`{text_col}`")).alias("k"), F.col(f"`{text_col}`").alias("t"))
-    picked = texts.join(wanted.select(id_key(F.col("doc_id")).alias("i"), F.col("text_key").alias("k")).distinct(), ["i", "k"], "left_semi").select("t")
+    """(digest, grams) of the texts of `wanted` (doc_id, text_key), and of a few more: no text is shuffled."""
+    key = lambda i, k: F.xxhash64(_id_key(i), k).alias("key")
+    among = bloom(wanted.select(key(F.col("doc_id"), F.col("text_key"))))
+    texts = docs.select(key(F.col(f"`{id_col}`"), _text_key(F.col(f"`{text_col}`"))), F.col(f"`{text_col}`").alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(digest(g), g.tobytes()) for g in gram_sets(*utf8(batch.column(0)))]
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            first = np.zeros(len(keys), bool)
+            first[np.unique(keys, return_index=True)[1]] = True  # repeated rows once
+            picked = batch.column(1).filter(pa.array(shared.value.has(keys) & first))
+            found = [(digest(g), g.tobytes()) for g in gram_sets(*utf8(picked)) if len(g)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["digest", "grams"])
 
-    return picked.mapInArrow(run, "digest binary, grams binary")
+    return texts.mapInArrow(run, "digest binary, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
 
 
 def _cells(members: DataFrame, threshold: float) -> DataFrame:
-    """(digest, links, root) of linked members of (digest, sketch, grams, root, blocks)."""
+    """(digest, links, root) of linked members of (digest, sketch, grams, cell, band, blocks)."""
     block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "digest", "sketch", "grams")
-    dealt = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "block", "digest")
+    dealt = dealt.select("cell", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "digest", "sketch", "grams")
+    order = ["cell", "band", "lo", "hi"]
+    dealt = dealt.repartition(*order).sortWithinPartitions(*order, "block", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, bytes]] = []
 
-        def close(cell, rows):
-            root, lo, hi = cell
+        def close(place, rows):
+            _, band, lo, hi = place
             a = list({r[1]: r[1:] for r in rows if r[0] == lo}.values())
             b = list({r[1]: r[1:] for r in rows if r[0] == hi}.values()) if lo != hi else None
             if len(a) > 1 - (lo != hi) and (b is None or b):
-                out.extend(cell_links(a, b, threshold))
+                out.extend(cell_links(a, b, threshold, band))
 
-        cell, rows = None, []
+        place, rows = None, []
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for root, lo, hi, own, d, s, g in zip(*cols, strict=True):
-                if (root, lo, hi) != cell:
-                    if cell:
-                        close(cell, rows)
-                    cell, rows = (root, lo, hi), []
+            for cell, band, lo, hi, own, d, s, g in zip(*cols, strict=True):
+                if (cell, band, lo, hi) != place:
+                    if place:
+                        close(place, rows)
+                    place, rows = (cell, band, lo, hi), []
                 rows.append((own, d, s, g))
             if len(out) > 10_000:
                 yield _links(out)
                 out.clear()
-        if cell:
-            close(cell, rows)
+        if place:
+            close(place, rows)
         yield _links(out)
 
     return dealt.mapInArrow(run, "digest binary, links bigint, root binary")
@@ -271,34 +342,51 @@ def _links(rows: list) -> pa.RecordBatch:
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, class_id, n_links), one row per document.
+    """(doc_id, text_key, class_id, n_links, n_copies, first, alone), one row per document.
 
-    class_id is the least id of the class; n_links is the number of other gram sets at or over the threshold.
+    class_id is the least id of the class; n_links is the number of other gram sets at or over the threshold, n_copies
+    that of other documents with the same gram set. `first` marks the document that stands for its class.
     """
     rows = cut(sketches(docs, text_col, id_col))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    sets = cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(own).alias("own"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    found = cut(candidates(sets))
-    size = cut(found.join(sets.select("digest", "n"), "digest").groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / CELL_GRAMS), F.ceil(F.count(F.lit(1)) / CELL_SETS)).cast("bigint").alias("blocks")))
-    wanted = found.join(size, "root").join(sets, "digest").select("digest", "root", "blocks", "sketch", "own")
-    grams = _grams(docs, text_col, id_col, wanted.select("own.doc_id", "own.text_key"))
-    links = cut(_cells(wanted.drop("own").join(grams, "digest"), threshold))
+    sets = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(own).alias("own"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.count(F.lit(1)) - 1).alias("n_copies"))
+    # 64-bit names are enough in the candidate graph: two sets of one name only make a group larger than need be
+    sets = cut(sets.withColumn("node", F.xxhash64("digest")))
+    wanted = cut(groups(sets.select("node", "n", "sketch")))
+    members = wanted.join(sets.select("node", "digest", "sketch", "own"), "node")
+    grams = _grams(docs, text_col, id_col, cut(members.select("own.doc_id", "own.text_key").distinct()))
+    links = cut(_cells(members.select("digest", "cell", "band", "blocks", "sketch").join(grams, "digest"), threshold))
     roots = components(links.select(F.col("digest").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("digest"), F.col("root").alias("class"))
     total = links.groupBy("digest").agg(F.sum("links").alias("n_links"))
-    named = sets.select("digest", "own").join(roots, "digest", "left").join(total, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
-    least = named.groupBy("class").agg(F.min("own").alias("first"))
-    named = cut(named.join(least, "class").select("digest", F.col("first.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first").alias("keep")))
+    named = sets.select("digest", "own", "n_copies").join(roots, "digest", "left").join(total, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+    least = named.groupBy("class").agg(F.min("own").alias("keep"))
+    named = cut(named.join(least, "class").select("digest", F.col("keep.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "keep"))
     out = rows.select("doc_id", "text_key", "digest").join(named, "digest", "left")
-    alone = F.col("digest").isNull()
-    return out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), (alone | (F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_key") == F.col("text_key")))).alias("first"), alone.alias("alone"))
+    alone, none = F.col("digest").isNull(), F.lit(0).cast("bigint")
+    return out.select(
+        "doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("n_copies", none).alias("n_copies"),
+        (alone | (F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_key") == F.col("text_key")))).alias("first"), alone.alias("alone"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with one document of each class: the one with the least id (of rows equal in id and text, one)."""
-    gone = cut(classes(docs, text_col, id_col, threshold))
-    i, k, n, a = (fresh(docs, x) for x in ("id_key", "text_key", "copy", "alone"))
-    id_key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    kept = gone.where("first").select(id_key(F.col("doc_id")).alias(i), F.col("text_key").alias(k), F.col("alone").alias(a)).distinct()
-    keyed = docs.withColumns({i: id_key(F.col(f"`{id_col}`")), k: _text_key(F.col(f"`{text_col}`"))})
-    out = keyed.join(kept, [i, k]).withColumn(n, F.row_number().over(Window.partitionBy(i, k).orderBy(F.lit(0))))
-    return out.where(F.col(a) | (F.col(n) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with one document of each class: the one with the least id (of rows equal in id and text, one).
+
+    Texts stay where they are: one Bloom filter has the keys of rows that may have to go, a second one those of rows
+    that the first takes in though they stay, and only rows in both are shuffled to be told apart exactly.
+    """
+    found = classes(docs, text_col, id_col, threshold)
+    h, i, k, n, a = (fresh(docs, x) for x in ("row_key", "id_key", "text_key", "copies", "alone"))
+    each = found.groupBy(_id_key(F.col("doc_id")).alias(i), F.col("text_key").alias(k)).agg(F.count(F.lit(1)).alias(n), F.bool_or("first").alias("stays"), F.bool_or("alone").alias(a))
+    each = cut(each.withColumn(h, F.xxhash64(i, k)))
+    doubtful = bloom(each.where(~F.col(a) & (~F.col("stays") | (F.col(n) > 1))).select(h))
+    stays = cut(sift(each.where("stays").select(h, i, k, n, a), h, doubtful))
+    taken_in = bloom(stays.select(h))
+    keyed = docs.withColumns({i: _id_key(F.col(f"`{id_col}`")), k: _text_key(F.col(f"`{text_col}`"))}).withColumn(h, F.xxhash64(i, k))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    sure = sift(keyed.select(*own, h), h, doubtful, inside=False).select(*own)
+    maybe = sift(sift(keyed, h, doubtful), h, taken_in).drop(h).join(stays.drop(h), [i, k])
+    single = maybe.where(F.col(a) | (F.col(n) == 1)).select(*own)
+    # one of the rows that are equal in id and text; summed up on the way, so that a common one is no hot key
+    several = maybe.where(~F.col(a) & (F.col(n) > 1)).groupBy(i, k).agg(F.first(F.struct(*own)).alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    return sure.unionByName(single).unionByName(several)

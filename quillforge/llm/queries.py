@@ -73,7 +73,7 @@ def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

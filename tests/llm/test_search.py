@@ -3,6 +3,7 @@ from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillforge.llm import jaccard, neighbours
 from quillforge.llm.graph import components
@@ -89,9 +90,9 @@ def brute_classes(texts):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and (a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9):
+            if texts[i] == texts[j] if not (a and b) else (a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9):
                 root[max(find(i), find(j))] = min(find(i), find(j))
-                if a != b:
+                if a and a != b:
                     links[i].add(b)
                     links[j].add(a)
     return [(find(k), len(links[k])) for k in range(len(texts))]
@@ -108,7 +109,7 @@ def near_copies(seed, groups=12, members=14, words=80):
             for _ in range(int(rng.integers(0, 5))):
                 copy[int(rng.integers(words))] = str(rng.choice(vocab))
             texts.append(" ".join(copy) + ("." if m % 3 else ""))
-    texts += [texts[0]] * 5 + ["", " . ", "one two", "one two", "One, two!", "a b c d e", "a b c d e f"]
+    texts += [texts[0]] * 5 + ["", "", " . ", "?", " . ", "one two", "one two", "One, two!", "a b c d e", "a b c d e f"]
     return texts
 
 
@@ -120,6 +121,57 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == brute_classes(texts)
 
 
+def chain(n, step=12, width=80):
+    """Texts that each share all but `step` words with the next one: one component of band links, few pairs."""
+    words = [f"c{k}" for k in range(step * n + width)]
+    return [" ".join(words[step * k : step * k + width]) for k in range(n)]
+
+
+def test_chains_are_compared_within_buckets(spark, monkeypatch):
+    """A chain far larger than a cell: pairs within its buckets, each once, and no more links than brute force finds."""
+    monkeypatch.setattr(jaccard, "CELL_SETS", 24)
+    texts = chain(500, 8) + near_copies(8, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    dealt = []
+    real = jaccard.groups
+    monkeypatch.setattr(jaccard, "groups", lambda sets: dealt.append(real(sets)) or dealt[0])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_classes(texts)
+    assert dealt[0].where("band >= 0").count() > 0 and dealt[0].where("band < 0").count() > 0
+
+
+def test_work_in_a_long_chain_is_linear(spark, monkeypatch):
+    """Four times the documents in one chain, about four times the pairs that are compared, and not sixteen times."""
+    monkeypatch.setattr(jaccard, "CELL_SETS", 64)
+
+    def pairs(n):
+        docs = spark.createDataFrame(list(enumerate(chain(n, 8))), "doc_id long, text string").repartition(4)
+        sets = jaccard.sketches(docs, "text", "doc_id").selectExpr("xxhash64(digest) AS node", "n", "sketch")
+        sizes = jaccard.groups(sets).groupBy("cell", "band").count()
+        return sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+
+    assert pairs(2000) < 5 * pairs(500)
+
+
+def test_equal_rows_and_extra_columns(spark):
+    """Of rows equal in id and text one stays whatever its other columns; null texts all stay."""
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "a b c d e f g", "z"), (3, None, "n"), (3, None, "m"), (3, "", "e"), (4, "", "e"), (None, "q r s t u v", None), (None, "q r s t u v", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copies string")
+    got = sorted((str(r["doc_id"]), str(r["text"]), r["copies"] or "") for r in jaccard.drop_near_duplicates(docs).collect())
+    assert [g[:2] for g in got] == [("1", "a b c d e f g"), ("3", ""), ("3", "None"), ("3", "None"), ("None", "q r s t u v")]
+    assert {g[2] for g in got if g[1] == "None"} == {"n", "m"} and got[0][2] in ("x", "y")
+
+
+def test_recall_of_all_pairs(spark):
+    """Every pair at the threshold among the documents of a small data set, by brute force."""
+    from shared import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.classes(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    want = brute_classes([r["text"] for r in docs])
+    assert [got[r["doc_id"]] for r in docs] == [(docs[c]["doc_id"], n) for c, n in want]
+
+
 def test_one_of_each_class_stays(spark):
     texts = near_copies(4)
     rows = list(enumerate(texts))
