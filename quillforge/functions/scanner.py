@@ -1,153 +1,187 @@
 """Line scanner for markup: which places of a document are code, tags, metadata or link destinations.
 
-A document is folded line by line. The state between lines is a `State`; the answer for a word depends on the
-complete earlier lines and on its own line up to the word's end.
+Each line is classified once (its markers, whether it may open a fence or name a link, its inline marks), and a table
+says how a mark changes the mode. A document is a fold over its lines; the answer for a word depends on the earlier
+lines and on its own line up to the word's end, and all words of a line are answered in one walk over it.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-_QUOTE = re.compile(r"\s*((?:>\s*)*)")
-_LIST = re.compile(r"(?:[-+*]\s+)?(?:[0-9]+[.)]\s+)?")
-_FENCE = re.compile(r"`{3,}|~{3,}")
-_MARKS = {True: re.compile(r"`+|[<>\"']"), False: re.compile(r"`+")}
+_SHAPE = re.compile(r"(?P<lead>\s*(?:>\s*)*)(?P<item>(?:[-+*]\s+)?(?:[0-9]+[.)]\s+)?)(?P<run>`{3,}|~{3,})?", re.ASCII)
+_MARKS = {True: re.compile(r"\\*(`+|[<>\"'])"), False: re.compile(r"\\*(`+)")}
 _TAG = re.compile(r"</?[A-Za-z]")
-_LABEL = re.compile(r"\[([^\]]+)\]:\s*(.*)", re.DOTALL)
-_OPEN_META = re.compile(r"﻿?---\s*\Z")
-_CLOSE_META = re.compile(r"(?:---|\.\.\.)\s*\Z")
-_DESTINATION = re.compile(r"\S*\Z|<[^>]*\Z")
+_LABEL = re.compile(r"\[([^\]]+)\]:\s*")
+_METADATA = re.compile("\ufeff?---\\s*\\Z"), re.compile(r"(?:---|\.\.\.)\s*\Z")
 _LEADER = re.compile(r"\s*[/#!*\-]+\s?")
+_QUOTED = re.compile(r"(?:\s*>\s?)+")
+
+#: Mode and mark to the next mode; other marks change nothing. Modes: "" prose, "<" a tag, '<"' and "<'" a quoted
+#: value in one, and a run of backticks a code span that ends with as many.
+_TURNS = {("", "<"): "<", ("<", ">"): "", ("<", '"'): '<"', ("<", "'"): "<'", ('<"', '"'): "<", ("<'", "'"): "<"}
 
 
 @dataclass(frozen=True)
 class State:
+    mode: str = ""
     fence: str = ""
     depth: int = 0
-    ticks: int = 0
-    tag: bool = False
-    quote: str = ""
-    meta: bool = False
-    awaits_destination: bool = False
-
-
-def _body(line: str) -> tuple[str, int]:
-    """The line behind its quote markers, and their number."""
-    m = _QUOTE.match(line)
-    return line[m.end() :], m[1].count(">")
-
-
-def _escaped(line: str, at: int) -> bool:
-    k = at
-    while k and line[k - 1] == "\\":
-        k -= 1
-    return (at - k) % 2 == 1
-
-
-def _marks(state: State, line: str, markup: bool) -> Iterator[tuple[int, bool, State]]:
-    """(end, protected from there on, state) of each mark of a line."""
-    ticks, tag, quote = state.ticks, state.tag, state.quote
-    for m in _MARKS[markup].finditer(line):
-        mark = m[0]
-        if tag:
-            # a run of backticks is nothing special in a tag
-            if quote:
-                quote = "" if mark == quote else quote
-            elif mark in "\"'":
-                quote = mark
-            elif mark == ">":
-                tag = False
-        elif mark[0] == "`":
-            if ticks == len(mark):
-                ticks = 0
-            elif not ticks and not _escaped(line, m.start()):
-                ticks = len(mark)
-        elif mark == "<" and not ticks and not _escaped(line, m.start()) and _TAG.match(line, m.start()):
-            tag = True
-        yield m.end(), bool(ticks or tag), State(ticks=ticks, tag=tag, quote=quote)
-
-
-def inline(state: State, line: str, markup: bool) -> State:
-    """The state after the code spans, and for markup also the tags, of one line."""
-    after = State(ticks=state.ticks, tag=state.tag, quote=state.quote)
-    for _, _, after in _marks(state, line, markup):  # noqa: B007
-        pass
-    return after
-
-
-def block(state: State, line: str, markup: bool) -> tuple[State, bool, bool]:
+    metadata: bool = False
+    expects_target: bool = False
+
+
+class Line:
+    """One line's classification; `end` cuts it behind a word."""
+
+    def __init__(self, text: str, markup: bool):
+        self.text, self.markup = text, markup
+        m = _SHAPE.match(text)
+        self.depth, self.body, self.run = m["lead"].count(">"), m.end("lead"), m["run"] or ""
+        self.after_run = m.end()
+        self._label = self._modes = None
+
+    def second_tick(self) -> int:
+        """Where a backtick follows the opening run: from there on it is no fence."""
+        at = self.text.find("`", self.after_run) if self.run[:1] == "`" else -1
+        return len(self.text) if at < 0 else at
+
+    def label(self) -> tuple[bool, int]:
+        """(footnote, where the target begins) of a link's definition; the place is -1 for other lines."""
+        if self._label is None:
+            m = _LABEL.match(self.text, self.body)
+            self._label = (m[1][0] == "^", m.end()) if m else (False, -1)
+        return self._label
+
+    def target_end(self, start: int) -> int:
+        """As far as what begins at `start` is one target: up to a blank, or in angle brackets up to their end."""
+        blank = re.compile(r"\s").search(self.text, start)
+        stop = blank.start() if blank else len(self.text)
+        if self.text.startswith("<", start):
+            close = self.text.find(">", start)
+            stop = max(stop, len(self.text) if close < 0 else close)
+        return stop
+
+    def modes(self, mode: str) -> tuple[list[int], list[str]]:
+        """Ends of the inline marks, and the mode behind each, beginning with `mode`."""
+        if self._modes is None or self._modes[0] != mode:
+            ends, found, now = [], [], mode
+            for m in _MARKS[self.markup].finditer(self.text):
+                mark, escaped = m[1], (m.start(1) - m.start()) % 2 == 1
+                if mark[0] == "`":
+                    if now == mark:
+                        now = ""
+                    elif not now and not escaped:
+                        now = mark
+                elif mark != "<" or now or (not escaped and _TAG.match(self.text, m.start(1))):
+                    now = _TURNS.get((now, mark), now)
+                ends.append(m.end())
+                found.append(now)
+            self._modes = (mode, ends, found)
+        return self._modes[1], self._modes[2]
+
+    def entered(self, state: State) -> State:
+        """The state at the line's begin: a fence ends with its block quote."""
+        return replace(state, fence="", mode="") if state.fence and self.depth < state.depth else state
+
+    def opens_fence(self, state: State) -> bool:
+        return bool(self.run) and not state.mode
+
+
+def inline(mode: str, text: str, markup: bool) -> str:
+    """The mode after the code spans, and for markup also the tags, of one line."""
+    return [mode, *Line(text, markup).modes(mode)[1]][-1]
+
+
+def block(state: State, text: str, markup: bool) -> tuple[State, bool, bool]:
     """(next state, protected, inside a fence) at the end of one line without document rules."""
-    body, depth = _body(line)
-    if state.fence and depth < state.depth:
-        state = replace(state, fence="", ticks=0)
-    body = body[_LIST.match(body).end() :]
-    m = _FENCE.match(body)
-    run, rest = (m[0], body[m.end() :]) if m else ("", "")
+    line = Line(text, markup)
+    state = line.entered(state)
     if state.fence:
-        if run and run[0] == state.fence[0] and len(run) >= len(state.fence) and not rest.strip():
-            return State(), True, False
-        return state, True, True
-    if run and not state.ticks and not state.tag and (run[0] == "~" or "`" not in rest):
-        return State(fence=run, depth=depth), True, False
-    if not state.tag and not line.strip():
+        closes = line.run[:1] == state.fence[0] and len(line.run) >= len(state.fence) and not text[line.after_run :].strip()
+        return (State(), True, False) if closes else (state, True, True)
+    if line.opens_fence(state) and line.second_tick() == len(text):
+        return State(fence=line.run, depth=line.depth), True, False
+    if state.mode[:1] != "<" and not text.strip():
         return State(), False, False
-    after = inline(state, line, markup)
-    return after, bool(after.ticks or after.tag), False
+    mode = [state.mode, *line.modes(state.mode)[1]][-1]
+    return State(mode=mode), bool(mode), False
 
 
-def step(state: State, line: str, row: int, markup: bool) -> tuple[State, bool, bool]:
+def step(state: State, text: str, row: int, markup: bool) -> tuple[State, bool, bool]:
     """(next state, protected, inside a fence) at the end of a line of a document."""
-    if markup and row == 0 and _OPEN_META.match(line):
-        return State(meta=True), True, False
-    if state.meta:
-        return State(meta=not _CLOSE_META.match(line)), True, False
-    after, protected, fenced = block(state, line, markup)
-    if markup and not (state.fence or state.ticks or state.tag):
-        body, _ = _body(line)
-        m = _LABEL.match(body)
-        if m and not m[1].startswith("^"):
-            destination = m[2]
-            after = replace(after, awaits_destination=not destination)
-        else:
-            destination = body if state.awaits_destination and not m else None
-        if destination is not None and _DESTINATION.match(destination):
-            protected = True
+    if markup and row == 0 and _METADATA[0].match(text):
+        return State(metadata=True), True, False
+    if state.metadata:
+        return State(metadata=not _METADATA[1].match(text)), True, False
+    after, protected, fenced = block(state, text, markup)
+    if markup and not state.fence and not state.mode:
+        line = Line(text, markup)
+        footnote, start = line.label()
+        if start >= 0 and not footnote:
+            after = replace(after, expects_target=start == len(text))
+        elif start < 0 and state.expects_target:
+            start = line.body
+        if start >= 0 and not footnote:
+            protected = protected or line.target_end(start) == len(text)
     return after, protected, fenced
 
 
+def _answers(state: State, text: str, ends: list[int], markup: bool) -> list[bool]:
+    """For words of one line that end at `ends`, whether the line up to there ends in a protected place."""
+    if state.metadata:
+        return [True] * len(ends)
+    line = Line(text, markup)
+    inner = line.entered(state)
+    if inner.fence or (line.opens_fence(inner) and line.run[0] == "~"):
+        return [True] * len(ends)
+    until = line.second_tick() if line.opens_fence(inner) else 0  # so far a fence may have been opened
+    start = stop = -1
+    if markup and not state.fence and not state.mode:
+        footnote, start = line.label()
+        if footnote:
+            start = stop = len(text)
+        else:
+            stop = line.target_end(start) if start >= 0 else -1
+    first = line.target_end(line.body) if markup and state.expects_target and not state.fence and not state.mode else -1
+    marks, modes = line.modes(inner.mode)
+    out = []
+    for end in ends:
+        k = bisect_right(marks, end) - 1
+        named = start >= 0 and end >= start
+        target = (start < end <= stop) if named else (end <= first)
+        out.append(end <= until or target or bool(modes[k] if k >= 0 else inner.mode))
+    return out
+
+
 def protected_words(lines: list[str], words: list[tuple[int, int]], markup: bool) -> list[bool]:
     """For words (row, end) in order of rows: whether the place at their end is protected."""
-    out, state, row, marks = [], State(), 0, None
-    for at, end in words:
+    out: list[bool] = []
+    state, row, k = State(), 0, 0
+    while k < len(words):
+        at, last = words[k][0], k
+        while last < len(words) and words[last][0] == at:
+            last += 1
         while row < at:
-            state, row, marks = step(state, lines[row], row, markup)[0], row + 1, None
-        line = lines[at]
-        if state.fence or state.meta or state.awaits_destination or (markup and at == 0 and line.lstrip("\ufeff").startswith("---")) or _leads_block(line):
-            out.append(step(state, line[:end], at, markup)[1])
-            continue
-        if marks is None:
-            marks = list(_marks(state, line, markup))
-        k = bisect_right(marks, end, key=lambda m: m[0]) - 1
-        out.append(marks[k][1] if k >= 0 else bool(state.ticks or state.tag))
+            state, row = step(state, lines[row], row, markup)[0], row + 1
+        out += _answers(state, lines[at], [end for _, end in words[k:last]], markup)
+        k = last
     return out
 
 
-def _leads_block(line: str) -> bool:
-    """Whether the line may begin a fence or a reference, so that its prefix decides."""
-    body, _ = _body(line)
-    body = body[_LIST.match(body).end() :]
-    return body.startswith(("```", "~~~", "["))
+def bare(line: str) -> str:
+    """A comment's line without quote markers and leaders, in front of which blanks keep the places."""
+    quotes = _QUOTED.match(line)
+    at = quotes.end() if quotes else 0
+    leader = _LEADER.match(line, at)
+    return line[leader.end() if leader else at :]
 
 
 def comment_protected(lines: list[str]) -> bool:
     """Whether the end of a comment's lines, without their leaders, is in code."""
     state, protected = State(), False
     for line in lines:
-        while re.match(r"\s*>", line):
-            line = re.sub(r"\A\s*>\s?", "", line)
-        m = _LEADER.match(line)
-        state, protected, _ = block(state, line[m.end() :] if m else line, False)
+        state, protected, _ = block(state, bare(line), False)
     return protected

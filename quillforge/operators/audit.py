@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expand import Evidence, joined_valid
-from .policy import corpus_exception, documented_short, five_rule, length_gate, outcome, rivals, short_rule, six_rule
+from ..functions.text import mapping_hash
+from ..sources.publish import replace_file, write_grouped
+from .expand import Evidence, joined_evidence, joined_ok
+from .policy import COMMON, FREQUENT, LEAD, corpus_exception, documented_short, five_rule, length_gate, outcome, rivals, short_rule, six_rule
 
 EXAMPLES = 20
 
@@ -19,7 +22,7 @@ def audited(e: Evidence) -> DataFrame:
     Two-word entries are checked by their own rule only; an entry may fail in several ways.
     """
     df = e.described(e.entries).withColumn("outcome", outcome(e.total))
-    df = df.join(joined_valid(df, e), ["typo", "correction"], "left")
+    df = df.join(joined_evidence(e.entries, e), ["typo", "correction"], "left").withColumn("joined_ok", joined_ok())
     joined = F.col("correction").contains(" ")
     single = ~joined
     documented = F.col("documented").eqNullSafe(F.col("correction"))
@@ -46,7 +49,7 @@ def audited(e: Evidence) -> DataFrame:
     }
     failing = {
         "protected_word_or_name": F.col("protected"),
-        "unsafe_joined_word_correction": joined & ~F.coalesce("joined_ok", F.lit(False)),
+        "unsafe_joined_word_correction": joined & ~F.col("joined_ok"),
         "short_ambiguous_token": single & ~gate,
         "unverified_destination": single & ~F.col("destination"),
         "undocumented_corpus_token": single & F.col("in_corpus") & ~documented,
@@ -71,35 +74,107 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("failures").alias("kind"), "typo", "correction")
 
 
+def rejected_typos(rows: DataFrame) -> DataFrame:
+    """(typo): those that fail in any way."""
+    return rows.where(F.size("failures") > 0).select("typo").distinct()
+
+
+def competing(rows: DataFrame) -> DataFrame:
+    """(typo, correction, rivals) of the entries that lose against another word, with those words in order."""
+    return rows.where(F.array_contains("failures", "competing_correction")).select("typo", "correction", "rivals")
+
+
 def failure_examples(rows: DataFrame, most: int = EXAMPLES) -> DataFrame:
     """The first examples of each kind, with their number from 1."""
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("typo", "correction"))
-    return failures(rows).withColumn("rank", rank).where(F.col("rank") <= most)
+    failed = rows.select(F.explode("failures").alias("kind"), "typo", "correction", "rivals")
+    return failed.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+#: How the rules read in the report.
+POLICIES = {
+    "capitalized_policy": {"minimum_input_length": 6, "destination_words": 1, "documentation_required": True, "input_case": "initial capital only"},
+    "joined_word_policy": {"minimum_input_length": 6, "minimum_component_frequency": 1 / FREQUENT, "destination_words": 2, "documentation_required": True, "single_word_alternatives": "block", "alternative_splits": "block"},
+    "transposition_preference": {
+        "rare_alternative_minimum_length": 5, "minimum_frequency": 1 / COMMON, "minimum_ratio": LEAD, "frequency_competitors": "same-length non-swap alternatives",
+        "longer_alternatives": "block", "documented_swap_competitors": "strictly less frequent same-length alternatives",
+    },
+    "six_letter_omission_policy": {"minimum_frequency": 1 / FREQUENT, "destination_length": 6, "typo_length": 5, "edit": "one missing letter", "alternatives": "block regardless of frequency"},
+    "five_letter_preference": {"minimum_frequency": 1 / FREQUENT, "minimum_ratio": LEAD, "destination_lengths": [5], "typo_lengths": [4, 5]},
+    "short_word_preference": {"minimum_frequency": 1 / FREQUENT, "minimum_ratio": LEAD, "destination_lengths": [3, 4], "typo_lengths": [3, 4, 5], "three_four_letter_corpus_exceptions": "documented adjacent swap or repeated letter"},
+    "frequency_preference": {"minimum_frequency": 1 / COMMON, "minimum_ratio": LEAD},
+}
+
+
+def records(df: DataFrame, key: str, *fields: str) -> dict:
+    """A small evidence table as a dictionary of dictionaries, for a digest of it."""
+    return {r[key]: {f: r[f] for f in fields} for r in df.select(key, *fields).collect()}
 
 
-def report(e: Evidence, expected: int | None = None) -> dict:
-    """The audit's figures as a dictionary; `passed` says whether anything failed."""
+def digest(data) -> str:
+    return hashlib.sha256(json.dumps(data, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def report(e: Evidence, expected: int | None = None, protected: DataFrame | None = None, lists_sha256: str | None = None) -> dict:
+    """The audit's report as a dictionary; `passed` says whether anything failed.
+
+    `protected` (word, evidence) has the supplemental exclusions, and `lists_sha256` is the hash of the word lists; the
+    parts of the report that need them are there if they are given. The evidence is a catalogue's, so digests and the
+    names of rejected typos fit in the driver.
+    """
     rows = audited(e).cache()
     try:
         found: dict = {r["metric"]: r["value"] for r in counters(rows).collect()}
         counts = {r["kind"]: r["n"] for r in failures(rows).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
         examples: dict[str, list] = {}
         for r in failure_examples(rows).orderBy("kind", "rank").collect():
-            examples.setdefault(r["kind"], []).append([r["typo"], r["correction"]])
+            examples.setdefault(r["kind"], []).append([r["typo"], r["correction"], *([list(r["rivals"])] if r["kind"] == "competing_correction" else [])])
+        rejected = [r["typo"] for r in rejected_typos(rows).orderBy("typo").collect()]
     finally:
         rows.unpersist()
     if expected is not None and found["entries"] != expected:
         counts["entry_count"] = 2
         examples["entry_count"] = [found["entries"], expected]
-    return {**found, "failure_counts": counts, "failure_examples": examples, "passed": not counts}
+    capital = capitalised(e.entries, e.documented)
+    lexicon = e.lexicon.agg(F.count_if("is_protected").alias("p"), F.count_if("is_alternative").alias("a")).first()
+    own = ["correction", *[c for c in ("reason", "source") if c in e.reviewed.columns]]
+    reviewed = records(e.reviewed, "typo", *own)
+    real = e.words("is_real").select(F.col("word").alias("correction"))
+    technical = e.entries.select("correction").distinct().where(~F.col("correction").contains(" ")).join(real, "correction", "left_anti")
+    more = {
+        "capitalized_corrections": capital.count(),
+        "capitalized_sha256": capital.agg(mapping_hash("typo", "correction").alias("h")).first()["h"],
+        "mapping_sha256": e.entries.agg(mapping_hash("typo", "correction").alias("h")).first()["h"],
+        "reviewed_records": len(reviewed),
+        "reviewed_sha256": digest(reviewed),
+        "protected_dictionary_tokens": lexicon["p"],
+        "alternative_dictionary_tokens": lexicon["a"],
+        "protected_frequency_tokens": e.frequencies.count(),
+        "technical_destinations": sorted(r["correction"] for r in technical.collect()),
+        "rejected_typos": rejected,
+    }
+    if protected is not None:
+        extra = {r["word"]: r["evidence"].asDict() for r in protected.select("word", "evidence").collect()}
+        more |= {"supplemental_protected_tokens": len(extra), "supplemental_protected_sha256": digest(extra)}
+    if lists_sha256 is not None:
+        more["word_lists_sha256"] = lists_sha256
+    return {**POLICIES, **found, **more, "failure_counts": counts, "failure_examples": examples, "passed": not counts}
 
 
-def report_json(e: Evidence, expected: int | None = None) -> tuple[str, int]:
-    """The report as text with sorted keys, and the exit status: 1 if anything failed."""
-    found = report(e, expected)
-    return json.dumps(found, indent=2, sort_keys=True) + "\n", int(not found["passed"])
+def report_json(e: Evidence, expected: int | None = None, path: str | None = None, **evidence) -> tuple[str, int]:
+    """The report as text with sorted keys, also written to `path` if given, and the exit status: 1 if anything failed."""
+    found = report(e, expected, **evidence)
+    text = json.dumps(found, indent=2, sort_keys=True) + "\n"
+    if path is not None:
+        replace_file(e.entries.sparkSession, path, text)
+    return text, int(not found["passed"])
 
 
 def capitalised(entries: DataFrame, documented: DataFrame) -> DataFrame:
     """Entries that may correct capitalised words: six letters or more, one word, documented exactly."""
     return entries.where((F.length("typo") >= 6) & ~F.col("correction").contains(" ")).join(documented.select("typo", "correction"), ["typo", "correction"], "left_semi").select("typo", "correction")
+
+
+def write_capitalised(entries: DataFrame, documented: DataFrame, path: str, check: bool = False) -> int:
+    """Write the capitalised subset as grouped JSON, or with `check` raise if the file is stale; returns its entries."""
+    return write_grouped(capitalised(entries, documented), path, check)

@@ -10,22 +10,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scanner import protected_words
+from ..functions.comments import comment_groups, known
+from ..functions.scanner import bare, protected_words
 from ..functions.text import is_lower, is_title, recapitalised, tokens
 
 FILETYPES = ("markdown", "gitcommit")
-#: Bytes up to which a catalogue is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 256 << 20
-#: Characters that end the string around a word that may be a path or an address.
-AROUND = r"[^\s()\[\]<>\"'`]*"
-#: What makes such a string technical. Fixed rules.
+#: Bytes, with what a row costs in memory, up to which a catalogue is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 160
+#: What makes a string between blanks, brackets or quotes technical. Fixed rules.
 TECHNICAL = r"://|\Awww\.|@|/|\A[A-Za-z]:\\|\A\.?\.?\\|\A~\\|[A-Za-z0-9_.\-]\\[A-Za-z0-9_.\-]"
 
 
 def sized(catalog: DataFrame) -> DataFrame:
     """The catalogue with a broadcast hint if a pass over it proves it small, and without otherwise."""
-    size = catalog.agg(F.coalesce(F.sum(F.length("typo") + F.length("correction") + 64), F.lit(0)).alias("b")).first()["b"]
-    return F.broadcast(catalog) if size <= BROADCAST_BYTES else catalog
+    return F.broadcast(catalog) if catalog_bytes(catalog) <= BROADCAST_BYTES else catalog
+
+
+def catalog_bytes(catalog: DataFrame) -> int:
+    size = F.octet_length("typo") + F.octet_length("correction") + ROW_BYTES
+    return int(catalog.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"])
+
+
+class Fixes:
+    """A small catalogue as it lies in each worker's memory."""
+
+    def __init__(self, rows, correct_capitalized: bool):
+        self.to = {r["typo"]: r["correction"] for r in rows if r["typo"].isascii() and r["typo"].isalpha() and r["typo"].islower()}
+        self.capital = {r["typo"] for r in rows if r["capitalized_ok"]} if correct_capitalized else frozenset()
+
+    def get(self, w: str) -> str | None:
+        found = self.to.get(w)
+        if found is None and self.capital and w[:1].isupper() and w.isascii() and w[1:].islower() and w.isalpha():
+            low = w.lower()
+            if low in self.capital:
+                found = self.to[low]
+                found = found[:1].upper() + found[1:]
+        return found
+
+    def __contains__(self, w: str) -> bool:
+        return self.get(w) is not None
+
+    def __getitem__(self, w: str) -> str:
+        return self.get(w)  # type: ignore[return-value]
+
+    def __bool__(self) -> bool:
+        return bool(self.to)
+
+
+def small(catalog: DataFrame, correct_capitalized: bool) -> Fixes | None:
+    """The catalogue itself if a pass over it proves it small, else nothing."""
+    if catalog_bytes(catalog) > BROADCAST_BYTES:
+        return None
+    flag = F.col("capitalized_ok") if "capitalized_ok" in catalog.columns else F.lit(False).alias("capitalized_ok")
+    return Fixes(catalog.select("typo", "correction", flag).where("typo IS NOT NULL AND correction IS NOT NULL").collect(), correct_capitalized)
 
 
 def lookup(words: DataFrame, catalog: DataFrame, w: str = "w", correct_capitalized: bool = False) -> DataFrame:
@@ -61,12 +99,22 @@ def _with_fixes(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[s
     return docs.select(*keep, F.col(text_col).alias("t")).join(lists, F.col(id_col).eqNullSafe(F.col("__id")), how).select(*keep, "t", "fixes")
 
 
-def correct_text(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", correct_capitalized: bool = False) -> DataFrame:
-    """(doc_id, n_fixed, corrected): whole texts with their words corrected, one pass, never parts of words.
+def _texts(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[str], correct_capitalized: bool, how: str = "left") -> tuple[DataFrame, object]:
+    """keep + (t, fixes), and what gives a row's fixes from that column.
 
-    Only words that may match leave the texts; what was found comes back as a small map for each document.
+    With a small catalogue the texts are read once and nothing is shuffled: fixes are null and the broadcast catalogue
+    holds for each row. Beyond, only words leave the texts, and each text gets the map for its words.
     """
-    both = _with_fixes(docs, catalog, text_col, [id_col], correct_capitalized, "left")
+    own = small(catalog, correct_capitalized)
+    if own is None:
+        return _with_fixes(docs, catalog, text_col, keep, correct_capitalized, how), lambda fixes: dict(fixes) if fixes else {}
+    shared = docs.sparkSession.sparkContext.broadcast(own)
+    return docs.select(*keep, F.col(text_col).alias("t"), F.lit(None).cast("map<string,string>").alias("fixes")), lambda _: shared.value
+
+
+def correct_text(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", correct_capitalized: bool = False) -> DataFrame:
+    """(doc_id, n_fixed, corrected): whole texts with their words corrected, one pass, never parts of words."""
+    both, fixes_of = _texts(docs, catalog, text_col, [id_col], correct_capitalized)
     schema = T.StructType([both.schema[id_col], T.StructField("n_fixed", T.LongType()), T.StructField("corrected", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,13 +122,13 @@ def correct_text(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id
         word = re.compile(r"\w+")
         for batch in batches:
             counts, texts = [], []
-            for text, fixes in zip(batch.column(1), batch.column(2), strict=True):
-                n, text = 0, text.as_py()
-                if fixes.is_valid and text is not None:
-                    own = dict(fixes.as_py())
-                    found = [own.get(w) for w in word.findall(text)]
-                    n = sum(x is not None for x in found)
-                    text = word.sub(lambda m: own.get(m[0], m[0]), text)  # noqa: B023
+            for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n, own = 0, fixes_of(fixes)
+                if own and text:
+                    found = {w: to for w in set(word.findall(text)) if (to := own.get(w)) is not None}
+                    if found:
+                        n = sum(w in found for w in word.findall(text))
+                        text = word.sub(lambda m: found.get(m[0], m[0]), text)  # noqa: B023
                 counts.append(n)
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], names=schema.names)
@@ -109,68 +157,98 @@ def indented_code(line: Column) -> Column:
     return line.rlike(r"\A(    |\t)")
 
 
-def key_allows(after: Column) -> Column:
-    """The character behind a word must not be one of paths and addresses."""
-    return ~after.isin("@", "/", "\\")
+_WORD = re.compile(r"\w+")
+_STRING = re.compile(r"[^\s()\[\]<>\"'`]+")
+_TECHNICAL = re.compile(TECHNICAL)
+_LINK = re.compile(r"\]\(|\)")
+
+
+def _prose(line: str, words: list[tuple[int, int]]) -> list[bool]:
+    """For words (start, stop) of a line, in order: neither part of an address or path, nor in a link's destination.
+
+    One walk over the line's strings and link marks, however many words there are.
+    """
+    out, strings, links = [], _STRING.finditer(line), _LINK.finditer(line)
+    string, mark, technical_, in_link = next(strings, None), next(links, None), None, False
+    for start, stop in words:
+        while string and string.end() <= start:
+            string, technical_ = next(strings, None), None
+        if technical_ is None and string:
+            technical_ = bool(_TECHNICAL.search(string[0]))
+        while mark and mark.end() <= start:
+            in_link, mark = mark[0] == "](", next(links, None)
+        out.append(not (technical_ or in_link or line[stop : stop + 1] == "\\"))
+    return out
+
 
+def _found(row: int, line: str, offset: int, stop: int, fixes) -> list[tuple[int, int, int, str, str]]:
+    words = [m for m in _WORD.finditer(line, offset, stop) if m[0] in fixes]
+    return [(row, m.start(), m.end(), m[0], fixes[m[0]]) for m in words]
 
-def _places(text: str, kind: str, fixes: dict[str, str]) -> Iterator[tuple[int, int, int, str, str]]:
+
+def _places(text: str, kind: str, fixes) -> Iterator[tuple[int, int, int, str, str]]:
     """(row, start, stop, word, correction) of the words to correct in one text."""
     lines = text.split("\n")
+    if kind == "text":
+        for row, line in enumerate(lines):
+            yield from _found(row, line, 0, len(line), fixes)
+        return
+    if kind not in FILETYPES:
+        for group in comment_groups(lines, kind):
+            yield from _in_comment(lines, group, fixes)
+        return
     found = []
     for row, line in enumerate(lines):
         if kind == "markdown" and line.startswith(("    ", "\t")):
             continue
-        for m in _WORD.finditer(line):
-            if m[0] in fixes and (kind == "text" or _prose(line, m.start(), m.end())):
-                found.append((row, m.start(), m.end(), m[0], fixes[m[0]]))
-    if kind != "text" and found:
+        own = _found(row, line, 0, len(line), fixes)
+        if own:
+            found += [f for f, fine in zip(own, _prose(line, [f[1:3] for f in own]), strict=True) if fine]
+    if found:
         guarded = protected_words(lines, [(f[0], f[2]) for f in found], kind == "markdown")
-        found = [f for f, g in zip(found, guarded, strict=True) if not g]
-    yield from found
-
+        yield from (f for f, g in zip(found, guarded, strict=True) if not g)
 
-_WORD = re.compile(r"\w+")
-_AFTER = re.compile(AROUND)
-_TECHNICAL = re.compile(TECHNICAL)
-_DELIMITERS = frozenset(" \t\r\f\v()[]<>\"'`")
 
+def _in_comment(lines: list[str], group: list[tuple[int, int, int]], fixes) -> Iterator[tuple[int, int, int, str, str]]:
+    """The words to correct in one comment of a source file: not those in a fence or code span of its own."""
+    found, inner, cut = [], [], []
+    for k, (row, start, stop) in enumerate(group):
+        content = lines[row][start:stop]
+        inner.append(bare(content))
+        cut.append(start + len(content) - len(inner[-1]))
+        own = _found(row, lines[row], start, stop, fixes)
+        if own:
+            found += [(k, f) for f, fine in zip(own, _prose(lines[row], [f[1:3] for f in own]), strict=True) if fine]
+    guarded = protected_words(inner, [(k, f[2] - cut[k]) for k, f in found], False)
+    yield from (f for (_, f), g in zip(found, guarded, strict=True) if not g)
 
-def _prose(line: str, start: int, stop: int) -> bool:
-    """The rules of `technical`, `key_allows` and `in_link_destination` for one word."""
-    if line[stop : stop + 1] in ("@", "/", "\\"):
-        return False
-    a = start
-    while a and line[a - 1] not in _DELIMITERS and not line[a - 1].isspace():
-        a -= 1
-    if _TECHNICAL.search(line[a:start] + line[start:stop] + _AFTER.match(line, stop)[0]):
-        return False
-    link = line.rfind("](", 0, start)
-    return link < 0 or ")" in line[link + 2 : stop]
 
+def _open(catalog: DataFrame, overrides: DataFrame | None, bypass: DataFrame | None) -> DataFrame:
+    """The catalogue without the user's own typos and those passed over."""
+    for other in (overrides, bypass):
+        if other is not None:
+            catalog = catalog.join(other.select("typo").distinct(), "typo", "left_anti")
+    return catalog
 
-def _in_context(docs: DataFrame, catalog: DataFrame, text_col: str, id_col: str, correct_capitalized: bool, overrides: DataFrame | None, how: str) -> DataFrame:
-    if overrides is not None:
-        catalog = catalog.join(overrides.select("typo"), "typo", "left_anti")
-    return _with_fixes(docs, catalog, text_col, [id_col, "filetype"], correct_capitalized, how)
 
-
-def corrections_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", filetypes: tuple[str, ...] = FILETYPES, correct_capitalized: bool = False, overrides: DataFrame | None = None) -> DataFrame:
+def corrections_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", filetypes: tuple[str, ...] | None = None, correct_capitalized: bool = False, overrides: DataFrame | None = None, bypass: DataFrame | None = None) -> DataFrame:
     """(id, row, start, stop, w, correction) of the words to correct in (id, filetype, text).
 
-    The selective join comes first; only documents with words left meet the lexical rules and the line scanner.
-    `overrides` (typo, correction) are the user's own and win over the catalogue. Words in fences, code spans, tags,
-    metadata and link destinations stay; comments in other files need a language parser, so files of other types are
-    left as they are.
+    `overrides` (typo, correction) are the user's own and win over the catalogue; typos in `bypass` stay as they are.
+    Words in fences, code spans, tags, metadata and link destinations stay. In files of the languages that
+    `functions.comments` knows, comments alone are corrected; files of other types are left as they are. `filetypes`
+    narrows the types down.
     """
-    both = _in_context(docs.where(F.col("filetype").isin(*filetypes)), catalog, text_col, id_col, correct_capitalized, overrides, "inner")
+    picked = docs if filetypes is None else docs.where(F.col("filetype").isin(*filetypes))
+    both, fixes_of = _texts(picked, _open(catalog, overrides, bypass), text_col, [id_col, "filetype"], correct_capitalized, "inner")
     schema = T.StructType([both.schema[id_col], *T.StructType.fromDDL("row int, start int, stop int, w string, correction string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, found = [], []
             for k, (kind, text, fixes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                for f in _places(text, kind, dict(fixes)):
+                own = fixes_of(fixes)
+                for f in _places(text, kind, own) if own and text and _handled(kind) else ():
                     owner.append(k)
                     found.append(f)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
@@ -180,21 +258,33 @@ def corrections_in_context(docs: DataFrame, catalog: DataFrame, text_col: str =
     return both.mapInArrow(run, schema)
 
 
-def correct_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", filetypes: tuple[str, ...] = FILETYPES, correct_capitalized: bool = False, overrides: DataFrame | None = None) -> DataFrame:
+def _handled(kind: str | None) -> bool:
+    return kind == "text" or kind in FILETYPES or known(kind)
+
+
+def correct_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id_col: str = "doc_id", filetypes: tuple[str, ...] | None = None, correct_capitalized: bool = False, overrides: DataFrame | None = None, bypass: DataFrame | None = None) -> DataFrame:
     """(id, corrected): texts with what `corrections_in_context` finds put in, in the same single pass."""
-    both = _in_context(docs, catalog, text_col, id_col, correct_capitalized, overrides, "left")
+    both, fixes_of = _texts(docs, _open(catalog, overrides, bypass), text_col, [id_col, "filetype"], correct_capitalized)
     schema = T.StructType([both.schema[id_col], T.StructField("corrected", T.StringType())])
 
-    def fixed(kind: str, text: str, fixes: dict[str, str]) -> str:
-        lines = text.split("\n")
-        for row, start, stop, _, correction in reversed(list(_places(text, kind, fixes))):
-            lines[row] = lines[row][:start] + correction + lines[row][stop:]
+    def fixed(kind: str, text: str, fixes) -> str:
+        lines, at = text.split("\n"), {}
+        for row, start, stop, _, correction in _places(text, kind, fixes):
+            at.setdefault(row, []).append((start, stop, correction))
+        for row, places in at.items():
+            parts, last = [], 0
+            for start, stop, correction in sorted(places):
+                parts += (lines[row][last:start], correction)
+                last = stop
+            lines[row] = "".join([*parts, lines[row][last:]])
         return "\n".join(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
-            texts = [fixed(kind, text, dict(fixes)) if fixes and text and kind in filetypes else text for kind, text, fixes in rows]
+            rows, texts = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), []
+            for kind, text, fixes in rows:
+                own = fixes_of(fixes)
+                texts.append(fixed(kind, text, own) if own and text and _handled(kind) and (filetypes is None or kind in filetypes) else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
     return both.mapInArrow(run, schema)

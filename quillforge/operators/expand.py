@@ -40,19 +40,31 @@ class Evidence:
         n = self.frequencies.select(F.col("word").alias("candidate"), "n")
         return pairs.join(n, "candidate", "left").select("typo", "candidate", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
+    def facts(self) -> DataFrame:
+        """(word, n, counted, protected, destination, documented, reviewed, entry): one row a word, from one shuffle.
+
+        All evidence by word in one table, so that the pairs meet it twice (by typo, by correction) and not eight times.
+        """
+        text, yes, no = "CAST(NULL AS STRING)", "true", "false"
+        row = lambda df, key, **has: df.selectExpr(f"{key} AS word", *[f"{has.get(k, d)} AS {k}" for k, d in (("n", "CAST(NULL AS BIGINT)"), ("counted", no), ("protected", no), ("destination", no), ("documented", text), ("reviewed", text), ("entry", text))])
+        parts = [
+            row(self.frequencies, "word", n="n", counted=yes),
+            row(self.lexicon.where("is_protected OR is_destination"), "word", protected="is_protected", destination="is_destination"),
+            row(self.documented, "typo", documented="correction"),
+            row(self.reviewed, "typo", reviewed="correction"),
+            row(self.entries, "typo", entry="correction"),
+        ]
+        every = reduce(DataFrame.union, parts).groupBy("word")
+        return every.agg(F.max("n").alias("n"), *[F.bool_or(k).alias(k) for k in ("counted", "protected", "destination")], *[F.max(k).alias(k) for k in ("documented", "reviewed", "entry")])
+
     def described(self, pairs: DataFrame) -> DataFrame:
         """(typo, correction) with all that the rules look at."""
         pairs = pairs.select("typo", "correction").distinct()
-        typos = pairs.select("typo").distinct()
-        choice = preferences(self.candidates(typos), self.total, self.documented).drop("documented")
-        doc = self.documented.select("typo", F.col("correction").alias("documented"))
-        df = pairs.join(choice, "typo", "left").join(doc, "typo", "left")
-        df = df.join(self.frequencies.select(F.col("word").alias("correction"), "n"), "correction", "left")
-        df = df.join(self.frequencies.select(F.col("word").alias("typo"), F.lit(True).alias("in_corpus")), "typo", "left")
-        df = df.join(self.words("is_protected").select(F.col("word").alias("typo"), F.lit(True).alias("protected")), "typo", "left")
-        df = df.join(self.words("is_destination").select(F.col("word").alias("correction"), F.lit(True).alias("destination")), "correction", "left")
-        df = df.join(self.reviewed.select("typo", F.col("correction").alias("reviewed")), "typo", "left")
-        df = df.join(self.entries.select("typo", F.col("correction").alias("entry")), "typo", "left")
+        choice = preferences(self.candidates(pairs.select("typo").distinct()), self.total, self.documented).drop("documented")
+        facts = self.facts()
+        of_typo = facts.select(F.col("word").alias("typo"), F.col("counted").alias("in_corpus"), "protected", "documented", "reviewed", "entry")
+        of_correction = facts.select(F.col("word").alias("correction"), "n", "destination")
+        df = pairs.join(choice, "typo", "left").join(of_typo, "typo", "left").join(of_correction, "correction", "left")
         no = F.lit(False)
         empty = F.expr("CAST(array() AS ARRAY<STRUCT<neg: BIGINT, w: STRING>>)")
         return df.withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "in_corpus": F.coalesce("in_corpus", no), "protected": F.coalesce("protected", no), "destination": F.coalesce("destination", no), "cands": F.coalesce("cands", empty)})
@@ -64,23 +76,35 @@ def joined_splits(typos: DataFrame, known: DataFrame) -> DataFrame:
     return cuts.join(known.select(F.col("word").alias("left")), "left", "left_semi").join(known.select(F.col("word").alias("right")), "right", "left_semi").select("typo", "left", "right")
 
 
-def joined_valid(pairs: DataFrame, e: Evidence) -> DataFrame:
-    """(typo, correction, joined_ok) for two-word corrections.
-
-    Documented exactly, of two real frequent words, at least six letters, no other cut and no word one edit away.
-    """
+def joined_evidence(pairs: DataFrame, e: Evidence) -> DataFrame:
+    """(typo, correction, cuts, cut, strong) of two-word corrections: the cuts of a typo into known words, one of them,
+    and whether both words are real and frequent."""
     two = pairs.where(F.col("correction").contains(" ")).select("typo", "correction").distinct()
     parts = F.split("correction", " ")
-    two = two.withColumns({"a": parts[0], "b": parts[1], "parts": F.size(parts)})
+    two = two.withColumns({"a": parts[0], "b": parts[1]})
     cuts = joined_splits(two.select("typo").distinct(), e.words("is_alternative")).groupBy("typo").agg(F.count(F.lit(1)).alias("cuts"), F.min(F.concat_ws(" ", "left", "right")).alias("cut"))
-    near = e.candidates(two.select("typo").distinct()).select("typo", F.lit(True).alias("near")).distinct()
-    strong = e.words("is_real").join(e.frequencies.where(at_least(F.col("n"), e.total, FREQUENT)), "word").select("word")
-    df = two.join(cuts, "typo", "left").join(near, "typo", "left")
+    real = e.words("is_real").join(e.frequencies.where(at_least(F.col("n"), e.total, FREQUENT)), "word").select("word")
+    df = two.join(cuts, "typo", "left")
     for side in ("a", "b"):
-        df = df.join(strong.select(F.col("word").alias(side), F.lit(True).alias(f"strong_{side}")), side, "left")
-    df = df.join(e.documented.select("typo", F.col("correction").alias("d")), "typo", "left")
-    ok = (F.col("parts") == 2) & F.col("correction").rlike(r"\A[a-z]+ [a-z]+\z") & (F.length("typo") >= 6) & (F.col("typo") == F.concat("a", "b")) & (F.col("d") == F.col("correction")) & F.col("near").isNull() & (F.col("cuts") == 1) & (F.col("cut") == F.col("correction")) & F.col("strong_a") & F.col("strong_b")
-    return df.select("typo", "correction", F.coalesce(ok, F.lit(False)).alias("joined_ok"))
+        df = df.join(real.select(F.col("word").alias(side), F.lit(True).alias(f"strong_{side}")), side, "left")
+    return df.select("typo", "correction", "cuts", "cut", (F.col("strong_a") & F.col("strong_b")).alias("strong"))
+
+
+def joined_ok() -> Column:
+    """The rule for two-word corrections, on `described` rows with their `joined_evidence`.
+
+    Documented exactly, of two real frequent words, at least six letters, no other cut and no word one edit away.
+    """
+    c = F.col("correction")
+    fits = c.rlike(r"\A[a-z]+ [a-z]+\z") & (F.length("typo") >= 6) & (F.col("typo") == F.replace(c, F.lit(" "), F.lit(""))) & F.col("documented").eqNullSafe(c)
+    return F.coalesce(fits & (F.size("cands") == 0) & (F.col("cuts") == 1) & (F.col("cut") == c) & F.col("strong"), F.lit(False))
+
+
+def joined_valid(pairs: DataFrame, e: Evidence) -> DataFrame:
+    """(typo, correction, joined_ok) for the two-word corrections among pairs."""
+    two = pairs.where(F.col("correction").contains(" "))
+    df = e.described(two).join(joined_evidence(two, e), ["typo", "correction"], "left")
+    return df.select("typo", "correction", joined_ok().alias("joined_ok"))
 
 
 def _undocumented() -> Column:
@@ -135,8 +159,9 @@ def propose_common_words(e: Evidence, destinations: DataFrame) -> DataFrame:
 
 def expand_common_words(e: Evidence, destinations: DataFrame) -> DataFrame:
     """(typo, correction, verdict, category) of `propose_common_words`."""
-    df = e.described(propose_common_words(e, destinations)).withColumn("outcome", outcome(e.total))
-    df = df.join(joined_valid(df, e), ["typo", "correction"], "left")
+    pairs = propose_common_words(e, destinations)
+    df = e.described(pairs).withColumn("outcome", outcome(e.total))
+    df = df.join(joined_evidence(pairs, e), ["typo", "correction"], "left").withColumn("joined_ok", joined_ok())
     joined = F.col("correction").contains(" ")
     documented = F.col("documented").eqNullSafe(F.col("correction"))
     short_corpus = F.col("in_corpus") & (F.length("typo") < 5) & F.length("correction").isin(3, 4) & ~corpus_exception()

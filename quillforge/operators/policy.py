@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.edits import is_repeat, is_swap, keyboard_typos
+from ..functions.text import DOCUMENTED_SHORT
 
 #: Occurrences per so many words, and the lead that a winner needs.
 COMMON = 100_000
 FREQUENT = 10_000
 LEAD = 100
-#: Fixed value: the short pair that documentation admits.
-DOCUMENTED_SHORT = (("hte", "the"),)
 
 
 def at_least(n: Column, total: Column, per: int) -> Column:

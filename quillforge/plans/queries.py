@@ -516,7 +516,7 @@ def bloom_false_negative_check(c: Corpus) -> DataFrame:
 
 @query(f"SELECT {sql.bucket('typo')} AS bucket, count(*) AS entries, greatest(1, ceil(count(*) * 12 / 8))::BIGINT AS size, 16 AS checksum_digits FROM entries GROUP BY 1", B, sql.ENTRIES)
 def bloom_sizes(c: Corpus) -> DataFrame:
-    return bloom.build(c.entries).select("bucket", "entries", F.length("bytes").cast("bigint").alias("size"), F.length("checksum").alias("checksum_digits"))
+    return bloom.build(c.entries).where("entries > 0").select("bucket", "entries", F.length("bytes").cast("bigint").alias("size"), F.length("checksum").alias("checksum_digits"))
 
 
 # ---- context -----------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import CORRECTION, LOWER_WORD
+from ..functions.text import CORRECTION, DOCUMENTED_SHORT, LOWER_WORD
 
 FLAT = T.StructType([T.StructField("typo", T.StringType(), False), T.StructField("correction", T.StringType(), False)])
 PROTECTED = "word string, evidence struct<reason:string,source:string>"
@@ -98,7 +98,7 @@ def _unique(pairs):
 
 
 def _evidence(text: str, extra: tuple[str, ...]) -> dict[str, dict]:
-    """A small nested evidence file, checked on the driver: exactly the named fields, all filled, sources on https."""
+    """A small nested evidence file, checked on the driver: exactly the named fields, all filled, sources on the web."""
     try:
         data = json.loads(text, object_pairs_hook=_unique)
     except ValueError as e:
@@ -117,7 +117,7 @@ def _evidence(text: str, extra: tuple[str, ...]) -> dict[str, dict]:
             host = url.hostname
         except ValueError as e:
             raise InvalidCatalog(f"invalid source for {word}") from e
-        if url.scheme != "https" or not host or re.search(r"\s", record["source"]):
+        if url.scheme not in ("http", "https") or not host or re.search(r"\s", record["source"]):
             raise InvalidCatalog(f"invalid source for {word}")
         if "correction" in extra and (not re.fullmatch("[a-z]+( [a-z]+)?", record["correction"]) or record["correction"] == word):
             raise InvalidCatalog(f"invalid correction for {word}")
@@ -134,26 +134,33 @@ def reviewed_corrections(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(w, r["correction"], r["reason"], r["source"]) for w, r in data.items()], REVIEWED)
 
 
-#: Short pairs that a review may override only if the lines document them too. A fixed value.
-DOCUMENTED_SHORT = (("hte", "the"),)
-
-
 def documented_lines(lines: DataFrame, reviewed: DataFrame | None = None, value_col: str = "value") -> DataFrame:
-    """(typo, correction) from `typo->correction` lines, reviewed pairs laid over them.
+    """(typo, correction), one row a typo, from `typo->correction` lines with reviewed pairs laid over them.
 
-    Lines without an arrow and corrections that aren't words (several suggestions have commas) are left out. A
-    reviewed pair that contradicts a line raises.
+    Lines without an arrow and corrections that aren't words (several suggestions have commas) document nothing. Of
+    lines with one typo the last counts; `lines` has their order in a column `number` if it has one, and the greatest
+    correction counts otherwise. A reviewed pair raises if any line, also one with several suggestions, has its typo
+    with another correction, or if it is one of the short pairs that lines must confirm and none does.
     """
     parts = F.split(F.col(value_col), "->", 2)
-    pairs = lines.where(F.col(value_col).contains("->")).select(parts[0].alias("typo"), parts[1].alias("correction"))
-    pairs = pairs.where(F.col("correction").rlike(CORRECTION)).distinct()
+    order = F.col("number") if "number" in lines.columns else F.lit(0)
+    stated = lines.where(F.col(value_col).contains("->")).select(parts[0].alias("typo"), parts[1].alias("correction"), order.alias("number"))
+    pairs = stated.where(F.col("correction").rlike(CORRECTION)).groupBy("typo").agg(F.max(F.struct("number", "correction"))["correction"].alias("correction"))
     if reviewed is None:
         return pairs
-    extra = reviewed.select("typo", "correction")
-    clash = pairs.join(extra.withColumnRenamed("correction", "other"), "typo").where("correction <> other").select("typo").first()
+    clash = documentation_conflicts(stated, pairs, reviewed).first()
     if clash:
-        raise InvalidCatalog(f"conflicting documentation for {clash['typo']}")
-    return pairs.union(extra).distinct()
+        raise InvalidCatalog(f"{clash['problem']}: {clash['typo']}")
+    extra = reviewed.select("typo", "correction")
+    return pairs.join(extra, "typo", "left_anti").union(extra)
+
+
+def documentation_conflicts(stated: DataFrame, pairs: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(typo, problem) of reviewed pairs that the stated lines contradict, or that they would have to confirm."""
+    extra = reviewed.select("typo", F.col("correction").alias("own"))
+    against = stated.join(extra, "typo").where(~F.col("correction").eqNullSafe(F.col("own"))).select("typo", F.lit("conflicting documentation").alias("problem"))
+    short = extra.where(F.col("typo").isin(*[t for t, _ in DOCUMENTED_SHORT])).join(pairs, "typo", "left").where(~F.col("correction").eqNullSafe(F.col("own")))
+    return against.union(short.select("typo", F.lit("short pair without documentation"))).distinct()
 
 
 def word_lists(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillforge.functions import edits, text
@@ -60,6 +62,29 @@ def test_overrides_and_file_types(spark):
     own = spark.createDataFrame([("hte", "HTE")], "typo string, correction string")
     assert [r["w"] for r in correct.corrections_in_context(docs, catalog, overrides=own).collect()] == ["wiht"]
     assert correct.corrections_in_context(docs, catalog, filetypes=()).count() == 0
+    assert [r["w"] for r in correct.corrections_in_context(docs, catalog, bypass=own.select("typo")).collect()] == ["wiht"]
+
+
+def test_comments_of_source_files(spark):
+    catalog = spark.createDataFrame([("hte", "the")], "typo string, correction string")
+    rows = [("python", "hte = 'hte # hte'  # hte `hte` http://hte\n# ```\n# hte\n# ```\n# hte"), ("c", "int hte; /* hte\n * hte */ hte // hte"), ("unknown", "# hte"), (None, "hte"), ("lua", None)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, filetype string, text string")
+    got = {r["doc_id"]: r["corrected"] for r in correct.correct_in_context(docs, catalog).collect()}
+    assert got == {0: "hte = 'hte # hte'  # the `hte` http://hte\n# ```\n# hte\n# ```\n# the", 1: "int hte; /* the\n * the */ hte // the", 2: "# hte", 3: "hte", 4: None}
+
+
+def test_large_catalogues_take_the_other_way(spark, monkeypatch):
+    """Beyond the broadcast limit words leave the texts to meet the catalogue; the results are the same."""
+    catalog = spark.createDataFrame([("hte", "the", False), ("definately", "definitely", True)], "typo string, correction string, capitalized_ok boolean")
+    docs = spark.createDataFrame([(1, "text", "hte Hte Definately HTE"), (2, "markdown", "`hte` hte [x](hte)"), (3, "markdown", None), (None, "text", "a hte"), (4, "lua", "hte -- hte"), (5, "text", "")], "doc_id long, filetype string, text string")
+
+    def found():
+        out = [sorted(map(str, f.collect())) for cap in (False, True) for f in (correct.correct_text(docs, catalog, correct_capitalized=cap), correct.correct_in_context(docs, catalog, correct_capitalized=cap), correct.corrections_in_context(docs, catalog, correct_capitalized=cap))]
+        return out
+
+    small = found()
+    monkeypatch.setattr(correct, "BROADCAST_BYTES", 0)
+    assert found() == small and "the Hte Definitely" in str(small[3])
 
 
 def test_column_rules_agree_with_the_scanner(spark):
@@ -67,7 +92,24 @@ def test_column_rules_agree_with_the_scanner(spark):
     df = spark.createDataFrame(rows, "t string, want boolean")
     for r in df.withColumn("got", correct.technical(F.element_at(F.split("t", " "), -1))).collect():
         assert r["got"] == r["want"], r["t"]
-        assert correct._prose(r["t"], r["t"].index("hte"), r["t"].index("hte") + 3) is not r["want"]
+        assert correct._prose(r["t"], [(r["t"].index("hte"), r["t"].index("hte") + 3)]) == [not r["want"]]
+
+
+def slow_prose(line, start, stop):
+    """The same by prefixes and suffixes, word by word."""
+    import re
+
+    left, right = re.search(r"[^\s()\[\]<>\"'`]*\Z", line[:start])[0], re.match(r"[^\s()\[\]<>\"'`]*", line[start:])[0]
+    return not (correct._TECHNICAL.search(left + right) or line[stop : stop + 1] in ("@", "/", "\\") or re.search(r"\]\([^)]*\Z", line[:start]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1 ()[]/@\\.:~<>`'\"w-", max_size=40))
+def test_prose_in_one_walk(line):
+    import re
+
+    words = [m.span() for m in re.finditer(r"\w+", line)]
+    assert correct._prose(line, words) == [slow_prose(line, a, b) for a, b in words]
 
 
 def test_filters(spark):
@@ -92,8 +134,14 @@ def test_filters(spark):
         assert list(r["probes"]) == [(first + k * step) % bits for k in range(8)]
     entries = words(spark, *ws).withColumnRenamed("w", "typo")
     filters = bloom.build(entries).cache()
+    assert filters.count() == 256
     for r in filters.collect():
         assert len(r["bytes"]) == max(1, -(-r["entries"] * 12 // 8)) and r["bits"] == 8 * len(r["bytes"])
     assert bloom.contains(entries, filters).where("NOT maybe").count() == 0
+    damaged = filters.withColumn("bytes", F.when(F.col("bucket") % 2 == 0, F.unhex(F.repeat(F.lit("00"), F.length("bytes")))).otherwise(F.col("bytes")))
+    assert bloom.contains(entries, damaged).where("NOT maybe").count() == 0  # a damaged filter hides no entry
+    assert bloom.contains(entries, filters.where("bucket % 3 <> 0")).where("NOT maybe").count() == 0
+    catalog = entries.withColumn("correction", F.upper("typo"))
+    assert bloom.candidates(entries.union(words(spark, "nothing", "else")), damaged, catalog).count() == len(ws)
     others = spark.range(2000).select(F.concat(F.lit("zz"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("typo"))
     assert bloom.contains(others, filters).where("maybe").count() < 100
