@@ -4,12 +4,13 @@ Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z.
 words of an item; an item of fewer words, but not none, is one window. A document's word inside any occurrence
 of a window is hit.
 
-The set is built in blocks of at most `MAX_WINDOWS` windows, each a broadcast of bounded size; a benchmark of
-more than one block is scanned block by block and the hits are united, so no item is left out.
+A benchmark of at most `SET_BYTES` of text becomes one hash set, whose size is so known before it is broadcast. Beyond,
+the windows stay a table: a Bloom filter of bounded size picks the places of the texts that may be windows, these meet
+the table by hash and words, and only texts with hits meet them again. Both give the same rows.
 
 Edge cases: a null or empty text has no words and no hits; a null item has no windows; an item whose id is null
-counts under the id "null"; repeated items with one id count once; an empty benchmark hits nothing; columns of
-the documents keep their names and the report's columns never meet them.
+counts under the id "null", together with one that is so called; repeated items with one id count once; an empty
+benchmark hits nothing; columns of the documents keep their names and the report's columns never meet them.
 """
 
 from __future__ import annotations
@@ -22,16 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, fresh, steps, utf8
+from .common import U64, Words, bloom, cut, fresh, sift, steps, utf8
 
 WIDTH = 10
-#: Windows in one broadcast: at some 100 bytes each, 200 MB.
-MAX_WINDOWS = 2_000_000
-#: Bytes of benchmark text fetched to the driver for one block.
-MAX_BLOCK_BYTES = 64 << 20
+#: Bytes of benchmark text up to which its windows are broadcast: a window begins at every second byte at most and takes
+#: some 100 bytes, so that the set has 200 MB at most.
+SET_BYTES = 4 << 20
 
 REPORT = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:long,end:long>>,clean:string>"
-HITS = "struct<items:array<string>,runs:array<struct<start:long,end:long>>>"
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -73,8 +72,8 @@ class Windows:
                     yield int(k), w, found
 
 
-def scan_batch(column, found: Windows, prior: list[dict] | None, last: bool, clean: bool) -> list[dict]:
-    """Per text what `REPORT` has, or (unless `last`) its hit runs of words and items so far."""
+def scan_batch(column, hits, clean: bool) -> list[dict]:
+    """Per text what `REPORT` has. `hits(words, a, b)` yields (first word, words, items) for texts a to b."""
     data, offsets = utf8(column)
     out = []
     for a, b in steps(offsets):
@@ -82,32 +81,21 @@ def scan_batch(column, found: Windows, prior: list[dict] | None, last: bool, cle
         words = Words(data[offsets[a] : offsets[b]], at)
         cover = np.zeros(len(words.hash) + 1, np.int32)
         items: dict[int, set[str]] = {}
-        for k, w, which in found.scan(words):
+        for k, w, which in hits(words, a, b):
             cover[k] += 1
             cover[k + w] -= 1
-            items.setdefault(int(np.searchsorted(words.first, k, side="right")) - 1, set()).update(found.items[x] for x in which)
-        for t, p in enumerate(prior[a:b] if prior else ()):
-            for run in p["runs"]:
-                cover[words.first[t] + run["start"]] += 1
-                cover[words.first[t] + run["end"]] -= 1
-            if p["items"]:
-                items.setdefault(t, set()).update(p["items"])
+            items.setdefault(int(np.searchsorted(words.first, k, side="right")) - 1, set()).update(which)
         hit = np.cumsum(cover[:-1]) > 0
         total = np.concatenate([[0], np.cumsum(hit)])
         for t in range(b - a):
             p, q = words.first[t], words.first[t + 1]
-            runs = []
+            spans = []
             if t in items:
                 edge = np.diff(np.concatenate([[0], hit[p:q].view(np.int8), [0]]))
-                runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-            row: dict = {"items": sorted(items.get(t, ()))}
-            if last:
+                runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)
                 spans = [(int(words.starts[p + x] - at[t]), int(words.ends[p + y - 1] - at[t])) for x, y in runs]
-                raw = data[offsets[a] + at[t] : offsets[a] + at[t + 1]].tobytes() if clean and spans else None
-                row |= {"n_words": int(q - p), "n_hit": int(total[q] - total[p]), "spans": [{"start": x, "end": y} for x, y in spans], "clean": raw and without(raw, spans)}
-            else:
-                row["runs"] = [{"start": x, "end": y} for x, y in runs]
-            out.append(row)
+            raw = data[offsets[a] + at[t] : offsets[a] + at[t + 1]].tobytes() if clean and spans else None
+            out.append({"n_words": int(q - p), "n_hit": int(total[q] - total[p]), "items": sorted(items.get(t, ())), "spans": [{"start": x, "end": y} for x, y in spans], "clean": raw and without(raw, spans)})
     return out
 
 
@@ -121,14 +109,8 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b" ".join(x for x in parts if x).decode("utf-8", "replace")
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str):
-    """Functions that fetch a bounded block of items each."""
-    items = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
-    n = 1 + max(size // MAX_BLOCK_BYTES, size // (2 * MAX_WINDOWS))  # a window begins at every second byte at most
-    block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    for k in range(n):
-        yield lambda k=k: [(r["i"], r["t"]) for r in items.where(block == k).collect()]
+def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", clean: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -138,32 +120,103 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     byte offsets of the UTF-8 text) and clean (the text without them; null where nothing was hit).
     `keep` names the columns of `docs` to return, all by default.
     """
-    name = fresh(docs, "decontamination")
+    name, text = fresh(docs, "decontamination"), fresh(docs, "scanned")
     keep = list(docs.columns) if keep is None else keep
-    text = fresh(docs, "scanned")
     whole = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(text))
-    blocks = list(_blocks(bench, item_id, item_text))
-    out, held = whole, None
-    for k, items in enumerate(blocks):
-        out, held = _pass(out, items(), text, held, k == len(blocks) - 1, clean, name), True
-    return out
+    items = _items(bench, item_id, item_text)
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
+    if size > SET_BYTES:
+        return _by_table(whole, items, text, clean, name)
+    found = Windows([(r["i"], r["t"]) for r in items.collect()])  # `SET_BYTES` at most
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def hits(words, a, b):
+        known = shared.value
+        return ((k, w, [known.items[x] for x in which]) for k, w, which in known.scan(words))
+
+    return _reported(whole, None, hits, clean, name)
 
 
-def _pass(df: DataFrame, items: list[tuple[str, str]], text: str, held: bool | None, last: bool, clean: bool, name: str) -> DataFrame:
-    """One block of the benchmark. The column before the text, if any, has the hits of earlier blocks."""
-    shared = df.sparkSession.sparkContext.broadcast(Windows(items))
-    n = len(df.columns) - 1 - bool(held)
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _RUNS), ("clean", pa.string())]) if last else pa.struct([("items", pa.list_(pa.string())), ("runs", _RUNS)])
-    schema = T.StructType(df.schema.fields[:n]).add(name, T.StructType.fromDDL(f"x {REPORT if last else HITS}")["x"].dataType)
-    if not last:
-        schema.add(df.schema.fields[-1])
+def _reported(whole: DataFrame, places: str | None, hits, clean: bool, name: str) -> DataFrame:
+    """`whole` (columns, the text last) with the report in place of the text.
+
+    Without `places` `hits` finds the occurrences in the words; else a column of that name before the text has them.
+    """
+    n = len(whole.columns) - 1 - (places is not None)
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _RUNS), ("clean", pa.string())])
+    schema = T.StructType(whole.schema.fields[:n]).add(name, T.StructType.fromDDL(f"x {REPORT}")["x"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
         for batch in batches:
-            body = batch.column(batch.num_columns - 1)
-            made = scan_batch(body, found, batch.column(n).to_pylist() if held else None, last, clean)
-            columns = [*batch.columns[:n], pa.array(made, kind)]
-            yield pa.RecordBatch.from_arrays(columns if last else [*columns, body], names=schema.names)
+            find = hits
+            if places is not None:
+                stated = batch.column(n).to_pylist()
+
+                def find(words, a, b, stated=stated):
+                    return ((int(words.first[t - a]) + h["at"], h["w"], h["items"]) for t in range(a, b) for h in stated[t] or ())
+
+            made = scan_batch(batch.column(batch.num_columns - 1), find, clean)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, kind)], names=schema.names)
+
+    return whole.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, schema)
+
+# ---- benchmarks too large for one set ----------------------------------------------------------------
+
+
+def _windows(items: DataFrame) -> DataFrame:
+    """(hash, words, w, item) of the windows of (i, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, texts, widths, owner = [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                words = Words(raw, np.array([0, len(raw)]))
+                w = min(WIDTH, len(words.hash))
+                if w:
+                    found, whole = words.windows(w)
+                    for x in np.flatnonzero(whole).tolist():
+                        hashes.append(found[x])
+                        texts.append(words.text(x, x + w))
+                        widths.append(w)
+                        owner.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, U64).view(np.int64)), pa.array(texts, pa.binary()), pa.array(widths, pa.int32()), batch.column(0).take(pa.array(owner, pa.int64()))], names=["hash", "words", "w", "item"])
+
+    return items.select("i", "t").mapInArrow(run, "hash bigint, words binary, w int, item string").distinct()
+
+
+def _by_table(whole: DataFrame, items: DataFrame, text: str, clean: bool, name: str) -> DataFrame:
+    table = cut(_windows(items))
+    own = [F.col(f"`{c}`") for c in whole.columns]
+    among, widths = bloom(table.select("hash").distinct()), sorted(r["w"] for r in table.select("w").distinct().collect())
+    shared = whole.sparkSession.sparkContext.broadcast(among)
+    key, places, other = fresh(whole, "text_hash"), fresh(whole, "places"), fresh(whole, "text_mix")
+    # what is hit depends on the text alone, so two hashes of it stand for all documents that have it
+    two = (F.xxhash64(F.lit(1), F.coalesce(text, F.lit(""))), F.xxhash64(F.lit(2), F.coalesce(text, F.lit(""))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            for a, b in steps(offsets):
+                words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for w in widths:
+                    hashes, valid = words.windows(w)
+                    at = np.flatnonzero(valid)
+                    at = at[shared.value.has(hashes[at].view(np.int64))]
+                    owner = np.searchsorted(words.first, at, side="right") - 1
+                    take = pa.array(owner + a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes[at].view(np.int64)), pa.array([words.text(x, x + w) for x in at.tolist()], pa.binary()), pa.array(at - words.first[owner]), pa.array(np.full(len(at), w, np.int32))], names=["x", "y", "hash", "words", "at", "w"])
+
+    seen = whole.select(two[0].alias("x"), two[1].alias("y"), F.col(f"`{text}`")).mapInArrow(run, "x bigint, y bigint, hash bigint, words binary, at bigint, w int").distinct()
+    # items of a window are summed up after the join, as a common window may have many
+    met = seen.join(table.select("hash", "words", "item"), ["hash", "words"]).groupBy("x", "y", "at", "w").agg(F.collect_set("item").alias("items"))
+    hits = cut(met.groupBy("x", "y").agg(F.collect_list(F.struct("at", "w", "items")).alias("hits")))
+    keyed = whole.withColumns({key: two[0], other: two[1]})
+    wanted = bloom(hits.select("x"))
+    none = F.lit(None).cast(hits.schema["hits"].dataType)
+    head, last = own[:-1], own[-1]
+    untouched = sift(keyed, key, wanted, inside=False).select(*head, none.alias(places), last)
+    touched = sift(keyed, key, wanted)
+    touched = touched.join(hits, (touched[key] == hits["x"]) & (touched[other] == hits["y"]), "left").select(*head, F.col("hits").alias(places), last)
+    return _reported(untouched.unionByName(touched), places, None, clean, name)
