@@ -10,14 +10,13 @@ columns of the input pass through all stages but the last.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillforge.llm import decontaminate, jaccard, packing, private, quality
-from quillforge.llm.common import fresh, table
+from quillforge.llm.common import fresh, shared_folder, table
 from quillforge.llm.labels import fold, sample
 
 
@@ -73,10 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    """The last stage's rows. Each stage is written to the shared folder, and goes when its successor is there."""
+    top, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{top}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{top}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        before = path
     return docs
