@@ -129,7 +129,7 @@ def step(state: State, text: str, row: int, markup: bool) -> tuple[State, bool,
     return after, protected, fenced
 
 
-def _answers(state: State, text: str, ends: list[int], markup: bool) -> list[bool]:
+def answers(state: State, text: str, ends: list[int], markup: bool) -> list[bool]:
     """For words of one line that end at `ends`, whether the line up to there ends in a protected place."""
     if state.metadata:
         return [True] * len(ends)
@@ -166,7 +166,7 @@ def protected_words(lines: list[str], words: list[tuple[int, int]], markup: bool
             last += 1
         while row < at:
             state, row = step(state, lines[row], row, markup)[0], row + 1
-        out += _answers(state, lines[at], [end for _, end in words[k:last]], markup)
+        out += answers(state, lines[at], [end for _, end in words[k:last]], markup)
         k = last
     return out
 

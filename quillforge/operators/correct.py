@@ -163,7 +163,7 @@ _TECHNICAL = re.compile(TECHNICAL)
 _LINK = re.compile(r"\]\(|\)")
 
 
-def _prose(line: str, words: list[tuple[int, int]]) -> list[bool]:
+def prose(line: str, words: list[tuple[int, int]]) -> list[bool]:
     """For words (start, stop) of a line, in order: neither part of an address or path, nor in a link's destination.
 
     One walk over the line's strings and link marks, however many words there are.
@@ -181,7 +181,7 @@ def _prose(line: str, words: list[tuple[int, int]]) -> list[bool]:
     return out
 
 
-def _found(row: int, line: str, offset: int, stop: int, fixes) -> list[tuple[int, int, int, str, str]]:
+def found_in(row: int, line: str, offset: int, stop: int, fixes) -> list[tuple[int, int, int, str, str]]:
     words = [m for m in _WORD.finditer(line, offset, stop) if m[0] in fixes]
     return [(row, m.start(), m.end(), m[0], fixes[m[0]]) for m in words]
 
@@ -191,7 +191,7 @@ def _places(text: str, kind: str, fixes) -> Iterator[tuple[int, int, int, str, s
     lines = text.split("\n")
     if kind == "text":
         for row, line in enumerate(lines):
-            yield from _found(row, line, 0, len(line), fixes)
+            yield from found_in(row, line, 0, len(line), fixes)
         return
     if kind not in FILETYPES:
         for group in comment_groups(lines, kind):
@@ -201,9 +201,9 @@ def _places(text: str, kind: str, fixes) -> Iterator[tuple[int, int, int, str, s
     for row, line in enumerate(lines):
         if kind == "markdown" and line.startswith(("    ", "\t")):
             continue
-        own = _found(row, line, 0, len(line), fixes)
+        own = found_in(row, line, 0, len(line), fixes)
         if own:
-            found += [f for f, fine in zip(own, _prose(line, [f[1:3] for f in own]), strict=True) if fine]
+            found += [f for f, fine in zip(own, prose(line, [f[1:3] for f in own]), strict=True) if fine]
     if found:
         guarded = protected_words(lines, [(f[0], f[2]) for f in found], kind == "markdown")
         yield from (f for f, g in zip(found, guarded, strict=True) if not g)
@@ -216,9 +216,9 @@ def _in_comment(lines: list[str], group: list[tuple[int, int, int]], fixes) -> I
         content = lines[row][start:stop]
         inner.append(bare(content))
         cut.append(start + len(content) - len(inner[-1]))
-        own = _found(row, lines[row], start, stop, fixes)
+        own = found_in(row, lines[row], start, stop, fixes)
         if own:
-            found += [(k, f) for f, fine in zip(own, _prose(lines[row], [f[1:3] for f in own]), strict=True) if fine]
+            found += [(k, f) for f, fine in zip(own, prose(lines[row], [f[1:3] for f in own]), strict=True) if fine]
     guarded = protected_words(inner, [(k, f[2] - cut[k]) for k, f in found], False)
     yield from (f for (_, f), g in zip(found, guarded, strict=True) if not g)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Corpus:
-    """Lazy views of one set of documents."""
+    """Lazy views of one set of documents. What an earlier one has cached is given up when the next one is made."""
+
+    held: ClassVar[list[DataFrame]] = []
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        while Corpus.held:
+            with suppress(Exception):  # its session may have ended
+                Corpus.held.pop().unpersist()
         self.spark, self.sf_dir = spark, sf_dir
         self.docs = table(spark, sf_dir, "documents")
         self.words = word_table(self.docs)
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        Corpus.held.append(df.cache())
+        return df
+
     @cached_property
     def vocab(self) -> DataFrame:
-        return self.words.where(is_lower("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).cache()
+        return self._keep(self.words.where(is_lower("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
 
     @cached_property
     def total(self):
@@ -50,7 +61,7 @@ class Corpus:
     def catalog(self) -> DataFrame:
         """Letters two and three exchanged in words of six letters or more, where that makes no vocabulary word."""
         made = self.vocab.where(F.length("w") >= 6).select(swapped("w").alias("typo"), F.col("w").alias("correction")).where("typo <> correction")
-        return made.join(self.vocab.select(F.col("w").alias("typo")), "typo", "left_anti").select("typo", "correction", (bucket("typo") % 4 == 0).alias("capitalized_ok")).cache()
+        return self._keep(made.join(self.vocab.select(F.col("w").alias("typo")), "typo", "left_anti").select("typo", "correction", (bucket("typo") % 4 == 0).alias("capitalized_ok")))
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -63,7 +74,7 @@ class Corpus:
         common = pairs.where(is_lower("a") & is_lower("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PHRASE)
         joined = common.groupBy(F.concat("a", "b").alias("typo")).agg(F.min(F.concat_ws(" ", "a", "b")).alias("correction")).where(F.length("typo") >= 3)
         first = swaps.union(cuts.join(swaps, "typo", "left_anti"))
-        return first.union(joined.join(first, "typo", "left_anti")).cache()
+        return self._keep(first.union(joined.join(first, "typo", "left_anti")))
 
     def evidence(self, entries: DataFrame) -> Evidence:
         """Every fourth bucket is documented, every sixteenth reviewed; known words are protected and real."""

@@ -67,55 +67,5 @@ COMMENTS = [
     ("# > ```\n# > definately", True),
 ]
 
-#: (name, source, flat mapping or None if it must be rejected)
-CATALOGS = [
-    ("empty catalog", "{}", {}),
-    ("grouped variants", '{"separate":["seperate","sepparate"],"would":["woudl"]}', {"seperate": "separate", "sepparate": "separate", "woudl": "would"}),
-    ("escaped letters", '{"w\\u006frd":["ty\\u0070o"]}', {"typo": "word"}),
-    ("duplicate correction", '{"word":["typo"],"word":["other"]}', None),
-    ("escaped duplicate correction", '{"word":["typo"],"w\\u006frd":["other"]}', None),
-    ("duplicate typo", '{"word":["typo","typo"]}', None),
-    ("conflicting typo", '{"word":["typo"],"another":["typo"]}', None),
-    ("identity", '{"word":["word"]}', None),
-    ("uppercase correction", '{"Word":["typo"]}', None),
-    ("uppercase typo", '{"word":["Typo"]}', None),
-    ("nonword correction", '{"not a word":["typo"]}', None),
-    ("nonword typo", '{"word":["not a word"]}', None),
-    ("empty correction", '{"":["typo"]}', None),
-    ("empty typo", '{"word":[""]}', None),
-    ("empty list", '{"word":[]}', None),
-    ("object instead of list", '{"word":{}}', None),
-    ("indexed object instead of list", '{"word":{"1":"typo"}}', None),
-    ("string instead of list", '{"word":"typo"}', None),
-    ("null list", '{"word":null}', None),
-    ("null typo", '{"word":[null]}', None),
-    ("number typo", '{"word":[1]}', None),
-    ("nested list", '{"word":[["typo"]]}', None),
-    ("root array", "[]", None),
-    ("root null", "null", None),
-    ("root string", '"word"', None),
-    ("malformed JSON", '{"word":["typo"]', None),
-    ("escaped quote", '{"word":["ty\\"po"]}', None),
-    ("escaped backslash", '{"word":["ty\\\\po"]}', None),
-    ("two-word destination", '{"each other": ["eachother"]}', {"eachother": "each other"}),
-    ("escaped space in destination", '{"each\\u0020other":["eachother"]}', {"eachother": "each other"}),
-    ("leading space destination", '{" each other": ["eachother"]}', None),
-    ("trailing space destination", '{"each other ": ["eachother"]}', None),
-    ("repeated space destination", '{"each  other": ["eachother"]}', None),
-    ("tab destination", '{"each\\tother": ["eachother"]}', None),
-    ("newline destination", '{"each\\nother": ["eachother"]}', None),
-    ("nonbreaking space destination", '{"each\\u00a0other": ["eachother"]}', None),
-    ("uppercase phrase destination", '{"Each other": ["eachother"]}', None),
-    ("apostrophe destination", '{"isn\'t": ["eachother"]}', None),
-    ("punctuation destination", '{"each-other": ["eachother"]}', None),
-    ("key notation destination", '{"each<CR>other": ["eachother"]}', None),
-    ("duplicate escaped phrase", '{"each other":["eachother"],"each\\u0020other":["eeachother"]}', None),
-]
-
-
-def catalogs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, s) for n, s, _ in CATALOGS], "name string, source string")
-
-
 def pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*PAIRS.items(), ("definately", "definitely")], "typo string, correction string")

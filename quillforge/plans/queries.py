@@ -1,13 +1,14 @@
 """One query for each operator, over whole tables, and the SQL an independent engine runs for the same rows.
 
-Where the rules were only ever stated by examples (catalogue validation, the line scanner), the SQL is a list of the
-expected rows: a transcription of the stated results, not a computation.
+Faults, damage and evidence are made by rule from the corpus, so that the SQL computes what must come of them. Where the
+rules were only ever stated by examples (the line scanner), the SQL is a list of the expected rows, and the tests hold
+the scanner against the rules written out a second time.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import edits, text
 from ..functions.scanner import comment_protected
@@ -65,7 +66,7 @@ def case_guard(c: Corpus) -> DataFrame:
     return c.words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select("w", "n", text.is_lower("w").alias("lower_ok"), text.is_title("w").alias("title_ok"))
 
 
-@query("SELECT t.w, t.n FROM vocab t, (SELECT max(length(typo)) AS m FROM catalog) WHERE length(t.w) <= m", B, sql.CATALOG)
+@query("SELECT w, n FROM vocab WHERE length(w) <= (SELECT max(length(typo)) FROM catalog)", B, sql.CATALOG)
 def length_guard(c: Corpus) -> DataFrame:
     most = c.catalog.agg(F.max(F.length("typo")).alias("m"))
     return c.vocab.join(F.broadcast(most), F.length("w") <= F.col("m")).select("w", "n")
@@ -94,21 +95,46 @@ def text_lines(c: Corpus) -> DataFrame:
 # ---- catalogues --------------------------------------------------------------------------------------
 
 
-@fixed("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', '{x}')" for n, _, e in fixtures.CATALOGS if e for t, x in e.items()) + ") v(name, typo, correction)")
-def catalog_flatten(spark: SparkSession) -> DataFrame:
-    return catalogs.flattened(catalogs.parsed(fixtures.catalogs(spark)))
+ONE_OBJECT = "list(typo ORDER BY typo) AS typos, min(typo) AS t0 FROM entries GROUP BY correction"
+
+
+def _objects(c: Corpus) -> DataFrame:
+    """(correction, t0, good): for each correction a catalogue of its own, as JSON, and its first typo."""
+    one = c.entries.groupBy("correction").agg(F.sort_array(F.collect_list("typo")).alias("typos")).withColumn("t0", F.col("typos")[0])
+    return one.select("correction", "t0", F.to_json(F.create_map("correction", "typos")).alias("good"))
+
+
+#: What is done to a catalogue, by its first typo's bucket modulo 16. Of these 0, 1 and 2 are valid.
+FAULTS = (
+    "good", "replace(good, ':', ' :\\n ')", "replace(good, concat('\"', substr(correction, 1, 1)), concat('\"\\\\u00', lower(hex(ascii(correction)))))",
+    "concat('{\"', correction, '\":[\"x\"],', substr(good, 2))", "concat('{\"\\\\u00', lower(hex(ascii(correction))), substr(correction, 2), '\":[\"x\"],', substr(good, 2))", "concat('{\"', correction, '\":[]}')",
+    "concat('{\"', upper(correction), '\":[\"', t0, '\"]}')", "concat('{\"', correction, '\":[\"', upper(t0), '\"]}')", "concat('{\"', t0, '\":[\"', t0, '\"]}')", "concat('{\"', correction, '\":[\"', t0, '\",\"', t0, '\"]}')",
+    "concat('{\"', correction, '\":\"', t0, '\"}')", "concat('{\"', correction, '\":[\"', t0, '\",1]}')", "concat('{\"', correction, '\":[[\"', t0, '\"]]}')", "concat('[', good, ']')", "substr(good, 1, length(good) - 1)", "concat('{\" ', correction, '\":[\"', t0, '\"]}')",
+)
 
 
-@fixed("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(e is not None).lower()})" for n, _, e in fixtures.CATALOGS) + ") v(name, valid)")
-def catalog_validate(spark: SparkSession) -> DataFrame:
-    return catalogs.parsed(fixtures.catalogs(spark)).select("name", F.col("error").isNull().alias("valid"))
+def _faulty(c: Corpus) -> DataFrame:
+    kind = "CASE pmod(bucket, 16) " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(FAULTS)) + " END"
+    return _objects(c).withColumn("bucket", text.bucket("t0")).select("correction", F.expr(kind).alias("source"))
 
 
-@fixed("SELECT * FROM (VALUES ('plain', 2, 1), ('escaped', 2, 1), ('distinct', 2, 2)) v(name, keys, names)")
-def catalog_duplicates(spark: SparkSession) -> DataFrame:
-    rows = [("plain", '{"word":["typo"],"word":["other"]}'), ("escaped", '{"word":["typo"],"w\\u006frd":["other"]}'), ("distinct", '{"word":["typo"],"would":["woudl"]}')]
-    keys = F.json_object_keys("source")
-    return spark.createDataFrame(rows, "name string, source string").select("name", F.size(keys).alias("keys"), F.size(F.array_distinct(keys)).alias("names"))
+@query(f"SELECT correction AS name, typo, correction FROM entries JOIN (SELECT correction, {ONE_OBJECT}) USING (correction) WHERE {sql.bucket('t0')} % 16 IN (0, 1, 2)".replace("SELECT correction, list", "SELECT correction, list"), B, sql.ENTRIES)
+def catalog_flatten(c: Corpus) -> DataFrame:
+    """The rows of the valid ones among catalogues of which 13 in 16 have a fault."""
+    return catalogs.flattened(catalogs.parsed(_faulty(c).withColumnRenamed("correction", "name")))
+
+
+@query(f"SELECT correction, {sql.bucket('t0')} % 16 IN (0, 1, 2) AS valid FROM (SELECT correction, {ONE_OBJECT})", B, sql.ENTRIES)
+def catalog_validate(c: Corpus) -> DataFrame:
+    return catalogs.parsed(_faulty(c)).select("correction", F.col("error").isNull().alias("valid"))
+
+
+@query(f"SELECT correction, {sql.bucket('t0')} % 16 AS kind FROM (SELECT correction, {ONE_OBJECT}) WHERE {sql.bucket('t0')} % 16 IN (3, 4)", B, sql.ENTRIES)
+def catalog_duplicates(c: Corpus) -> DataFrame:
+    """Catalogues with a key twice, written alike (3) or once with an escape (4), by the error they get."""
+    found = catalogs.parsed(_faulty(c)).where("error = 'duplicate key'")
+    first = _objects(c).select("correction", (text.bucket("t0") % 16).alias("kind"))
+    return found.join(first, "correction").select("correction", "kind")
 
 
 @query("SELECT correction, to_json(list(typo ORDER BY typo))::VARCHAR AS typos FROM entries GROUP BY correction", B, sql.ENTRIES)
@@ -131,11 +157,29 @@ def catalog_rules(c: Corpus) -> DataFrame:
     return catalogs.validate_flat(c.entries)
 
 
-@fixed("SELECT * FROM (VALUES ('abandonned', 'abandoned'), ('alot', 'a lot'), ('hte', 'the'), ('recieve', 'receive')) v(typo, correction)")
-def documented_lines(spark: SparkSession) -> DataFrame:
-    lines = ["abandonned->abandoned", "alot->a lot", "hte->the", "thier->their, there,", "no arrow here", "x-y->z", "recieve->receive", "Caps->Word"]
-    found = catalogs.documented_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
-    return found.where(F.col("typo").rlike(r"\A[a-z]+\z"))
+#: Lines that document the entries, by their bucket modulo 4: well, with more suggestions, without an arrow, with signs.
+LINE = "CASE pmod(b, 4) WHEN 0 THEN concat(typo, '->', correction) WHEN 1 THEN concat(typo, '->', correction, ', other,') WHEN 2 THEN concat(typo, ' ', correction) ELSE concat(typo, '->', correction, '-x') END"
+
+
+def _lines(c: Corpus) -> DataFrame:
+    return c.entries.withColumn("b", text.bucket("typo")).select(F.expr(LINE).alias("value"))
+
+
+@query(f"SELECT typo, correction FROM entries WHERE {sql.bucket('typo')} % 4 = 0", B, sql.ENTRIES)
+def documented_lines(c: Corpus) -> DataFrame:
+    return catalogs.documented_lines(_lines(c))
+
+
+@query(f"""SELECT typo, 'conflicting documentation' AS problem FROM entries WHERE ({sql.bucket('typo')} % 4 IN (1, 3) AND {sql.bucket('typo')} % 3 = 0) OR ({sql.bucket('typo')} % 12 = 8)
+UNION ALL SELECT 'hte', 'short pair without documentation' WHERE NOT EXISTS (SELECT 1 FROM entries WHERE typo = 'hte')""", B, sql.ENTRIES)
+def documented_conflicts(c: Corpus) -> DataFrame:
+    """Reviews (a third of the buckets, some with another word, and a short pair) that the lines contradict or must confirm."""
+    b = text.bucket("typo")
+    reviewed = c.entries.where(b % 3 == 0).select("typo", F.col("correction")).union(c.entries.where(b % 12 == 8).select("typo", F.lit("another")))
+    reviewed = reviewed.union(c.spark.createDataFrame([("hte", "the")], "typo string, correction string"))
+    parts = F.split("value", "->", 2)
+    stated = _lines(c).where(F.col("value").contains("->")).select(parts[0].alias("typo"), parts[1].alias("correction"))
+    return catalogs.documentation_conflicts(stated, catalogs.documented_lines(_lines(c)), reviewed).where("typo <> 'hte' OR problem LIKE 'short%'")
 
 
 @fixed("SELECT * FROM (VALUES ('buidl', 'jargon', 'https://example.org/b'), ('teh', 'name', 'https://example.org/t')) v(word, reason, source)")
@@ -151,6 +195,11 @@ def _noisy(c: Corpus) -> DataFrame:
     return c.words.select("doc_id", "pos", F.when(F.col("w").rlike(r"\A[a-z]{6,}\z"), swapped("w")).otherwise(F.col("w")).alias("w"), F.col("w").alias("orig"))
 
 
+def _noise(texts):
+    """Texts with letters two and three exchanged in words of six letters or more."""
+    return F.regexp_replace(texts, r"(?<![\p{L}\p{N}_])([a-z])([a-z])([a-z])([a-z]{3,})(?![\p{L}\p{N}_])", "$1$3$2$4")
+
+
 NOISY = f"""
 noisy AS (SELECT doc_id, pos, CASE WHEN regexp_full_match(w, '[a-z]{{6,}}') THEN {sql.swap23('w')} ELSE w END AS w, w AS orig FROM tok)"""
 
@@ -181,9 +230,7 @@ def correct_tokens(c: Corpus) -> DataFrame:
 FROM (SELECT doc_id, i, CASE WHEN regexp_full_match(x, '[a-z]{6,}') THEN """ + sql.swap23("x") + """ ELSE x END AS p FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS l FROM documents)))
 LEFT JOIN catalog c ON p = c.typo GROUP BY doc_id""", B, sql.CATALOG)
 def correct_text(c: Corpus) -> DataFrame:
-    parts = text.pieces(F.col("text"))
-    noise = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"\A[a-z]{6,}\z"), F.concat(p.substr(1, 1), p.substr(3, 1), p.substr(2, 1), p.substr(F.lit(4), F.length(p)))).otherwise(p)), "")
-    return correct.correct_text(c.docs.select("doc_id", noise.alias("text")), c.catalog)
+    return correct.correct_text(c.docs.select("doc_id", _noise(F.col("text")).alias("text")), c.catalog)
 
 
 @query("SELECT source, w AS typo, count(*) AS n FROM noisy JOIN catalog ON w = typo JOIN documents USING (doc_id) GROUP BY source, w", B, sql.CATALOG, NOISY)
@@ -192,18 +239,22 @@ def noisy_corrections_by_source(c: Corpus) -> DataFrame:
     return hits.join(c.docs.select("doc_id", "source"), "doc_id").groupBy("source", F.col("w").alias("typo")).agg(F.sum("n").alias("n"))
 
 
-@query(f"""SELECT typo, CASE WHEN {sql.bucket('typo')} % 8 = 3 THEN upper(correction) ELSE correction END AS correction, {sql.bucket('typo')} % 8 = 3 AS own FROM catalog""", B, sql.CATALOG)
+def _noisy_texts(c: Corpus) -> DataFrame:
+    return c.docs.select("doc_id", F.lit("text").alias("filetype"), _noise(F.col("text")).alias("text"))
+
+
+@query(f"""SELECT doc_id, count(*) AS n FROM noisy JOIN catalog ON w = typo WHERE {sql.bucket('w')} % 8 <> 3 GROUP BY doc_id""", B, sql.CATALOG, NOISY)
 def user_override(c: Corpus) -> DataFrame:
-    """The user's own entries (here for one bucket in eight) win over the catalogue."""
-    own = c.catalog.where(text.bucket("typo") % 8 == 3).select("typo", F.upper("correction").alias("mine"))
-    return c.catalog.join(own, "typo", "left").select("typo", F.coalesce("mine", "correction").alias("correction"), F.col("mine").isNotNull().alias("own"))
+    """Corrections left to the catalogue where the user's own entries (here for one bucket in eight) win."""
+    own = c.catalog.where(text.bucket("typo") % 8 == 3).select("typo", F.upper("correction").alias("correction"))
+    return correct.corrections_in_context(_noisy_texts(c), c.catalog, overrides=own).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT doc_id, count(*) AS n FROM noisy JOIN catalog ON w = typo WHERE w NOT IN (SELECT typo FROM catalog WHERE {sql.bucket('typo')} % 8 = 5) GROUP BY doc_id""", B, sql.CATALOG, NOISY)
+@query(f"""SELECT doc_id, count(*) AS n FROM noisy JOIN catalog ON w = typo WHERE {sql.bucket('w')} % 8 <> 5 GROUP BY doc_id""", B, sql.CATALOG, NOISY)
 def bypass(c: Corpus) -> DataFrame:
     """Corrections left when the user bypasses some typos (here one bucket in eight)."""
-    skipped = c.catalog.where(text.bucket("typo") % 8 == 5).select(F.col("typo").alias("w"))
-    return correct.lookup(_noisy(c), c.catalog).join(skipped, "w", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    skipped = c.catalog.where(text.bucket("typo") % 8 == 5).select("typo")
+    return correct.corrections_in_context(_noisy_texts(c), c.catalog, bypass=skipped).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @fixed("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{x}')" for t, x in fixtures.PAIRS.items()) + ") v(w, correction)")
@@ -216,9 +267,11 @@ def known_pairs(spark: SparkSession) -> DataFrame:
 # ---- edits -------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT w, len({sql.one_edit('w')})::INTEGER AS edits FROM frequent", B)
+@query(f"SELECT w, len(e)::INTEGER AS edits, md5(array_to_string(list_sort(e), ',')) AS all_md5 FROM (SELECT w, {sql.one_edit('w')} AS e FROM known)", B)
 def one_edit_candidates(c: Corpus) -> DataFrame:
-    return c.frequent.select(F.col("word").alias("w"), F.size(edits.one_edit("word")).alias("edits"))
+    """Every known word's list: its length and a digest of it in order."""
+    made = c.known.select(F.col("word").alias("w"), F.array_sort(edits.one_edit("word")).alias("e"))
+    return made.select("w", F.size("e").alias("edits"), F.md5(F.array_join("e", ",")).alias("all_md5"))
 
 
 @query(f"SELECT w, unnest({sql.keyboard('w')}) AS typo FROM frequent", B)
@@ -264,8 +317,8 @@ def repeat_letter_pairs(c: Corpus) -> DataFrame:
     return pairs.where(edits.is_repeat("typo", "candidate"))
 
 
-@query("""SELECT w AS typo, substr(w, 1, i) AS "left", substr(w, i + 1) AS "right" FROM (SELECT w, unnest(range(1, length(w))) AS i FROM vocab)
-WHERE substr(w, 1, i) IN (SELECT w FROM known) AND substr(w, i + 1) IN (SELECT w FROM known)""", B)
+@query("""SELECT c.typo, c."left", c."right" FROM (SELECT w AS typo, substr(w, 1, i) AS "left", substr(w, i + 1) AS "right" FROM (SELECT w, unnest(range(1, length(w))) AS i FROM vocab)) c
+JOIN known a ON a.w = c."left" JOIN known b ON b.w = c."right\"""", B)
 def joined_splits(c: Corpus) -> DataFrame:
     return expand.joined_splits(c.vocab.select(F.col("w").alias("typo")), c.known.select("word"))
 
@@ -364,7 +417,7 @@ prop AS (SELECT typo, correction FROM reviewed UNION SELECT typo, correction FRO
   UNION SELECT typo, w FROM (SELECT w, unnest({sql.keyboard('w')}) AS typo FROM frequent WHERE length(w) = 5) WHERE length(typo) IN (4, 5)
   UNION SELECT typo, w FROM (SELECT w, unnest({sql.distinct('w', sql.deletions('w'))}) AS typo FROM frequent WHERE length(w) = 6) WHERE typo NOT IN (SELECT w FROM vocab))"""
 #: Evidence of the audit's catalogue, but nothing entered yet.
-OPEN_ENTRIES = sql.ENTRIES.replace("entries AS (SELECT * FROM e_first", "all_entries AS (SELECT * FROM e_first").replace("FROM entries WHERE", "FROM all_entries WHERE") + "," + sql.NO_ENTRIES
+OPEN_ENTRIES = sql.ENTRIES.replace("entries AS MATERIALIZED", "all_entries AS MATERIALIZED").replace("FROM entries WHERE", "FROM all_entries WHERE") + "," + sql.NO_ENTRIES
 EXPAND_COMMON = """
 SELECT typo, correction, verdict, CASE WHEN verdict = 'added' THEN CASE WHEN two THEN 'joined_words' WHEN rv IS NOT NULL THEN 'reviewed' WHEN g6 THEN 'six_letter_omission' ELSE 'five_letter_keyboard' END END AS category FROM (
 SELECT *, CASE WHEN coalesce(entry = correction, false) THEN 'existing' WHEN NOT two AND NOT destination THEN 'unverified_destination' WHEN protected THEN 'protected_word_or_name' WHEN in_corpus AND NOT doc THEN 'undocumented_corpus_token'
@@ -473,7 +526,7 @@ def audit_failures(c: Corpus) -> DataFrame:
 @query("SELECT * FROM (SELECT kind, typo, correction, (row_number() OVER (PARTITION BY kind ORDER BY typo, correction))::INTEGER AS rank FROM fails) WHERE rank <= 20", *AUDIT_CTES)
 def audit_examples20(c: Corpus) -> DataFrame:
     """The first twenty examples of each kind; the limit is the feature."""
-    return audit.failure_examples(audit.audited(c.evidence(c.entries)))
+    return audit.failure_examples(audit.audited(c.evidence(c.entries))).drop("rivals")
 
 
 @query("SELECT typo, correction FROM entries JOIN documented USING (typo, correction) WHERE length(typo) >= 6 AND NOT contains(correction, ' ')", B, sql.ENTRIES)
@@ -482,11 +535,41 @@ def capitalized_subset(c: Corpus) -> DataFrame:
     return audit.capitalised(e.entries, e.documented)
 
 
-@query("SELECT 0::BIGINT AS inconsistent")
+@query("SELECT count(*) AS eligible, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.typo = c.typo AND e.correction = c.correction)) AS inconsistent FROM (SELECT typo, correction FROM entries JOIN documented USING (typo, correction) WHERE length(typo) >= 6 AND NOT contains(correction, ' ')) c", B, sql.ENTRIES)
 def capitalized_consistency(c: Corpus) -> DataFrame:
-    """Entries of the capitalised subset that the catalogue lacks: none."""
+    """Entries of the capitalised subset, and those that the catalogue lacks."""
     e = c.evidence(c.entries)
-    return audit.capitalised(e.entries, e.documented).join(e.entries, ["typo", "correction"], "left_anti").agg(F.count(F.lit(1)).alias("inconsistent"))
+    subset = audit.capitalised(e.entries, e.documented)
+    met = subset.join(e.entries.withColumn("there", F.lit(True)), ["typo", "correction"], "left")
+    return met.agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("there").isNull()).alias("inconsistent"))
+
+
+@query("SELECT DISTINCT typo FROM fails", *AUDIT_CTES)
+def rejected_typos(c: Corpus) -> DataFrame:
+    return audit.rejected_typos(audit.audited(c.evidence(c.entries)))
+
+
+@query("SELECT typo, correction, array_to_string(list_sort(rivals), ',') AS rivals FROM a0 WHERE NOT two AND outcome = 'competing'", *AUDIT_CTES)
+def competing_corrections(c: Corpus) -> DataFrame:
+    """Entries that lose against other words, with those words."""
+    return audit.competing(audit.audited(c.evidence(c.entries))).withColumn("rivals", F.array_join("rivals", ","))
+
+
+JSON_HASH = "sha256('{' || coalesce(string_agg('\"' || typo || '\":\"' || correction || '\"', ',' ORDER BY typo), '') || '}')"
+
+
+@query(f"""SELECT 'entries' AS key, (SELECT count(*)::VARCHAR FROM entries) AS value UNION ALL SELECT 'mapping_sha256', (SELECT {JSON_HASH} FROM entries)
+UNION ALL SELECT 'capitalized_corrections', (SELECT count(*)::VARCHAR FROM cap) UNION ALL SELECT 'capitalized_sha256', (SELECT {JSON_HASH} FROM cap)
+UNION ALL SELECT 'reviewed_records', (SELECT count(*)::VARCHAR FROM reviewed) UNION ALL SELECT 'protected_dictionary_tokens', (SELECT count(*)::VARCHAR FROM known)
+UNION ALL SELECT 'protected_frequency_tokens', (SELECT count(*)::VARCHAR FROM vocab) UNION ALL SELECT 'rejected', (SELECT count(DISTINCT typo)::VARCHAR FROM fails) UNION ALL SELECT 'passed', (SELECT (count(*) = 0)::VARCHAR FROM fails)
+UNION ALL SELECT 'technical_destinations', (SELECT count(DISTINCT correction)::VARCHAR FROM entries ANTI JOIN known ON known.w = entries.correction WHERE NOT contains(correction, ' '))""",
+       *AUDIT_CTES[:-1], AUDIT_CTES[-1] + ",\ncap AS (SELECT typo, correction FROM entries JOIN documented USING (typo, correction) WHERE length(typo) >= 6 AND NOT contains(correction, ' '))")
+def audit_report(c: Corpus) -> DataFrame:
+    """Digests and counts of the whole report."""
+    r = audit.report(c.evidence(c.entries))
+    keys = ("entries", "mapping_sha256", "capitalized_corrections", "capitalized_sha256", "reviewed_records", "protected_dictionary_tokens", "protected_frequency_tokens")
+    rows = [(k, str(r[k])) for k in keys] + [("rejected", str(len(r["rejected_typos"]))), ("passed", str(r["passed"]).lower()), ("technical_destinations", str(len(r["technical_destinations"])))]
+    return c.spark.createDataFrame(rows, "key string, value string")
 
 
 # ---- sets --------------------------------------------------------------------------------------------
@@ -519,6 +602,36 @@ def bloom_sizes(c: Corpus) -> DataFrame:
     return bloom.build(c.entries).where("entries > 0").select("bucket", "entries", F.length("bytes").cast("bigint").alias("size"), F.length("checksum").alias("checksum_digits"))
 
 
+FILTERS = f"""
+sizes AS MATERIALIZED (SELECT {sql.bucket('typo')} AS bucket, greatest(1, ceil(count(*) * 12 / 8))::BIGINT * 8 AS bits FROM entries GROUP BY 1),
+places AS (SELECT typo, bits, {sql.probes('typo', 'bits')} AS p FROM entries JOIN sizes ON bucket = {sql.bucket('typo')})"""
+
+
+@query("SELECT typo, bits, array_to_string(p, ',') AS probes FROM places", B, sql.ENTRIES, FILTERS)
+def bloom_probes(c: Corpus) -> DataFrame:
+    """The eight positions of each entry in its bucket's filter, from the two word hashes."""
+    sizes = bloom.build(c.entries).select("bucket", "bits")
+    keyed = c.entries.select("typo", text.bucket("typo").alias("bucket")).join(sizes, "bucket")
+    return bloom.probes(keyed).select("typo", "bits", F.array_join(F.col("probes").cast("array<string>"), ",").alias("probes"))
+
+
+@query(f"SELECT bucket, n AS set_bits FROM (SELECT {sql.bucket('typo')} AS bucket, count(DISTINCT x) AS n FROM (SELECT typo, unnest(p) AS x FROM places) GROUP BY 1)", B, sql.ENTRIES, FILTERS)
+def bloom_bits(c: Corpus) -> DataFrame:
+    """How many bits each filter has set."""
+    bits = F.expr("aggregate(split(hex(bytes), ''), 0L, (n, d) -> n + bit_count(CAST(conv(d, 16, 10) AS INT)))")
+    return bloom.build(c.entries).where("entries > 0").select("bucket", bits.alias("set_bits"))
+
+
+@query(f"SELECT {sql.bucket('typo')} AS bucket, count(*) AS entries, 0::BIGINT AS hidden FROM entries GROUP BY 1", B, sql.ENTRIES)
+def filter_damage(c: Corpus) -> DataFrame:
+    """Filters of which a third are emptied, a third cut short and a third missing hide no entry."""
+    b = F.col("bucket") % 3
+    emptied = F.unhex(F.repeat(F.lit("00"), F.length("bytes")))
+    damaged = bloom.build(c.entries).where(b != 2).withColumn("bytes", F.when(b == 0, emptied).otherwise(F.expr("substring(bytes, 1, length(bytes) - 1)")))
+    found = bloom.contains(c.entries.select("typo"), damaged)
+    return found.groupBy(text.bucket("typo").alias("bucket")).agg(F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("maybe")).alias("hidden"))
+
+
 # ---- context -----------------------------------------------------------------------------------------
 
 
@@ -549,10 +662,14 @@ def context_corrections(spark: SparkSession) -> DataFrame:
     return correct.correct_in_context(docs, fixtures.pairs(spark), filetypes=("markdown", "gitcommit", "text"))
 
 
+def _ends_protected(comments: pd.Series) -> pd.Series:
+    return comments.map(lambda lines: comment_protected(list(lines)))
+
+
 @fixed("SELECT id::BIGINT AS id, protected FROM (VALUES " + ", ".join(f"({k}, {str(p).lower()})" for k, (_, p) in enumerate(fixtures.COMMENTS)) + ") v(id, protected)")
 def comment_protection(spark: SparkSession) -> DataFrame:
     """Whether the end of a comment is in a fence or code span of its own."""
-    ends = F.udf(comment_protected, "boolean")
+    ends = F.pandas_udf(_ends_protected, T.BooleanType())
     return spark.createDataFrame(list(enumerate(t.split("\n") for t, _ in fixtures.COMMENTS)), "id bigint, lines array<string>").select("id", ends("lines").alias("protected"))
 
 

@@ -7,10 +7,10 @@ from ..functions.edits import KEYS, NEIGHBOURS
 BASE = r"""
 tokl AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS l FROM documents),
 tok AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS w FROM tokl),
-vocab AS (SELECT w, count(*) AS n FROM tok WHERE regexp_full_match(w, '[a-z]+') GROUP BY w),
+vocab AS MATERIALIZED (SELECT w, count(*) AS n FROM tok WHERE regexp_full_match(w, '[a-z]+') GROUP BY w),
 tot AS (SELECT coalesce(sum(n), 0)::BIGINT AS total FROM vocab),
-known AS (SELECT w, n FROM vocab WHERE n >= 3),
-frequent AS (SELECT w, n FROM known, tot WHERE n * 10000 >= total)"""
+known AS MATERIALIZED (SELECT w, n FROM vocab WHERE n >= 3),
+frequent AS MATERIALIZED (SELECT w, n FROM known, tot WHERE n * 10000 >= total)"""
 
 
 def bucket(w: str) -> str:
@@ -59,8 +59,8 @@ def is_repeat(typo: str, c: str) -> str:
 
 
 CATALOG = f"""
-catalog AS (SELECT {swap23('w')} AS typo, w AS correction, {bucket(swap23('w'))} % 4 = 0 AS capitalized_ok FROM vocab
-            WHERE length(w) >= 6 AND {swap23('w')} <> w AND {swap23('w')} NOT IN (SELECT w FROM vocab))"""
+swapped AS MATERIALIZED (SELECT {swap23('w')} AS typo, w AS correction FROM vocab WHERE length(w) >= 6),
+catalog AS MATERIALIZED (SELECT typo, correction, {bucket('typo')} % 4 = 0 AS capitalized_ok FROM swapped ANTI JOIN vocab ON vocab.w = swapped.typo WHERE typo <> correction)"""
 
 ENTRIES = f"""
 e_swap AS (SELECT {swap23('w')} AS typo, w AS correction FROM known WHERE length(w) >= 3 AND {swap23('w')} <> w),
@@ -68,7 +68,7 @@ e_cut AS (SELECT substr(w, 1, 5) AS typo, min(w) AS correction FROM frequent WHE
 pairs AS (SELECT l[i] AS a, l[i + 1] AS b FROM (SELECT l, unnest(range(1, len(l))) AS i FROM tokl)),
 e_two AS (SELECT a || b AS typo, min(a || ' ' || b) AS correction FROM (SELECT a, b FROM pairs WHERE regexp_full_match(a, '[a-z]+') AND regexp_full_match(b, '[a-z]+') GROUP BY a, b HAVING count(*) >= 5) GROUP BY 1 HAVING length(a || b) >= 3),
 e_first AS (SELECT * FROM e_swap UNION ALL SELECT * FROM e_cut WHERE typo NOT IN (SELECT typo FROM e_swap)),
-entries AS (SELECT * FROM e_first UNION ALL SELECT * FROM e_two WHERE typo NOT IN (SELECT typo FROM e_first)),
+entries AS MATERIALIZED (SELECT * FROM e_first UNION ALL SELECT * FROM e_two WHERE typo NOT IN (SELECT typo FROM e_first)),
 documented AS (SELECT typo, correction FROM entries WHERE {bucket('typo')} % 4 = 0),
 reviewed AS (SELECT typo, correction FROM entries WHERE {bucket('typo')} % 16 = 0)"""
 ENTRIES = ENTRIES.replace("GROUP BY 1 HAVING length(a || b) >= 3", "WHERE length(a || b) >= 3 GROUP BY 1")
@@ -132,3 +132,19 @@ js AS (SELECT typo, count(*) AS cuts, min(substr(typo, 1, i) || ' ' || substr(ty
 jv AS (SELECT jp.typo, jp.correction, coalesce(len(parts) = 2 AND length(jp.typo) >= 6 AND jp.typo = parts[1] || parts[2] AND d.correction = jp.correction AND jp.typo NOT IN (SELECT typo FROM cand)
               AND cuts = 1 AND cut = jp.correction AND parts[1] IN (SELECT w FROM frequent) AND parts[2] IN (SELECT w FROM frequent), false) AS ok
        FROM jp LEFT JOIN js USING (typo) LEFT JOIN documented d ON d.typo = jp.typo)"""
+
+
+def word_hash(w: str, start: int, factor: int) -> str:
+    """A 32-bit multiplicative hash with its avalanche, signed."""
+    mask = 4294967295
+    h = f"list_reduce(list_transform(range(1, length({w}) + 1), lambda i: ascii(substr({w}, i, 1))::BIGINT), lambda h, b: (h * {factor} + b) & {mask}, {start}::BIGINT)"
+    a = f"list_transform([{h}], lambda h: (h + (h << 3)) & {mask})"
+    b = f"list_transform({a}, lambda h: xor(h, h >> 11))"
+    c = f"list_transform({b}, lambda h: (h + (h << 15)) & {mask})"
+    return f"list_transform({c}, lambda h: CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)[1]"
+
+
+def probes(w: str, bits: str) -> str:
+    """The eight positions of a word in a filter of so many bits."""
+    place = lambda start, factor: f"((({word_hash(w, start, factor)}) % {bits} + {bits}) % {bits})"
+    return f"list_transform(range(0, 8), lambda k: ({place(5381, 33)} + k * {place(0, 65599)}) % {bits})"

@@ -43,13 +43,14 @@ def parsed(raw: DataFrame, text_col: str = "source") -> DataFrame:
     df = raw.withColumn("keys", keys).withColumn("kind", kinds).withColumn("entries", strict)
     pairs = F.flatten(F.transform(F.map_entries("entries"), lambda e: F.transform(e["value"], lambda t: F.struct(t.alias("typo"), e["key"].alias("correction")))))
     df = df.withColumn("pairs", pairs)
-    wrong_values = ~F.col("kind").rlike(r"\AOBJECT<(.*)>\z")
+    wrong_values = ~F.col("kind").rlike(r"(?s)\AOBJECT<.*>\z")
     error = (
         F.when(variant.isNull() & source.isNotNull() & F.col("keys").isNull(), "malformed")
+        .when(F.size("keys") != F.size(F.array_distinct("keys")), "duplicate key")  # first, as variants have no such objects
         .when(F.col("kind").isNull() | wrong_values, "root is no object")
-        .when(F.size("keys") != F.size(F.array_distinct("keys")), "duplicate key")
         .when(F.col("entries").isNull(), "value is no list of strings")
-        .when(F.exists(F.map_values("entries"), lambda v: v.isNull() | (F.size(v) == 0)), "empty list")
+        .when(F.exists(F.map_values("entries"), lambda v: v.isNull()), "value is no list of strings")
+        .when(F.exists(F.map_values("entries"), lambda v: F.size(v) == 0), "empty list")
         .when(F.exists(F.map_keys("entries"), lambda k: ~k.rlike(CORRECTION)), "invalid correction")
         .when(F.exists(typos, lambda t: t.isNull()), "typo is no string")
         .when(F.exists(typos, lambda t: ~t.rlike(LOWER_WORD)), "invalid typo")

@@ -19,6 +19,22 @@ def test_load_catalog(spark, tmp_path):
         catalog.load_catalog(spark, str(path))
 
 
+@pytest.mark.parametrize(
+    ("text", "error"),
+    [
+        ("{}", None), ('{"look up":["lookup"],"river":["rivre","rievr"]}', None), ('{"r\\u0069ver":["rivre"]}', None), ('{"look\\u0020up":["lookup"]}', None),
+        ('{"river":["rivre"],"r\\u0069ver":["rievr"]}', "duplicate key"), ('{"river":["rivre"],"liver":["rivre"]}', "typo has two corrections"), ('{"river":["river"]}', "typo equals correction"),
+        ('{"river":[]}', "empty list"), ('{"river":null}', "value is no list of strings"), ('{"river":{"0":"rivre"}}', "root is no object"), ('{"river":[null]}', "typo is no string"), ("[1]", "root is no object"), ("7", "root is no object"),
+        ('{"look  up":["lookup"]}', "invalid correction"), ('{"look\\u00a0up":["lookup"]}', "invalid correction"), ('{"look\\nup":["lookup"]}', "invalid correction"), ('{"don\'t":["dont"]}', "invalid correction"), ('{"river":["riv re"]}', "invalid typo"), ('{"river":["rivre"', "malformed"),
+    ],
+)
+def test_rules_of_catalogues(spark, text, error):
+    found = catalog.parsed(spark.createDataFrame([(text,)], "source string")).first()["error"]
+    assert (found is None) == (error is None)
+    if error in ("duplicate key", "typo has two corrections", "typo equals correction", "empty list", "invalid correction", "invalid typo"):
+        assert found == error
+
+
 @pytest.mark.parametrize(
     "text",
     [

@@ -92,7 +92,7 @@ def test_column_rules_agree_with_the_scanner(spark):
     df = spark.createDataFrame(rows, "t string, want boolean")
     for r in df.withColumn("got", correct.technical(F.element_at(F.split("t", " "), -1))).collect():
         assert r["got"] == r["want"], r["t"]
-        assert correct._prose(r["t"], [(r["t"].index("hte"), r["t"].index("hte") + 3)]) == [not r["want"]]
+        assert correct.prose(r["t"], [(r["t"].index("hte"), r["t"].index("hte") + 3)]) == [not r["want"]]
 
 
 def slow_prose(line, start, stop):
@@ -109,7 +109,7 @@ def test_prose_in_one_walk(line):
     import re
 
     words = [m.span() for m in re.finditer(r"\w+", line)]
-    assert correct._prose(line, words) == [slow_prose(line, a, b) for a, b in words]
+    assert correct.prose(line, words) == [slow_prose(line, a, b) for a, b in words]
 
 
 def test_filters(spark):
