@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -246,7 +246,10 @@ class Words:
             size = 1 << max(12, int(n + 1).bit_length())
             powers, self.inverse = _powers(size)
             self.sums = np.zeros(n + 1, U64)
-            np.cumsum((low.astype(U64) + U64(1)) * powers[:n], out=self.sums[1:])
+            terms = low.astype(U64)  # in place: these are the largest arrays of a step
+            terms += U64(1)
+            terms *= powers[:n]
+            np.cumsum(terms, out=self.sums[1:])
         else:
             self.sums, self.inverse = like.sums, like.inverse
         self.hash = mix((self.sums[self.ends] - self.sums[self.starts]) * self.inverse[self.starts])

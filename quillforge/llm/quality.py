@@ -33,6 +33,8 @@ PAIRS = 8
 WORD_BUCKETS, GRAM_BUCKETS = 4_096, 512
 #: Weight of the lexical shares beside the surface features, which have unit variance.
 LEXICAL = 10.0
+#: Bytes of text of one step; a step takes some 100 bytes of memory for each.
+STEP = 1 << 19
 
 SURFACE = ("words", "distinct", "repeats", "upper", "symbols", "bangs", "bars", "symbol_ends", "letters", "digits", "mean_length", "sentence_ends", "line_repeats", "short_lines", "top_word", "long_words")
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _BANG, _BAR, _LEAD, _LATER, _BLANK, _OTHER = range(10)
@@ -63,7 +65,10 @@ def surface(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
     """The surface features of each text, one row a text, each between 0 and about 1."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
     owner = np.repeat(np.arange(n), sizes)
-    kinds = np.bincount(owner * 10 + _KIND[data], minlength=10 * n).reshape(n, 10).astype(float)
+    place = owner * 10
+    place += _KIND[data]
+    kinds = np.bincount(place, minlength=10 * n).reshape(n, 10).astype(float)
+    del place
     tokens = Words(data, offsets, _IN_TOKEN, words)
     lines = Words(data, offsets, _IN_LINE, words)
     count, rows = (np.diff(x.first).astype(float) for x in (tokens, lines))
@@ -128,12 +133,13 @@ class Model:
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The linear score of each text."""
         out = np.zeros(len(offsets) - 1)
-        for a, b in steps(offsets):
+        for a, b in steps(offsets, STEP):
             at, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
             words = Words(part, at)
             total = surface(part, at, words) @ self.weights
             for weights, buckets, first, stop in ((self.words, word_buckets(words), words.first[:-1], words.first[1:]), (self.grams, found := gram_buckets(words.low), *_spans(at, len(found)))):
-                sums = np.concatenate([[0.0], np.cumsum(weights[buckets])])
+                sums = np.zeros(len(buckets) + 1)
+                np.cumsum(weights[buckets], out=sums[1:])
                 total += LEXICAL * _share(sums[stop] - sums[first], (stop - first).astype(float))
             out[a:b] = total
         return out
@@ -210,7 +216,7 @@ def _described(rows: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             made: list[list[bytes]] = [[], [], [], []]
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, STEP):
                 at, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
                 words = Words(part, at)
                 buckets, grams, rows = word_buckets(words), gram_buckets(words.low), surface(part, at, words)
