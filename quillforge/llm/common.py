@@ -66,6 +66,19 @@ class Written:
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session names no other limit.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow`, with batches bounded by bytes: bounded by rows alone they grow with the texts."""
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, None) is None:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -201,7 +214,7 @@ def bloom(keys: DataFrame) -> Bloom:
             word, marks = shape.marks(batch.column(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(marks.view(np.int64))], names=["word", "marks"])
 
-    found = keys.mapInArrow(run, "word bigint, marks bigint").groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
+    found = in_arrow(keys, run, "word bigint, marks bigint").groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
     empty.words[found.column("word").to_numpy()] = found.column("marks").to_numpy().view(U64)
     return empty
 
@@ -217,7 +230,7 @@ def sift(df: DataFrame, key: str, wanted: Bloom, inside: bool = True) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(shared.value.has(batch.column(at).to_numpy(zero_copy_only=False)) == inside))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)
 
 
 class Words:

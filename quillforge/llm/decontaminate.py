@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, bloom, cut, fresh, sift, steps, utf8
+from .common import U64, Words, bloom, cut, fresh, in_arrow, sift, steps, utf8
 
 WIDTH = 10
 #: Bytes of benchmark text up to which its windows are broadcast: a window begins at every second byte at most and takes
@@ -158,7 +158,7 @@ def _reported(whole: DataFrame, places: str | None, hits, clean: bool, name: str
             made = scan_batch(batch.column(batch.num_columns - 1), find, clean)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, kind)], names=schema.names)
 
-    return whole.mapInArrow(run, schema)
+    return in_arrow(whole, run, schema)
 
 
 # ---- benchmarks too large for one set ----------------------------------------------------------------
@@ -183,7 +183,7 @@ def _windows(items: DataFrame) -> DataFrame:
                         owner.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, U64).view(np.int64)), pa.array(texts, pa.binary()), pa.array(widths, pa.int32()), batch.column(0).take(pa.array(owner, pa.int64()))], names=["hash", "words", "w", "item"])
 
-    return items.select("i", "t").mapInArrow(run, "hash bigint, words binary, w int, item string").distinct()
+    return in_arrow(items.select("i", "t"), run, "hash bigint, words binary, w int, item string").distinct()
 
 
 def _by_table(whole: DataFrame, items: DataFrame, text: str, clean: bool, name: str) -> DataFrame:
@@ -208,7 +208,7 @@ def _by_table(whole: DataFrame, items: DataFrame, text: str, clean: bool, name:
                     take = pa.array(owner + a)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes[at].view(np.int64)), pa.array([words.text(x, x + w) for x in at.tolist()], pa.binary()), pa.array(at - words.first[owner]), pa.array(np.full(len(at), w, np.int32))], names=["x", "y", "hash", "words", "at", "w"])
 
-    seen = whole.select(two[0].alias("x"), two[1].alias("y"), F.col(f"`{text}`")).mapInArrow(run, "x bigint, y bigint, hash bigint, words binary, at bigint, w int").distinct()
+    seen = in_arrow(whole.select(two[0].alias("x"), two[1].alias("y"), F.col(f"`{text}`")), run, "x bigint, y bigint, hash bigint, words binary, at bigint, w int").distinct()
     # items of a window are summed up after the join, as a common window may have many
     met = seen.join(table.select("hash", "words", "item"), ["hash", "words"]).groupBy("x", "y", "at", "w").agg(F.collect_set("item").alias("items"))
     hits = cut(met.groupBy("x", "y").agg(F.collect_list(F.struct("at", "w", "items")).alias("hits")))

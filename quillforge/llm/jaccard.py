@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Words, bloom, cut, fresh, mix, sift, steps, utf8
+from .common import Bloom, Words, bloom, cut, fresh, in_arrow, mix, sift, steps, utf8
 from .graph import components
 
 WIDTH = 5
@@ -233,7 +233,7 @@ def sketches(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 ss.append(sketch(g).tobytes() if len(g) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ds, pa.binary()), pa.array(ns, pa.int32()), pa.array(ss, pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return in_arrow(texts, run, schema)
 
 
 def _band_rows(sets: DataFrame, among: Bloom | None) -> DataFrame:
@@ -252,7 +252,7 @@ def _band_rows(sets: DataFrame, among: Bloom | None) -> DataFrame:
                 who, band = np.nonzero(shared.value.has(keys.ravel()).reshape(keys.shape))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[who, band]), pa.array(band.astype(np.int32)), part.column(0).take(pa.array(who))], names=["key", "band", "node"])
 
-    return sets.where("sketch IS NOT NULL").select("node", "sketch").mapInArrow(run, "key bigint" if among is None else "key bigint, band int, node bigint")
+    return in_arrow(sets.where("sketch IS NOT NULL").select("node", "sketch"), run, "key bigint" if among is None else "key bigint, band int, node bigint")
 
 
 def groups(sets: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _grams(docs: DataFrame, text_col: str, id_col: str, wanted: DataFrame) -> Da
             found = [(digest(g), g.tobytes()) for g in gram_sets(*utf8(picked)) if len(g)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["digest", "grams"])
 
-    return texts.mapInArrow(run, "digest binary, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
+    return in_arrow(texts, run, "digest binary, grams binary").groupBy("digest").agg(F.first("grams").alias("grams"))
 
 
 def _cells(members: DataFrame, threshold: float) -> DataFrame:
@@ -333,7 +333,7 @@ def _cells(members: DataFrame, threshold: float) -> DataFrame:
             close(place, rows)
         yield _links(out)
 
-    return dealt.mapInArrow(run, "digest binary, links bigint, root binary")
+    return in_arrow(dealt, run, "digest binary, links bigint, root binary")
 
 
 def _links(rows: list) -> pa.RecordBatch:

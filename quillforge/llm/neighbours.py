@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_arrow
 
 #: Most vectors of a tile, and most bytes of its vectors in double precision.
 TILE_ROWS = 2_048
@@ -100,7 +100,7 @@ def tiles(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             if n:
                 yield pa.RecordBatch.from_pylist([tile(np.concatenate(ids), np.concatenate(x))], kinds)
 
-    made = rows.mapInArrow(run, TILE.split(", ", 1)[1])
+    made = in_arrow(rows, run, TILE.split(", ", 1)[1])
     return made.select(F.monotonically_increasing_id().alias("tile"), "*")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, process_cache
+from .common import cut, fresh, in_arrow, process_cache
 
 CAPACITY = 1024
 END_ID = 2
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", toke
                 arrays.append(pa.array(ids, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return in_arrow(texts, run, schema)
 
 
 # ---- bins --------------------------------------------------------------------------------------------

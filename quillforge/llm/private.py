@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, in_arrow
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "account", "secret")
@@ -245,4 +245,4 @@ def find_private(docs: DataFrame, text_col: str = "text", keep: list[str] | None
             made = [dict(zip(FIELDS, report(x.as_py(), anchors, masked), strict=True)) for x in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, kinds)], names=schema.names)
 
-    return whole.mapInArrow(run, schema)
+    return in_arrow(whole, run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, fresh, steps, utf8
+from .common import Words, fresh, in_arrow, steps, utf8
 from .labels import labelled
 
 #: Labelled rows used for the fit.
@@ -228,7 +228,7 @@ def _described(rows: DataFrame) -> DataFrame:
                         into.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.binary()) for x in made]], names=["_label", "surface", "buckets", "shares", "grams"])
 
-    return rows.select("_label", "_text").mapInArrow(run, "_label int, surface binary, buckets binary, shares binary, grams binary")
+    return in_arrow(rows.select("_label", "_text"), run, "_label int, surface binary, buckets binary, shares binary, grams binary")
 
 
 def fit(docs: DataFrame, picked: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
@@ -260,4 +260,4 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             n = batch.num_columns - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(model.score(model.raw(*utf8(batch.column(n)))))], names=schema.names)
 
-    return whole.mapInArrow(run, schema), score
+    return in_arrow(whole, run, schema), score

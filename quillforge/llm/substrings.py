@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, U64, _powers, bloom, cut, mix, sift, steps, utf8
+from .common import _ODD, _powers, U64, bloom, cut, in_arrow, mix, sift, steps, utf8
 
 #: Places of which one at least is a cut; a chunk has at most so many bytes, but for the first of a text.
 WINDOW = 80
@@ -149,7 +149,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 found = chunks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([pa.array(found[2][thin(*found)])], names=["digest"])
 
-    return texts.mapInArrow(run, "digest bigint")
+    return in_arrow(texts, run, "digest bigint")
 
 
 def chunk_table(docs: DataFrame, again) -> DataFrame:
@@ -168,7 +168,7 @@ def chunk_table(docs: DataFrame, again) -> DataFrame:
                 take = pa.array(which + a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(digest)], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return in_arrow(texts, run, schema)
 
 
 def wanted(matches: list[dict]) -> list[tuple]:
@@ -213,7 +213,7 @@ def repeated(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
                 columns = zip(*asked, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]], names=schema.names)
 
-    asked = cut(found.mapInArrow(run, schema).withColumnsRenamed({"doc_id": "i", "row": "r"}))
+    asked = cut(in_arrow(found, run, schema).withColumnsRenamed({"doc_id": "i", "row": "r"}))
     sources = sift(texts, "row", bloom(asked.select("s_row").distinct()))
     # rows equal in id and text would answer each question again; cut, so that the join can split a hot source
     sources = cut(sources.groupBy("doc_id", "row").agg(F.first("text").alias("text")))
@@ -284,4 +284,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 spans.append([{"start": a, "stop": b} for a, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(spans, spans_kind)], names=schema.names)
 
-    return rest.unionByName(both.mapInArrow(run, schema))
+    return rest.unionByName(in_arrow(both, run, schema))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, fresh, steps, utf8
+from .common import LOWER, fresh, in_arrow, steps, utf8
 from .labels import labelled
 
 SAMPLE = 20_000
@@ -92,7 +92,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "n"])
 
-    return texts.mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return in_arrow(texts, run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
@@ -305,7 +305,7 @@ def telling(rows: DataFrame, chars: CharModel) -> tuple[list[str], int, int]:
             for label, found in enumerate(seen):
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([label * n for n in found.values()], pa.int64()), pa.array(found.values(), pa.int64())], names=["f", "n1", "n"])
 
-    counts = rows.select((F.col("_label") != 0).cast("int"), "_text").mapInArrow(run, "f string, n1 bigint, n bigint").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    counts = in_arrow(rows.select((F.col("_label") != 0).cast("int"), "_text"), run, "f string, n1 bigint, n bigint").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     total = counts.where("f = ''").first()
     if total is None:
         return [], 0, 0
@@ -356,7 +356,7 @@ def fit(docs: DataFrame, picked: DataFrame, text_col: str = "text", id_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(read(x.as_py())) for x in batch.column(1)], pa.list_(pa.int32()))], names=["y", "f"])
 
-    found = rows.select("_label", "_text").mapInArrow(run, "y int, f array<int>").toPandas()
+    found = in_arrow(rows.select("_label", "_text"), run, "y int, f array<int>").toPandas()
     w, b = logistic([list(x) for x in found["f"]], found["y"].to_numpy().astype(float), len(names))
     return Model(chars, names, w, b)
 
@@ -382,4 +382,4 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
                 made.append({"score": float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), "restored": restore_text(x, chars) if restored else None})
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(made, pa.struct([("score", pa.float64()), ("restored", pa.string())]))], names=schema.names)
 
-    return whole.mapInArrow(run, schema), name
+    return in_arrow(whole, run, schema), name
