@@ -72,11 +72,31 @@ _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """`df.mapInArrow`, with batches bounded by bytes: bounded by rows alone they grow with the texts."""
+    """`df.mapInArrow`, with batches bounded by bytes: bounded by rows alone they grow with the texts.
+
+    Workers outlive their tasks, so each task gives back what it has freed.
+    """
     conf = df.sparkSession.conf
     if conf.get(_LIMIT, None) is None:
         conf.set(_LIMIT, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return memory that this process has freed, but holds, to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library; others have no such call
+    if trim:
+        trim(0)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -219,16 +239,20 @@ def bloom(keys: DataFrame) -> Bloom:
     return empty
 
 
-def sift(df: DataFrame, key: str, wanted: Bloom, inside: bool = True) -> DataFrame:
-    """The rows of `df` whose bigint `key` the filter has (or, if not `inside`, hasn't)."""
-    shared = df.sparkSession.sparkContext.broadcast(wanted)
+def sift(df: DataFrame, key: str, *tests: tuple[Bloom, bool]) -> DataFrame:
+    """The rows of `df` whose bigint `key` each filter has or, as it says, hasn't; all in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast(tests)
     at = df.columns.index(key)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.has(batch.column(at).to_numpy(zero_copy_only=False)) == inside))
+            keys = batch.column(at).to_numpy(zero_copy_only=False)
+            keep = np.ones(len(keys), bool)
+            for wanted, inside in shared.value:
+                keep &= wanted.has(keys) == inside
+            yield batch.filter(pa.array(keep))
 
     return in_arrow(df, run, df.schema)
 

@@ -216,7 +216,7 @@ def _by_table(whole: DataFrame, items: DataFrame, text: str, clean: bool, name:
     wanted = bloom(hits.select("x"))
     none = F.lit(None).cast(hits.schema["hits"].dataType)
     head, last = own[:-1], own[-1]
-    untouched = sift(keyed, key, wanted, inside=False).select(*head, none.alias(places), last)
-    touched = sift(keyed, key, wanted)
+    untouched = sift(keyed, key, (wanted, False)).select(*head, none.alias(places), last)
+    touched = sift(keyed, key, (wanted, True))
     touched = touched.join(hits, (touched[key] == hits["x"]) & (touched[other] == hits["y"]), "left").select(*head, F.col("hits").alias(places), last)
     return _reported(untouched.unionByName(touched), places, None, clean, name)

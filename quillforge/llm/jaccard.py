@@ -380,12 +380,12 @@ def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     each = found.groupBy(_id_key(F.col("doc_id")).alias(i), F.col("text_key").alias(k)).agg(F.count(F.lit(1)).alias(n), F.bool_or("first").alias("stays"), F.bool_or("alone").alias(a))
     each = cut(each.withColumn(h, F.xxhash64(i, k)))
     doubtful = bloom(each.where(~F.col(a) & (~F.col("stays") | (F.col(n) > 1))).select(h))
-    stays = cut(sift(each.where("stays").select(h, i, k, n, a), h, doubtful))
+    stays = cut(sift(each.where("stays").select(h, i, k, n, a), h, (doubtful, True)))
     taken_in = bloom(stays.select(h))
     keyed = docs.withColumns({i: _id_key(F.col(f"`{id_col}`")), k: _text_key(F.col(f"`{text_col}`"))}).withColumn(h, F.xxhash64(i, k))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    sure = sift(keyed.select(*own, h), h, doubtful, inside=False).select(*own)
-    maybe = sift(sift(keyed, h, doubtful), h, taken_in).drop(h).join(stays.drop(h), [i, k])
+    sure = sift(keyed.select(*own, h), h, (doubtful, False)).select(*own)
+    maybe = sift(keyed, h, (doubtful, True), (taken_in, True)).drop(h).join(stays.drop(h), [i, k])
     single = maybe.where(F.col(a) | (F.col(n) == 1)).select(*own)
     # one of the rows that are equal in id and text; summed up on the way, so that a common one is no hot key
     several = maybe.where(~F.col(a) & (F.col(n) > 1)).groupBy(i, k).agg(F.first(F.struct(*own)).alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])

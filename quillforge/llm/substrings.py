@@ -214,7 +214,7 @@ def repeated(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]], names=schema.names)
 
     asked = cut(in_arrow(found, run, schema).withColumnsRenamed({"doc_id": "i", "row": "r"}))
-    sources = sift(texts, "row", bloom(asked.select("s_row").distinct()))
+    sources = sift(texts, "row", (bloom(asked.select("s_row").distinct()), True))
     # rows equal in id and text would answer each question again; cut, so that the join can split a hot source
     sources = cut(sources.groupBy("doc_id", "row").agg(F.first("text").alias("text")))
     there = sources.join(asked, sources["doc_id"].eqNullSafe(asked["s_id"]) & (sources["row"] == asked["s_row"]), "inner")
@@ -261,8 +261,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     again, touched = repeated(docs, texts)
     wanted = bloom(touched)
     spans_type = docs.sparkSession.range(0).select(F.expr("CAST(array() AS array<struct<start:bigint,stop:bigint>>)").alias("x")).schema["x"].dataType
-    rest = sift(texts, "row", wanted, inside=False).select("doc_id", "text", F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans_type).alias("removed"))
-    some = sift(texts, "row", wanted)
+    rest = sift(texts, "row", (wanted, False)).select("doc_id", "text", F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans_type).alias("removed"))
+    some = sift(texts, "row", (wanted, True))
     both = some.join(again, some["doc_id"].eqNullSafe(again["i"]) & (some["row"] == again["r"]), "left").select("doc_id", "text", "parts")
     schema = docs.select("doc_id", "text").schema.add("n_removed", "long").add("removed", spans_type)
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))

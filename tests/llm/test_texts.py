@@ -361,7 +361,7 @@ def test_filters_lose_nothing(spark):
     assert found.has(np.arange(-9000, 21_000, 3)).all()
     assert found.has(np.arange(1_000_000, 1_100_000)).mean() < 0.02
     assert not bloom(keys.limit(0)).has(np.arange(100)).any()
-    inside, outside = (sift(spark.range(-20_000, 30_000).toDF("k"), "k", found, x).count() for x in (True, False))
+    inside, outside = (sift(spark.range(-20_000, 30_000).toDF("k"), "k", (found, x)).count() for x in (True, False))
     assert inside >= 10_000 and inside + outside == 50_000
 
 
