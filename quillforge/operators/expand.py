@@ -70,6 +70,16 @@ class Evidence:
         return df.withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "in_corpus": F.coalesce("in_corpus", no), "protected": F.coalesce("protected", no), "destination": F.coalesce("destination", no), "cands": F.coalesce("cands", empty)})
 
 
+def ordered_destinations(e: Evidence) -> DataFrame:
+    """(word, n) of the destinations that occur, the most frequent first, then by word: the order of proposals."""
+    return e.words("is_destination").join(e.frequencies, "word").select("word", "n").orderBy(F.desc("n"), "word")
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct (typo, correction) in order of typos, then corrections: the order in which entries are examined."""
+    return pairs.select("typo", "correction").distinct().orderBy("typo", "correction")
+
+
 def joined_splits(typos: DataFrame, known: DataFrame) -> DataFrame:
     """(typo, left, right): every cut of a typo into two known words."""
     cuts = typos.select("typo", F.explode(splits("typo")).alias("s")).select("typo", "s.left", "s.right")

@@ -376,6 +376,16 @@ def destination_semi(c: Corpus) -> DataFrame:
     return c.entries.select("correction").distinct().join(c.known.select(F.col("word").alias("correction")), "correction", "left_semi")
 
 
+@query("SELECT w AS word, n FROM known ORDER BY n DESC, w", B)
+def destinations_ordered(c: Corpus) -> DataFrame:
+    return expand.ordered_destinations(c.evidence(c.entries))
+
+
+@query("SELECT typo, correction FROM entries ORDER BY typo, correction", B, sql.ENTRIES)
+def entries_ordered(c: Corpus) -> DataFrame:
+    return expand.ordered_pairs(c.entries)
+
+
 # ---- expansion ---------------------------------------------------------------------------------------
 
 TRANSPOSED = f"""

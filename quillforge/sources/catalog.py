@@ -172,6 +172,15 @@ def word_lists(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.explode(lines).alias("word"), F.regexp_extract(name, r"\.([0-9]+)\z", 1).cast("int").alias("level"), name.alias("list"))
 
 
+def pronounced_words(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a pronunciation list: lines of a word and its sounds, in lower case, each word once.
+
+    Variants are numbered (`word(2)`); lines that begin with three semicolons, or with no letter, are left out.
+    """
+    word = F.lower(F.regexp_extract("value", r"\A([A-Za-z][^\s(]*)(\([0-9]+\))?\s", 1))
+    return spark.read.text(path).select(word.alias("word")).where("word <> ''").distinct()
+
+
 def frequency_table(words: DataFrame, w: str = "w") -> DataFrame:
     """(word, n) counts of a column of words."""
     return words.groupBy(F.col(w).alias("word")).agg(F.count(F.lit(1)).alias("n"))

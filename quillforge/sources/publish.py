@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bucket
+from ..operators import bloom
 
 VERSION = 6
-#: Underscored, so that readers of the folder pass it over.
-MANIFEST = "_manifest.json"
+#: Underscored, so that readers of the folder pass them over.
+MANIFEST, FILTERS = "_manifest.json", "_filters"
 
 
 def grouped(flat: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def replace_file(spark: SparkSession, path: str, text: str) -> None:
 
 
 def publish(flat: DataFrame, path: str, check: bool = False, inputs=None) -> str:
-    """Write a version of the catalogue by buckets and point to it; nothing is written if it is current already.
+    """Write a version of the catalogue by buckets, with their filters, and point to it, unless it is current already.
 
     With `check` a stale version raises. Each version has a folder of its own that is written once, with a manifest of
     its rows by bucket; readers hold on to the version they opened, and the pointer is replaced by one rename. `inputs`
@@ -91,6 +92,7 @@ def publish(flat: DataFrame, path: str, check: bool = False, inputs=None) -> str
         work, _ = _folder(spark, f"{path}/_{version}.{uuid.uuid4().hex}")
         keyed = flat.withColumn("bucket", bucket("typo"))
         keyed.repartition("bucket").sortWithinPartitions("bucket", "typo").write.partitionBy("bucket").parquet(str(work))
+        bloom.build(flat).coalesce(1).write.parquet(f"{work}/{FILTERS}")  # 256 rows
         rows = {str(r["bucket"]): r["count"] for r in spark.read.parquet(str(work)).groupBy("bucket").count().collect()}  # 256 at most
         replace_file(spark, f"{work}/{MANIFEST}", json.dumps({"version": VERSION, "rows": rows}, sort_keys=True))
         if inputs and inputs() != before:
@@ -127,6 +129,14 @@ def open_catalog(spark: SparkSession, path: str, verify: bool = False) -> DataFr
     return rows
 
 
+def open_filters(spark: SparkSession, path: str) -> DataFrame:
+    """The filters of the current version's buckets, for `operators.bloom.candidates`."""
+    version = current_version(spark, path)
+    if version is None or not version.startswith(f"{VERSION}-"):
+        raise RuntimeError(f"no readable catalogue in {path}")
+    return spark.read.parquet(f"{path}/{version}/{FILTERS}")
+
+
 def grouped_json(flat: DataFrame) -> str:
     """The grouped catalogue as JSON text, sorted, with two blanks of indentation. For files that people review."""
     rows = {r["correction"]: list(r["typos"]) for r in grouped(flat).collect()}

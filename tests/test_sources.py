@@ -86,6 +86,23 @@ def test_word_lists(spark, tmp_path):
     assert got == {("café", 10), ("word", 10), ("Name", 95)}
 
 
+def test_pronunciation_list(spark, tmp_path):
+    (tmp_path / "list").write_text(";;; a remark\nABOUT  AH0 B AW1 T\nABOUT(2)  AH B AW T\n'BOUT  B AW1 T\nword W ER1 D\nalone\n")
+    assert sorted(r["word"] for r in catalog.pronounced_words(spark, str(tmp_path / "list")).collect()) == ["about", "word"]
+
+
+def test_published_filters(spark, tmp_path):
+    from quillforge.operators import bloom
+
+    path = str(tmp_path / "published")
+    flat = spark.createDataFrame([(f"ty{'p' * k}o", "word") for k in range(40)], "typo string, correction string")
+    publish.publish(flat, path)
+    filters = publish.open_filters(spark, path)
+    assert filters.count() == 256 and publish.open_catalog(spark, path, verify=True).count() == 40
+    words = flat.select("typo").union(spark.createDataFrame([("else",), ("nothing",)], "typo string"))
+    assert bloom.candidates(words, filters, publish.open_catalog(spark, path)).count() == 40
+
+
 def test_publish_is_versioned(spark, tmp_path):
     path = str(tmp_path / "published")
     one = spark.createDataFrame([("hte", "the"), ("wiht", "with")], "typo string, correction string")
