@@ -161,20 +161,30 @@ class Rows:
         self.surface = wide("surface", np.float64, len(SURFACE))
         self.grams = wide("grams", np.float16, GRAM_BUCKETS).astype(np.float32)
         sizes = [len(x.as_py()) // 2 for x in table.column("buckets")]
-        self.bucket = np.frombuffer(b"".join(x.as_py() for x in table.column("buckets")), np.uint16).astype(np.int64)
-        self.share = np.frombuffer(b"".join(x.as_py() for x in table.column("shares")), np.float32).astype(np.float64)
-        self.owner = np.repeat(np.arange(n), sizes)
+        self.bucket = np.frombuffer(b"".join(x.as_py() for x in table.column("buckets")), np.uint16)
+        self.share = np.frombuffer(b"".join(x.as_py() for x in table.column("shares")), np.float32)
+        self.owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
         self.label = table.column("_label").to_numpy()
         self.spread = np.maximum(self.surface.std(0), 1e-6)
         self.scaled = (self.surface - self.surface.mean(0)) / self.spread
 
+    def _parts(self):
+        """The sparse part in pieces, so that what is made of them on the way stays small."""
+        for k in range(0, len(self.share), 1 << 19):
+            p = slice(k, k + (1 << 19))
+            yield self.owner[p].astype(np.int64), self.bucket[p].astype(np.int64), self.share[p]
+
     def times(self, w: np.ndarray) -> np.ndarray:
         s, g = len(SURFACE), len(SURFACE) + WORD_BUCKETS
-        words = np.bincount(self.owner, self.share * w[s:g][self.bucket], len(self.label))
+        words = np.zeros(len(self.label))
+        for owner, bucket, share in self._parts():
+            words += np.bincount(owner, share * w[s:g][bucket], len(words))
         return self.scaled @ w[:s] + LEXICAL * (words + self.grams @ w[g:].astype(np.float32))
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        words = np.bincount(self.bucket, self.share * r[self.owner], WORD_BUCKETS)
+        words = np.zeros(WORD_BUCKETS)
+        for owner, bucket, share in self._parts():
+            words += np.bincount(bucket, share * r[owner], WORD_BUCKETS)
         return np.concatenate([self.scaled.T @ r, LEXICAL * words, LEXICAL * (r.astype(np.float32) @ self.grams)])
 
     @property
@@ -237,6 +247,7 @@ def fit(docs: DataFrame, picked: DataFrame, text_col: str = "text", id_col: str
     if not len(table):
         return neutral()
     rows = Rows(table)
+    del table
     w = bradley_terry(rows, rows.label)
     s, g = len(SURFACE), len(SURFACE) + WORD_BUCKETS
     scores = np.sort(rows.times(w) + float(rows.surface.mean(0) @ (w[:s] / rows.spread)))
