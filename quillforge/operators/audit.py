@@ -106,21 +106,34 @@ POLICIES = {
 }
 
 
-def records(df: DataFrame, key: str, *fields: str) -> dict:
-    """A small evidence table as a dictionary of dictionaries, for a digest of it."""
-    return {r[key]: {f: r[f] for f in fields} for r in df.select(key, *fields).collect()}
+def names(df: DataFrame, column: str) -> list[str]:
+    """A column's strings in order; they travel as Arrow, as collected rows take many times their bytes."""
+    return df.select(column).orderBy(column).toArrow().column(0).to_pylist()
+
+
+def records(df: DataFrame, key: str, *fields: str) -> tuple[int, str]:
+    """How many records an evidence table has, and the `digest` of them as a dictionary of dictionaries, record by record."""
+    total, n, last = hashlib.sha256(b"{"), 0, None
+    for batch in df.select(key, *fields).orderBy(key, *fields).toArrow().to_batches(max_chunksize=1 << 12):
+        for r in batch.to_pylist():
+            if n == 0 or r[key] != last:
+                record = json.dumps({r[key]: {f: r[f] for f in fields}}, sort_keys=True, separators=(",", ":"))[1:-1]
+                total.update((("," if n else "") + record).encode())
+                n, last = n + 1, r[key]
+    total.update(b"}")
+    return n, total.hexdigest()
 
 
 def digest(data) -> str:
     return hashlib.sha256(json.dumps(data, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def report(e: Evidence, expected: int | None = None, protected: DataFrame | None = None, lists_sha256: str | None = None) -> dict:
+def report(e: Evidence, expected: int | None = None, protected: DataFrame | None = None, lists_sha256: str | None = None, listed: bool = True) -> dict:
     """The audit's report as a dictionary; `passed` says whether anything failed.
 
     `protected` (word, evidence) has the supplemental exclusions, and `lists_sha256` is the hash of the word lists; the
-    parts of the report that need them are there if they are given. The evidence is a catalogue's, so digests and the
-    names of rejected typos fit in the driver.
+    parts of the report that need them are there if they are given. The names of rejected typos and technical
+    destinations are all there, and grow with the catalogue; where they aren't `listed`, their numbers stand for them.
     """
     rows = audited(e).cache()
     try:
@@ -129,7 +142,8 @@ def report(e: Evidence, expected: int | None = None, protected: DataFrame | None
         examples: dict[str, list] = {}
         for r in failure_examples(rows).orderBy("kind", "rank").collect():
             examples.setdefault(r["kind"], []).append([r["typo"], r["correction"], *([list(r["rivals"])] if r["kind"] == "competing_correction" else [])])
-        rejected = [r["typo"] for r in rejected_typos(rows).orderBy("typo").collect()]
+        rejected = rejected_typos(rows)
+        rejected = names(rejected, "typo") if listed else rejected.count()
     finally:
         rows.unpersist()
     if expected is not None and found["entries"] != expected:
@@ -138,19 +152,19 @@ def report(e: Evidence, expected: int | None = None, protected: DataFrame | None
     capital = capitalised(e.entries, e.documented)
     lexicon = e.lexicon.agg(F.count_if("is_protected").alias("p"), F.count_if("is_alternative").alias("a")).first()
     own = ["correction", *[c for c in ("reason", "source") if c in e.reviewed.columns]]
-    reviewed = records(e.reviewed, "typo", *own)
+    reviewed, reviewed_sha256 = records(e.reviewed, "typo", *own)
     real = e.words("is_real").select(F.col("word").alias("correction"))
     technical = e.entries.select("correction").distinct().where(~F.col("correction").contains(" ")).join(real, "correction", "left_anti")
     more = {
         "capitalized_corrections": capital.count(),
         "capitalized_sha256": capital.agg(mapping_hash("typo", "correction").alias("h")).first()["h"],
         "mapping_sha256": e.entries.agg(mapping_hash("typo", "correction").alias("h")).first()["h"],
-        "reviewed_records": len(reviewed),
-        "reviewed_sha256": digest(reviewed),
+        "reviewed_records": reviewed,
+        "reviewed_sha256": reviewed_sha256,
         "protected_dictionary_tokens": lexicon["p"],
         "alternative_dictionary_tokens": lexicon["a"],
         "protected_frequency_tokens": e.frequencies.count(),
-        "technical_destinations": sorted(r["correction"] for r in technical.collect()),
+        "technical_destinations": names(technical, "correction") if listed else technical.count(),
         "rejected_typos": rejected,
     }
     if protected is not None:
