@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import once
 from ..functions.text import CORRECTION, DOCUMENTED_SHORT, LOWER_WORD
 
 FLAT = T.StructType([T.StructField("typo", T.StringType(), False), T.StructField("correction", T.StringType(), False)])
@@ -40,12 +41,12 @@ def parsed(raw: DataFrame, text_col: str = "source") -> DataFrame:
     strict = F.try_variant_get(variant, "$", "map<string,array<string>>")
     kinds = F.schema_of_variant(variant)
     typos = F.flatten(F.map_values("entries"))
-    df = raw.withColumn("keys", keys).withColumn("kind", kinds).withColumn("entries", strict)
+    df = once(raw, keys=keys, kind=kinds, entries=strict, read=variant.isNotNull() | source.isNull())
     pairs = F.flatten(F.transform(F.map_entries("entries"), lambda e: F.transform(e["value"], lambda t: F.struct(t.alias("typo"), e["key"].alias("correction")))))
-    df = df.withColumn("pairs", pairs)
+    df = once(df, pairs=pairs)
     wrong_values = ~F.col("kind").rlike(r"(?s)\AOBJECT<.*>\z")
     error = (
-        F.when(variant.isNull() & source.isNotNull() & F.col("keys").isNull(), "malformed")
+        F.when(~F.col("read") & F.col("keys").isNull(), "malformed")
         .when(F.size("keys") != F.size(F.array_distinct("keys")), "duplicate key")  # first, as variants have no such objects
         .when(F.col("kind").isNull() | wrong_values, "root is no object")
         .when(F.col("entries").isNull(), "value is no list of strings")
@@ -57,7 +58,7 @@ def parsed(raw: DataFrame, text_col: str = "source") -> DataFrame:
         .when(F.exists("pairs", lambda p: p["typo"] == p["correction"]), "typo equals correction")
         .when(F.size(typos) != F.size(F.array_distinct(typos)), "typo has two corrections")
     )
-    return df.withColumn("error", error).drop("kind")
+    return once(df, error=error).drop("kind", "read")
 
 
 def flattened(df: DataFrame) -> DataFrame:

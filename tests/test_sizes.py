@@ -1,5 +1,7 @@
 """Memory, shuffles and repeated work that would grow with the data, and results that only large tables showed."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from quillforge.operators import audit
@@ -37,3 +39,12 @@ def test_texts_without_a_character_are_in_neither_result(spark, tmp_path, duck):
     con.execute("DROP SCHEMA odd CASCADE")
     got = queries.QUERIES["correct_text"](spark, str(tmp_path)).select("doc_id", "n_fixed", "corrected").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 3
+
+
+def test_catalogues_are_parsed_once_a_row(spark, tmp_path):
+    """A filter on the error took in all that it is made of, many times over."""
+    from quillforge.sources import catalog as catalogs
+
+    raw = spark.createDataFrame([(json.dumps({"the": ["hte"]}),)], "source string")
+    plan = catalogs.flattened(catalogs.parsed(raw))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 4, plan
