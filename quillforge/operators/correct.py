@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.batches import gathered, in_arrow, rows_of
+from ..functions.columns import once
 from ..functions.comments import comment_groups, known
 from ..functions.scanner import bare, protected_words
 from ..functions.text import is_lower, is_title, recapitalised, tokens
@@ -28,8 +32,7 @@ def sized(catalog: DataFrame) -> DataFrame:
 
 
 def catalog_bytes(catalog: DataFrame) -> int:
-    size = F.octet_length("typo") + F.octet_length("correction") + ROW_BYTES
-    return int(catalog.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"])
+    return measured(catalog)[0]
 
 
 class Fixes:
@@ -74,7 +77,7 @@ def lookup(words: DataFrame, catalog: DataFrame, w: str = "w", correct_capitaliz
     """
     key = F.when(is_lower(w), F.col(w))
     if correct_capitalized:
-        key = key.when(is_title(w), F.lower(w))
+        key = key.when(fits & is_title(w), F.lower(w))
     known = catalog.select(F.col("typo").alias("__key"), F.col("correction").alias("__to"), (F.col("capitalized_ok") if "capitalized_ok" in catalog.columns else F.lit(False)).alias("__cap"))
     met = words.withColumn("__key", key).join(sized(known.withColumnsRenamed({"__key": "typo", "__to": "correction"})).withColumnsRenamed({"typo": "__key", "correction": "__to"}), "__key")
     if correct_capitalized:
@@ -93,7 +96,7 @@ def _with_fixes(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[s
     Only distinct words leave the texts to meet the catalogue; what was found comes back as a small list.
     """
     id_col = keep[0]
-    words = docs.select(F.col(id_col), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("w"))
+    words = _distinct_words(docs.select(F.col(id_col), F.col(text_col)))
     fixes = lookup(words, catalog, "w", correct_capitalized).select(id_col, "w", "correction").distinct()
     lists = fixes.groupBy(F.col(id_col).alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("w", "correction"))).alias("fixes"))
     return docs.select(*keep, F.col(text_col).alias("t")).join(lists, F.col(id_col).eqNullSafe(F.col("__id")), how).select(*keep, "t", "fixes")
@@ -103,6 +106,20 @@ def _texts(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[str],
     """keep + (t, fixes), and what gives a row's fixes from that column.
 
     With a small catalogue the texts are read once and nothing is shuffled: fixes are null and the broadcast catalogue
+def _distinct_words(docs: DataFrame) -> DataFrame:
+    """(id, w): the different words of each text that a catalogue may know, a-z but for a first capital."""
+    schema = T.StructType([docs.schema[0], T.StructField("w", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, text in rows_of(batches):
+            for w in set(_WORD.findall(text or "")):
+                if w.isascii() and w.isalpha() and (w.islower() or w[1:].islower()):
+                    yield key, w
+
+    return in_arrow(docs, lambda batches: gathered(rows(batches), arrow), schema)
+
+
     holds for each row. Beyond, only words leave the texts, and each text gets the map for its words.
     """
     own = small(catalog, correct_capitalized)
@@ -117,23 +134,21 @@ def correct_text(docs: DataFrame, catalog: DataFrame, text_col: str = "text", id
     both, fixes_of = _texts(docs, catalog, text_col, [id_col], correct_capitalized)
     schema = T.StructType([both.schema[id_col], T.StructField("n_fixed", T.LongType()), T.StructField("corrected", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         # a map column is searched from end to end for each word; a dictionary is not
-        word = re.compile(r"\w+")
-        for batch in batches:
-            counts, texts = [], []
-            for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n, own = 0, fixes_of(fixes)
-                if own and text:
-                    found = {w: to for w in set(word.findall(text)) if (to := own.get(w)) is not None}
-                    if found:
-                        n = sum(w in found for w in word.findall(text))
-                        text = word.sub(lambda m: found.get(m[0], m[0]), text)  # noqa: B023
-                counts.append(n)
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], names=schema.names)
-
-    return both.mapInArrow(run, schema)
+        for key, text, fixes in rows_of(batches):
+            n, own = 0, fixes_of(fixes)
+            if own and text:
+                parts = _PARTS.split(text)
+                hits = [k for k in range(1, len(parts), 2) if parts[k] in own]
+                for k in hits:
+                    parts[k] = own[parts[k]]
+                n, text = len(hits), "".join(parts) if hits else text
+            yield key, n, text
+
+    return in_arrow(both, lambda batches: gathered(rows(batches), arrow, lambda r: len(r[2] or "")), schema)
 
 
 # ---- context -----------------------------------------------------------------------------------------
@@ -162,6 +177,8 @@ _STRING = re.compile(r"[^\s()\[\]<>\"'`]+")
 _TECHNICAL = re.compile(TECHNICAL)
 _LINK = re.compile(r"\]\(|\)")
 
+#: Splits a text in what is between its words and, at odd places, the words.
+_PARTS = re.compile(r"(\w+)")
 
 def prose(line: str, words: list[tuple[int, int]]) -> list[bool]:
     """For words (start, stop) of a line, in order: neither part of an address or path, nor in a link's destination.
@@ -182,8 +199,12 @@ def prose(line: str, words: list[tuple[int, int]]) -> list[bool]:
 
 
 def found_in(row: int, line: str, offset: int, stop: int, fixes) -> list[tuple[int, int, int, str, str]]:
-    words = [m for m in _WORD.finditer(line, offset, stop) if m[0] in fixes]
-    return [(row, m.start(), m.end(), m[0], fixes[m[0]]) for m in words]
+    parts = _PARTS.split(line[offset:stop])
+    hits = [k for k in range(1, len(parts), 2) if parts[k] in fixes]
+    if not hits:
+        return []
+    at = list(accumulate(map(len, parts), initial=offset))
+    return [(row, at[k], at[k + 1], parts[k], fixes[parts[k]]) for k in hits]
 
 
 def _places(text: str, kind: str, fixes) -> Iterator[tuple[int, int, int, str, str]]:
@@ -243,19 +264,16 @@ def corrections_in_context(docs: DataFrame, catalog: DataFrame, text_col: str =
     both, fixes_of = _texts(picked, _open(catalog, overrides, bypass), text_col, [id_col, "filetype"], correct_capitalized, "inner")
     schema = T.StructType([both.schema[id_col], *T.StructType.fromDDL("row int, start int, stop int, w string, correction string").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, found = [], []
-            for k, (kind, text, fixes) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                own = fixes_of(fixes)
-                for f in _places(text, kind, own) if own and text and _handled(kind) else ():
-                    owner.append(k)
-                    found.append(f)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            columns = [pa.array([f[i] for f in found], kinds[i]) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], names=schema.names)
+    arrow = to_arrow_schema(schema)
 
-    return both.mapInArrow(run, schema)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, kind, text, fixes in rows_of(batches):
+            own = fixes_of(fixes)
+            if own and text and _handled(kind):
+                for place in _places(text, kind, own):
+                    yield key, *place
+
+    return in_arrow(both, lambda batches: gathered(rows(batches), arrow), schema)
 
 
 def _handled(kind: str | None) -> bool:
@@ -279,12 +297,11 @@ def correct_in_context(docs: DataFrame, catalog: DataFrame, text_col: str = "tex
             lines[row] = "".join([*parts, lines[row][last:]])
         return "\n".join(lines)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, texts = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), []
-            for kind, text, fixes in rows:
-                own = fixes_of(fixes)
-                texts.append(fixed(kind, text, own) if own and text and _handled(kind) and (filetypes is None or kind in filetypes) else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, kind, text, fixes in rows_of(batches):
+            own = fixes_of(fixes)
+            yield key, fixed(kind, text, own) if own and text and _handled(kind) and (filetypes is None or kind in filetypes) else text
 
-    return both.mapInArrow(run, schema)
+    return in_arrow(both, lambda batches: gathered(rows(batches), arrow, lambda r: len(r[1] or "")), schema)

@@ -2,9 +2,11 @@
 
 import json
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from quillforge.operators import audit
+from quillforge.operators import audit, correct
 from quillforge.operators.expand import Evidence
 from quillforge.plans import queries
 
@@ -41,6 +43,21 @@ def test_texts_without_a_character_are_in_neither_result(spark, tmp_path, duck):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 3
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_places_leave_in_small_batches(spark, monkeypatch, limit):
+    """10,000 texts in one task were one batch, and all their places were held at once."""
+    monkeypatch.setattr(correct, "BROADCAST_BYTES", limit)
+    from quillforge.functions import batches
+
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.lit("text").alias("filetype"), F.repeat(F.lit("hte\n"), 2000).alias("text"))
+    found = correct.corrections_in_context(docs, pairs(spark, [("hte", "the")]))
+    sizes = found.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 80_000 and max(r["n"] for r in sizes) <= batches.ROWS
+    held = [b.num_rows for b in batches.gathered(((i,) for i in range(100_000)), pa.schema([("i", pa.int64())]))]
+    assert sum(held) == 100_000 and max(held) <= batches.ROWS
+    assert [b.num_rows for b in batches.gathered((("x" * (3 << 20),) for _ in range(5)), pa.schema([("t", pa.string())]), lambda r: len(r[0]))] == [2, 2, 1]
+
+
 def test_catalogues_are_parsed_once_a_row(spark, tmp_path):
     """A filter on the error took in all that it is made of, many times over."""
     from quillforge.sources import catalog as catalogs
