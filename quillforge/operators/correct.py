@@ -26,9 +26,11 @@ ROW_BYTES = 160
 TECHNICAL = r"://|\Awww\.|@|/|\A[A-Za-z]:\\|\A\.?\.?\\|\A~\\|[A-Za-z0-9_.\-]\\[A-Za-z0-9_.\-]"
 
 
-def sized(catalog: DataFrame) -> DataFrame:
-    """The catalogue with a broadcast hint if a pass over it proves it small, and without otherwise."""
-    return F.broadcast(catalog) if catalog_bytes(catalog) <= BROADCAST_BYTES else catalog
+def measured(catalog: DataFrame) -> tuple[int, int, int]:
+    """(bytes, least, most) of a catalogue from a pass over it: its size in memory, and the lengths of its typos."""
+    size, long_ = F.octet_length("typo") + F.octet_length("correction") + ROW_BYTES, F.octet_length("typo")
+    none = F.lit(0)
+    return tuple(int(x) for x in catalog.agg(F.coalesce(F.sum(size), none), F.coalesce(F.min(long_), none), F.coalesce(F.max(long_), none)).first())
 
 
 def catalog_bytes(catalog: DataFrame) -> int:
@@ -75,11 +77,13 @@ def lookup(words: DataFrame, catalog: DataFrame, w: str = "w", correct_capitaliz
     Lower-case words match as they are; words with one capital first only on request, and only entries that allow
     it. Everything else (upper or mixed case, digits, underscores, other letters) never matches.
     """
-    key = F.when(is_lower(w), F.col(w))
+    size, least, most = measured(catalog)
+    fits = F.octet_length(w).between(least, most)  # before the patterns, and before anything is shuffled
+    key = F.when(fits & is_lower(w), F.col(w))
     if correct_capitalized:
         key = key.when(fits & is_title(w), F.lower(w))
     known = catalog.select(F.col("typo").alias("__key"), F.col("correction").alias("__to"), (F.col("capitalized_ok") if "capitalized_ok" in catalog.columns else F.lit(False)).alias("__cap"))
-    met = words.withColumn("__key", key).join(sized(known.withColumnsRenamed({"__key": "typo", "__to": "correction"})).withColumnsRenamed({"typo": "__key", "correction": "__to"}), "__key")
+    met = once(words, __key=key).where("__key IS NOT NULL").join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "__key")
     if correct_capitalized:
         met = met.where(is_lower(w) | F.col("__cap"))
     return met.withColumn("correction", F.when(is_title(w), recapitalised(F.col("__to"))).otherwise(F.col("__to"))).drop("__key", "__to", "__cap")
@@ -102,10 +106,6 @@ def _with_fixes(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[s
     return docs.select(*keep, F.col(text_col).alias("t")).join(lists, F.col(id_col).eqNullSafe(F.col("__id")), how).select(*keep, "t", "fixes")
 
 
-def _texts(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[str], correct_capitalized: bool, how: str = "left") -> tuple[DataFrame, object]:
-    """keep + (t, fixes), and what gives a row's fixes from that column.
-
-    With a small catalogue the texts are read once and nothing is shuffled: fixes are null and the broadcast catalogue
 def _distinct_words(docs: DataFrame) -> DataFrame:
     """(id, w): the different words of each text that a catalogue may know, a-z but for a first capital."""
     schema = T.StructType([docs.schema[0], T.StructField("w", T.StringType())])
@@ -120,6 +120,10 @@ def _distinct_words(docs: DataFrame) -> DataFrame:
     return in_arrow(docs, lambda batches: gathered(rows(batches), arrow), schema)
 
 
+def _texts(docs: DataFrame, catalog: DataFrame, text_col: str, keep: list[str], correct_capitalized: bool, how: str = "left") -> tuple[DataFrame, object]:
+    """keep + (t, fixes), and what gives a row's fixes from that column.
+
+    With a small catalogue the texts are read once and nothing is shuffled: fixes are null and the broadcast catalogue
     holds for each row. Beyond, only words leave the texts, and each text gets the map for its words.
     """
     own = small(catalog, correct_capitalized)
@@ -173,12 +177,12 @@ def indented_code(line: Column) -> Column:
 
 
 _WORD = re.compile(r"\w+")
+#: Splits a text in what is between its words and, at odd places, the words.
+_PARTS = re.compile(r"(\w+)")
 _STRING = re.compile(r"[^\s()\[\]<>\"'`]+")
 _TECHNICAL = re.compile(TECHNICAL)
 _LINK = re.compile(r"\]\(|\)")
 
-#: Splits a text in what is between its words and, at odd places, the words.
-_PARTS = re.compile(r"(\w+)")
 
 def prose(line: str, words: list[tuple[int, int]]) -> list[bool]:
     """For words (start, stop) of a line, in order: neither part of an address or path, nor in a link's destination.

@@ -1,6 +1,7 @@
 """Memory, shuffles and repeated work that would grow with the data, and results that only large tables showed."""
 
 import json
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -58,6 +59,15 @@ def test_places_leave_in_small_batches(spark, monkeypatch, limit):
     assert [b.num_rows for b in batches.gathered((("x" * (3 << 20),) for _ in range(5)), pa.schema([("t", pa.string())]), lambda r: len(r[0]))] == [2, 2, 1]
 
 
+def test_only_words_of_a_fitting_length_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(correct, "BROADCAST_BYTES", 0)
+    words = spark.createDataFrame([(w,) for w in ["a", "abc", "abcd", "Abcd", "abcde", "abcdef", "wxyzab"] * 3], "w string")
+    met = correct.lookup(words, pairs(spark, [("abcd", "abdc"), ("abcde", "abced")]))
+    assert Counter(r["w"] for r in met.collect()) == {"abcd": 3, "abcde": 3}
+    assert "octet_length(w" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert correct.measured(pairs(spark, [])) == (0, 0, 0)
+
+
 def test_catalogues_are_parsed_once_a_row(spark, tmp_path):
     """A filter on the error took in all that it is made of, many times over."""
     from quillforge.sources import catalog as catalogs
