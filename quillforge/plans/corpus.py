@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.edits import adjacent_swaps
-from ..functions.text import bucket, is_lower
+from ..functions.text import bucket
 from ..operators.correct import word_table
+from ..operators.counts import lower_pairs, lower_words
 from ..operators.expand import Evidence
 
 #: Occurrences from which a vocabulary word counts as known.
@@ -43,7 +44,7 @@ class Corpus:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return self._keep(self.words.where(is_lower("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+        return self._keep(lower_words(self.docs))
 
     @cached_property
     def total(self):
@@ -69,10 +70,8 @@ class Corpus:
         left out of frequent six-letter words, and two words run together."""
         swaps = self.known.where(F.length("word") >= 3).select(swapped("word").alias("typo"), F.col("word").alias("correction")).where("typo <> correction")
         cuts = self.frequent.where(F.length("word") == 6).groupBy(F.substring("word", 1, 5).alias("typo")).agg(F.min("word").alias("correction"))
-        pairs = self.docs.select(F.expr("regexp_extract_all(text, '[\\\\p{L}\\\\p{N}_]+', 0)").alias("l"))
-        pairs = pairs.select(F.explode(F.expr("CASE WHEN size(l) > 1 THEN zip_with(slice(l, 1, size(l) - 1), slice(l, 2, size(l) - 1), (a, b) -> struct(a, b)) ELSE CAST(array() AS ARRAY<STRUCT<a: STRING, b: STRING>>) END")).alias("p")).select("p.a", "p.b")
-        common = pairs.where(is_lower("a") & is_lower("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PHRASE)
-        joined = common.groupBy(F.concat("a", "b").alias("typo")).agg(F.min(F.concat_ws(" ", "a", "b")).alias("correction")).where(F.length("typo") >= 3)
+        common = lower_pairs(self.docs).where(F.col("n") >= PHRASE)
+        joined = common.groupBy(F.replace("pair", F.lit(" "), F.lit("")).alias("typo")).agg(F.min("pair").alias("correction")).where(F.length("typo") >= 3)
         first = swaps.union(cuts.join(swaps, "typo", "left_anti"))
         return self._keep(first.union(joined.join(first, "typo", "left_anti")))
 

@@ -1,6 +1,7 @@
 """Memory, shuffles and repeated work that would grow with the data, and results that only large tables showed."""
 
 import json
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillforge.operators import audit, correct
 from quillforge.operators.expand import Evidence
 from quillforge.plans import queries
+from quillforge.plans.corpus import Corpus
 
 
 def pairs(spark, rows):
@@ -68,6 +70,21 @@ def test_only_words_of_a_fitting_length_are_joined(spark, monkeypatch):
     assert correct.measured(pairs(spark, [])) == (0, 0, 0)
 
 
+def test_counts_by_brute_force(spark, monkeypatch):
+    from quillforge.operators import counts
+
+    texts = ["the cat, the cat\nThe dog 1 the cat", "", None, "cat été cat the_x the", "the"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    monkeypatch.setattr(counts, "TOGETHER", 4)
+    lists = [re.findall(r"\w+", t or "") for t in texts]
+    low = re.compile("[a-z]+").fullmatch
+    assert {r["w"]: r["n"] for r in counts.lower_words(docs).collect()} == Counter(w for ws in lists for w in ws if low(w))
+    want = Counter(f"{a} {b}" for ws in lists for a, b in zip(ws, ws[1:], strict=False) if low(a) and low(b))
+    assert {r["pair"]: r["n"] for r in counts.lower_pairs(docs).collect()} == want
+    want = Counter((w, (k + 1) % 2) for ws in lists for k, w in enumerate(ws))
+    assert {(r["w"], r["at"]): r["n"] for r in counts.words_by_place(docs, 2).collect()} == want
+
+
 def test_catalogues_are_parsed_once_a_row(spark, tmp_path):
     """A filter on the error took in all that it is made of, many times over."""
     from quillforge.sources import catalog as catalogs
@@ -75,3 +92,13 @@ def test_catalogues_are_parsed_once_a_row(spark, tmp_path):
     raw = spark.createDataFrame([(json.dumps({"the": ["hte"]}),)], "source string")
     plan = catalogs.flattened(catalogs.parsed(raw))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") + plan.count("parseJson") <= 4, plan
+
+
+def test_lookups_count_before_they_join(spark):
+    from shared import SF
+
+    for name in ("lookup_exact", "lookup_capitalized"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan.lower()
+    vocab = Corpus(spark, SF).vocab._jdf.queryExecution().logical().toString()
+    assert "regexp_extract_all" not in vocab
