@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.edits import adjacent_swaps
 from ..functions.text import bucket
 from ..operators.correct import word_table
-from ..operators.counts import lower_pairs, lower_words
+from ..operators.counts import lower_counts, lower_words
 from ..operators.expand import Evidence
 
 #: Occurrences from which a vocabulary word counts as known.
@@ -42,6 +42,11 @@ class Corpus:
         Corpus.held.append(df.cache())
         return df
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """(w, n): the words of the vocabulary, and the phrases, from one reading of the texts."""
+        return self._keep(lower_counts(self.docs, least=PHRASE))
+
     @cached_property
     def vocab(self) -> DataFrame:
         return self._keep(lower_words(self.docs))
@@ -68,10 +73,13 @@ class Corpus:
     def entries(self) -> DataFrame:
         """A catalogue for audits, with entries that pass and others that fail: exchanges in known words, last letters
         left out of frequent six-letter words, and two words run together."""
+        phrases = self.counted.where(F.col("w").contains(" "))
+        self.vocab = self.counted.where(~F.col("w").contains(" "))
         swaps = self.known.where(F.length("word") >= 3).select(swapped("word").alias("typo"), F.col("word").alias("correction")).where("typo <> correction")
         cuts = self.frequent.where(F.length("word") == 6).groupBy(F.substring("word", 1, 5).alias("typo")).agg(F.min("word").alias("correction"))
-        common = lower_pairs(self.docs).where(F.col("n") >= PHRASE)
-        joined = common.groupBy(F.replace("pair", F.lit(" "), F.lit("")).alias("typo")).agg(F.min("pair").alias("correction")).where(F.length("typo") >= 3)
+        # of the phrases that make one word the least is the one whose blank comes first
+        joined = phrases.groupBy(F.replace("w", F.lit(" "), F.lit("")).alias("typo")).agg(F.min(F.instr("w", " ")).alias("at")).where(F.length("typo") >= 3)
+        joined = joined.select("typo", F.expr("concat(substr(typo, 1, at - 1), ' ', substr(typo, at))").alias("correction"))
         first = swaps.union(cuts.join(swaps, "typo", "left_anti"))
         return self._keep(first.union(joined.join(first, "typo", "left_anti")))
 

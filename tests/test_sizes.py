@@ -102,3 +102,36 @@ def test_lookups_count_before_they_join(spark):
         assert "posexplode" not in plan.lower()
     vocab = Corpus(spark, SF).vocab._jdf.queryExecution().logical().toString()
     assert "regexp_extract_all" not in vocab
+
+
+def test_entries_read_the_texts_once(spark, monkeypatch):
+    """Words and words in a row were counted by two passes over the texts."""
+    from shared import SF
+
+    from quillforge.operators import counts
+    from quillforge.plans import corpus
+
+    passes, counted = [], counts.lower_counts
+    monkeypatch.setattr(counts, "lower_counts", lambda *a, **b: passes.append(a) or counted(*a, **b))
+    monkeypatch.setattr(corpus, "lower_counts", counts.lower_counts)
+    c = Corpus(spark, SF)
+    assert c.entries.count() > 10 and c.known.count() > 10 and c.evidence(c.entries).frequencies.count() > 10
+    assert len(passes) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 7, 1 << 13])
+def test_counts_of_odd_texts(spark, monkeypatch, parts):
+    """Signs of two to four bytes, texts that end and begin within a word, and counts that meet from several tasks."""
+    import random
+
+    from quillforge.operators import counts
+
+    monkeypatch.setattr(counts, "_parts", lambda _: parts)
+    some, signs = random.Random(3), ["a", "b", "zz", "A", "1", "_", " ", " ", ".", "é", "中", "\U00010400", "\U0001f600", "\n", "²"]
+    texts = [None, ""] + ["".join(some.choice(signs) for _ in range(some.randrange(30))) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    lists, low = [re.findall(r"\w+", t or "") for t in texts], re.compile("[a-z]+").fullmatch
+    want = Counter(f"{a} {b}" for ws in lists for a, b in zip(ws, ws[1:], strict=False) if low(a) and low(b))
+    want = {**Counter(w for ws in lists for w in ws if low(w)), **{w: n for w, n in want.items() if n >= 5}}
+    got = [tuple(r) for r in counts.lower_counts(docs, least=5).select("w", "n").collect()]
+    assert len(got) == len(dict(got)) and dict(got) == want
