@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edits import adjacent_swaps, keyboard_typos, omissions, short_word_typos, splits
-from .neighbours import one_edit_pairs
+from .neighbours import edit_pairs
 from .policy import COMMON, FREQUENT, accepted, at_least, corpus_exception, five_rule, length_gate, outcome, preferences, short_rule, six_rule
 
 
@@ -35,10 +35,9 @@ class Evidence:
         return self.lexicon.where(flag).select("word")
 
     def candidates(self, typos: DataFrame) -> DataFrame:
-        """(typo, candidate, n) of the alternatives one edit away; no count is zero."""
-        pairs = one_edit_pairs(typos, self.words("is_alternative"))
-        n = self.frequencies.select(F.col("word").alias("candidate"), "n")
-        return pairs.join(n, "candidate", "left").select("typo", "candidate", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+        """(typo, candidate, swapped, n) of the alternatives one edit away; no count is zero."""
+        words = self.words("is_alternative").distinct().join(self.frequencies.groupBy("word").agg(F.max("n").alias("n")), "word", "left")
+        return edit_pairs(typos.select("typo").distinct(), words.select(F.col("word").alias("candidate"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))
 
     def facts(self) -> DataFrame:
         """(word, n, counted, protected, destination, documented, reviewed, entry): one row a word, from one shuffle.

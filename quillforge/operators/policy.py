@@ -22,11 +22,15 @@ def at_least(n: Column, total: Column, per: int) -> Column:
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
-    """(typo, cands): for (typo, candidate, n), the candidates as structs (neg, w) in order of rank.
+    """(typo, cands, swaps): for (typo, candidate, n), the candidates as structs (neg, w) in order of rank, and those that
+    exchange two letters.
 
-    A typo's candidates are at most its one-edit words, so the array is bounded by its length.
+    A typo's candidates are at most its one-edit words, so the arrays are bounded by its length.
     """
-    return pairs.groupBy("typo").agg(F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("neg"), F.col("candidate").alias("w")))).alias("cands"))
+    if "swapped" not in pairs.columns:
+        pairs = pairs.withColumn("swapped", is_swap("typo", "candidate"))
+    one = F.struct((-F.col("n")).alias("neg"), F.col("candidate").alias("w"))
+    return pairs.groupBy("typo").agg(F.sort_array(F.collect_set(one)).alias("cands"), F.collect_set(F.when(F.col("swapped"), one)).alias("swaps"))
 
 
 def _winner(cands: Column, total: Column) -> Column:
@@ -42,8 +46,7 @@ def preferences(pairs: DataFrame, total: Column, documented: DataFrame) -> DataF
     frequencies, with them, and with documentation too. Each is null if there is none.
     """
     df = ranked(pairs).join(documented.select("typo", F.col("correction").alias("documented")), "typo", "left")
-    swaps = F.filter("cands", lambda c: (F.length(c["w"]) == F.length("typo")) & _swapped(c["w"]))
-    df = df.withColumns({"same": F.filter("cands", lambda c: F.length(c["w"]) == F.length("typo")), "swaps": swaps, "by_frequency": _winner(F.col("cands"), total)})
+    df = df.withColumns({"same": F.filter("cands", lambda c: F.length(c["w"]) == F.length("typo")), "by_frequency": _winner(F.col("cands"), total)})
     fitting = ~F.exists("cands", lambda c: (F.length(c["w"]) > F.length("typo")) | (F.length(c["w"]) < F.length("typo") - 1))
     only = F.when(fitting & (F.size("swaps") == 1), F.col("swaps")[0])
     df = df.withColumn("only", only)
@@ -57,12 +60,6 @@ def preferences(pairs: DataFrame, total: Column, documented: DataFrame) -> DataF
     return out.drop("same", "swaps", "only")
 
 
-def _swapped(w: Column) -> Column:
-    t = F.col("typo")
-    made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1, F.lit(1)), F.substr(t, i, F.lit(1)), F.substr(t, i + 2)))
-    return (w != t) & (F.length(t) > 1) & F.array_contains(made, w)
-
-
 # ---- rules on rows (typo, correction, n, documented, cands, by_frequency, swap) -----------------------
 
 

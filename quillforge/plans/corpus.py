@@ -71,7 +71,12 @@ class Corpus:
 
     @cached_property
     def entries(self) -> DataFrame:
-        """A catalogue for audits, with entries that pass and others that fail: exchanges in known words, last letters
+        """(typo, correction) of `numbered`."""
+        return self.numbered.select("typo", "correction")
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """(typo, correction, bucket): a catalogue for audits, with entries that pass and others that fail: exchanges in known words, last letters
         left out of frequent six-letter words, and two words run together."""
         phrases = self.counted.where(F.col("w").contains(" "))
         self.vocab = self.counted.where(~F.col("w").contains(" "))
@@ -81,13 +86,13 @@ class Corpus:
         joined = phrases.groupBy(F.replace("w", F.lit(" "), F.lit("")).alias("typo")).agg(F.min(F.instr("w", " ")).alias("at")).where(F.length("typo") >= 3)
         joined = joined.select("typo", F.expr("concat(substr(typo, 1, at - 1), ' ', substr(typo, at))").alias("correction"))
         first = swaps.union(cuts.join(swaps, "typo", "left_anti"))
-        return self._keep(first.union(joined.join(first, "typo", "left_anti")))
+        return self._keep(first.union(joined.join(first, "typo", "left_anti")).withColumn("bucket", bucket("typo")))
 
     def evidence(self, entries: DataFrame) -> Evidence:
         """Every fourth bucket is documented, every sixteenth reviewed; known words are protected and real."""
         lexicon = self.known.select("word", *[F.lit(True).alias(f) for f in ("is_protected", "is_real", "is_alternative", "is_destination")])
-        documented = entries.where(bucket("typo") % 4 == 0)
-        reviewed = entries.where(bucket("typo") % 16 == 0)
+        numbered = self.numbered if entries is vars(self).get("entries") else entries.withColumn("bucket", bucket("typo"))
+        documented, reviewed = [numbered.where(F.col("bucket") % k == 0).select("typo", "correction") for k in (4, 16)]
         return Evidence(entries, lexicon, self.vocab.select(F.col("w").alias("word"), "n"), self.total, documented, reviewed)
 
 

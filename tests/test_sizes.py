@@ -135,3 +135,20 @@ def test_counts_of_odd_texts(spark, monkeypatch, parts):
     want = {**Counter(w for ws in lists for w in ws if low(w)), **{w: n for w, n in want.items() if n >= 5}}
     got = [tuple(r) for r in counts.lower_counts(docs, least=5).select("w", "n").collect()]
     assert len(got) == len(dict(got)) and dict(got) == want
+
+
+def test_one_edit_pairs_by_brute_force(spark):
+    """Each pair came many times from its keys and was told from the others by distances; now it comes once."""
+    from itertools import product
+
+    from quillforge.functions.edits import is_one_edit, is_swap
+    from quillforge.operators.neighbours import edit_pairs
+
+    words = spark.createDataFrame([("".join(p), k) for k in range(1, 5) for p in product("ab", repeat=k)] + [("".join(p), 9) for p in product("abc", repeat=3)] + [("aabbcc", 6), ("abbcc", 5), ("aabcbc", 6), ("", 1), ("z", 1)], "candidate string, n long").dropDuplicates(["candidate"])
+    typos = words.select(F.col("candidate").alias("typo"))
+    made = edit_pairs(typos, words)
+    want = typos.crossJoin(words).where(is_one_edit("typo", "candidate")).select("typo", "candidate", is_swap("typo", "candidate").alias("swapped"), "n")
+    got = sorted(map(tuple, made.collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "lambda" not in plan
