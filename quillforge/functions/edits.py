@@ -76,12 +76,12 @@ def deletion_keys(w: str) -> Column:
 
 def is_swap(a: str, b: str) -> Column:
     """Whether b is a with one pair of unequal adjacent letters exchanged."""
-    return F.expr(f"(length({a}) = length({b}) AND {a} <> {b} AND array_contains({_swaps(a)}, {b}))")
+    return F.expr(f"coalesce(CASE WHEN length({a}) = length({b}) AND {a} <> {b} THEN array_contains({_swaps(a)}, {b}) END, false)")
 
 
 def is_repeat(typo: str, c: str) -> Column:
     """Whether the typo is the word with one letter doubled."""
-    return F.expr(f"(length({typo}) = length({c}) + 1 AND exists(sequence(1, length({c})), i -> concat(substr({c}, 1, i), substr({c}, i)) = {typo}))")
+    return F.expr(f"coalesce(CASE WHEN length({typo}) = length({c}) + 1 THEN exists(sequence(1, length({c})), i -> concat(substr({c}, 1, i), substr({c}, i)) = {typo}) END, false)")
 
 
 def is_one_edit(a: str, b: str) -> Column:

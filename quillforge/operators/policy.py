@@ -60,6 +60,14 @@ def preferences(pairs: DataFrame, total: Column, documented: DataFrame) -> DataF
     return out.drop("same", "swaps", "only")
 
 
+def _then(cheap: Column, dear: Column) -> Column:
+    """Both, with `dear` computed only where `cheap` holds.
+
+    Spark computes what several rules have in common for every row beforehand, behind an AND too, but not behind a CASE.
+    """
+    return F.coalesce(F.when(cheap, dear), F.lit(False))
+
+
 # ---- rules on rows (typo, correction, n, documented, cands, by_frequency, swap) -----------------------
 
 
@@ -74,18 +82,18 @@ def documented_short() -> Column:
 def short_rule(total: Column, correction: str = "correction", n: str = "n") -> Column:
     """Destinations of three or four letters: frequent, a keystroke away, dominant."""
     c = F.col(correction)
-    return F.coalesce(F.length(c).isin(3, 4) & at_least(F.col(n), total, FREQUENT) & (F.col("by_frequency") == c) & F.array_contains(keyboard_typos(correction), F.col("typo")), F.lit(False))
+    return _then(F.length(c).isin(3, 4) & at_least(F.col(n), total, FREQUENT) & (F.col("by_frequency") == c), F.array_contains(keyboard_typos(correction), F.col("typo")))
 
 
 def five_rule(total: Column) -> Column:
     c = F.col("correction")
-    return F.coalesce((F.length(c) == 5) & F.length("typo").isin(4, 5) & at_least(F.col("n"), total, FREQUENT) & (F.col("by_frequency") == c) & F.array_contains(keyboard_typos("correction"), F.col("typo")), F.lit(False))
+    return _then((F.length(c) == 5) & F.length("typo").isin(4, 5) & at_least(F.col("n"), total, FREQUENT) & (F.col("by_frequency") == c), F.array_contains(keyboard_typos("correction"), F.col("typo")))
 
 
 def six_rule(total: Column) -> Column:
     alone = (F.size("cands") == 1) & (F.get("cands", F.lit(0))["w"] == F.col("correction"))
     left_out = F.expr("exists(sequence(1, 6), i -> concat(substr(correction, 1, i - 1), substr(correction, i + 1)) = typo)")
-    return F.coalesce((F.length("typo") == 5) & (F.length("correction") == 6) & F.col("correction").rlike(r"\A[a-z]+\z") & at_least(F.col("n"), total, FREQUENT) & alone & left_out, F.lit(False))
+    return _then((F.length("typo") == 5) & (F.length("correction") == 6) & F.col("correction").rlike(r"\A[a-z]+\z") & at_least(F.col("n"), total, FREQUENT) & alone, left_out)
 
 
 def length_gate(total: Column) -> Column:
@@ -115,7 +123,8 @@ def rivals() -> Column:
 
 def outcome(total: Column) -> Column:
     """How the correction stands against its rivals: `alone`, `short`, `frequency`, `swap` or `competing`."""
-    rival_short = F.coalesce(F.length("by_frequency").isin(3, 4) & at_least(-F.get("cands", F.lit(0))["neg"], total, FREQUENT) & F.array_contains(keyboard_typos("by_frequency"), F.col("typo")), F.lit(False)) & (F.col("by_frequency") != F.col("correction"))
+    rival = F.length("by_frequency").isin(3, 4) & at_least(-F.get("cands", F.lit(0))["neg"], total, FREQUENT) & (F.col("by_frequency") != F.col("correction"))
+    rival_short = _then(rival, F.array_contains(keyboard_typos("by_frequency"), F.col("typo")))
     return (
         F.when(F.size(rivals()) == 0, "alone")
         .when(documented_short(), "short")

@@ -152,3 +152,17 @@ def test_one_edit_pairs_by_brute_force(spark):
     assert got == sorted(map(tuple, want.collect())) and len(got) > 100
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan and "lambda" not in plan
+
+
+def test_dear_rules_are_computed_only_where_they_count(spark):
+    """What several rules share was computed for every row beforehand: 150 misspellings a word for most words in vain."""
+    from quillforge.operators import policy
+
+    rows = spark.createDataFrame([("abotu", "about", 5, None, "about", None, [(-5, "about")])], "typo string, correction string, n long, documented string, by_frequency string, swap string, cands array<struct<neg: long, w: string>>")
+    total = F.lit(10)
+    made = rows.select(policy.five_rule(total).alias("a"), policy.length_gate(total).alias("b"), policy.outcome(total).alias("c"), policy.corpus_exception().alias("d"), policy.six_rule(total).alias("e"))
+    assert tuple(made.first()) == (True, True, "alone", False, False)
+    for rule in (policy.short_rule(total), policy.five_rule(total), policy.six_rule(total), policy.corpus_exception()):
+        plan = rows.select(rule.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        before, guard, _ = plan.partition("CASE WHEN")
+        assert guard and "lambda" not in before and "AND array_contains" not in plan and "AND exists" not in plan, plan
