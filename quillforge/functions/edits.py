@@ -69,11 +69,6 @@ def splits(w: str) -> Column:
     return F.expr(f"CASE WHEN length({w}) > 1 THEN transform(sequence(1, length({w}) - 1), i -> struct(substr({w}, 1, i) AS left, substr({w}, i + 1) AS right)) ELSE CAST(array() AS ARRAY<STRUCT<left: STRING, right: STRING>>) END")
 
 
-def deletion_keys(w: str) -> Column:
-    """The word and every deletion: two words one edit apart share a key."""
-    return F.expr(f"array_distinct(concat(array({w}), {_deletions(w)}))")
-
-
 def is_swap(a: str, b: str) -> Column:
     """Whether b is a with one pair of unequal adjacent letters exchanged."""
     return F.expr(f"coalesce(CASE WHEN length({a}) = length({b}) AND {a} <> {b} THEN array_contains({_swaps(a)}, {b}) END, false)")
